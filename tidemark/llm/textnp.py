@@ -64,12 +64,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(raw: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and the n + 1 word offsets of the rows."""
     if not len(raw):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    inside = ~SEPARATOR[raw]
+    inside = ~separator[raw]
     first = np.empty(len(raw), bool)
     first[0] = True
     first[1:] = ~inside[:-1]
