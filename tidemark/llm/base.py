@@ -44,3 +44,21 @@ def read(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFram
 def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """A broadcast hint where a count shows at most ``rows`` rows; else the frame as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+HOT_SHARE = 1000
+
+
+def join_counted(rows: DataFrame, groups: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined with their group's row; ``count`` says how many of the rows each group has.
+
+    A group with over 1 / HOT_SHARE of all rows is hot: fewer than HOT_SHARE of them exist at any size, so they are
+    broadcast and a hot key is in no shuffle. The others are joined by shuffle.
+    """
+    total = groups.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    hot, rest = (groups.filter((F.col(count) * HOT_SHARE > total) == is_hot) for is_hot in (True, False))
+    names = [c for c in groups.columns if c != key]
+    by_hot = rows.join(F.broadcast(hot), key, "left")
+    found = by_hot.filter(F.col(count).isNotNull())
+    others = by_hot.filter(F.col(count).isNull()).drop(*names).join(rest, key)
+    return found.unionByName(others)

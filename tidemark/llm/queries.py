@@ -26,6 +26,24 @@ def op1_bpe(spark, sf_dir):
     return bpe.digests(read(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+def op2_toxicity(spark, sf_dir):
+    from . import toxicity
+
+    return toxicity.classify(read(spark, sf_dir), read(spark, sf_dir, "labels"))
+
+
+def op3_suffix_dedup(spark, sf_dir):
+    from . import suffix_dedup
+
+    return suffix_dedup.dedup(read(spark, sf_dir))
+
+
+def op5_phrase_dedup(spark, sf_dir):
+    from . import phrase_dedup
+
+    return phrase_dedup.dedup(read(spark, sf_dir))
+
+
 def op6_exact_dedup(spark, sf_dir):
     from . import exact_dedup
 
@@ -38,13 +56,25 @@ def op7_mixing(spark, sf_dir):
     return mixing.taken_by_document(read(spark, sf_dir))
 
 
+def op8_jaccard_join(spark, sf_dir):
+    from . import jaccard
+
+    return jaccard.classes(read(spark, sf_dir))
+
+
 def op9_token_counts(spark, sf_dir):
     from . import token_counts
 
     return token_counts.counts(read(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op6_exact_dedup, op7_mixing, op9_token_counts)}
+def op10_media(spark, sf_dir):
+    from . import media
+
+    return media.digests(media.store(read(spark, sf_dir)))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_suffix_dedup, op5_phrase_dedup, op6_exact_dedup, op7_mixing, op8_jaccard_join, op9_token_counts, op10_media)}
 
 ORACLES = {
     "op6_exact_dedup": """
