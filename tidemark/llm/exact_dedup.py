@@ -18,9 +18,8 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import UPPER, shared_dir, text_or_empty
-
-HOT_SHARE = 1000
+from .base import UPPER, checkpoint, join_counted, shared_dir, text_or_empty
+RUN_SCHEMA = "digest string, least long, most long, n long"
 
 
 def normalised(column: str = "text") -> Column:
@@ -52,29 +51,15 @@ class DigestIndex:
         self.levels = self.levels[-1:]
 
     def rows(self) -> DataFrame:
-        return self.spark.read.parquet(*self.levels).select("digest", "least", "most", "n")
+        return self.spark.read.schema(RUN_SCHEMA).parquet(*self.levels).select("digest", "least", "most", "n")
 
     def _write(self, rows: DataFrame, partition: str | None = None) -> None:
         path = f"{self.folder}/level-{uuid.uuid4().hex}"
-        writer = rows.write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.expected.ndv#digest", "1000000")
+        writer = rows.write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.bloom.filter.max.bytes", "131072")
         (writer.partitionBy(partition) if partition else writer).parquet(path)
         self.levels.append(path)
 
 
-def _with_groups(docs: DataFrame, index: DataFrame) -> DataFrame:
-    """docs with its digest's row of the index; hot digests by broadcast.
-
-    A digest is hot if it has over 1 / HOT_SHARE of all rows, so fewer than HOT_SHARE are broadcast at any size.
-    """
-    total = index.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot, rest = (index.filter((F.col("n") * HOT_SHARE > total) == is_hot) for is_hot in (True, False))
-    names = [c for c in index.columns if c != "digest"]
-    by_hot = docs.join(F.broadcast(hot), "digest", "left")
-    found = by_hot.filter(F.col("n").isNotNull())
-    others = by_hot.filter(F.col("n").isNull()).drop(*names).join(rest, "digest")
-    return found.unionByName(others)
-
-
 def _false_hits(docs: DataFrame, index: DataFrame) -> DataFrame:
     """Digests whose texts aren't all the same bytes (none, short of a SHA-256 collision)."""
     hits = index.filter("n > 1").select("digest")
@@ -88,16 +73,16 @@ def classes(docs: DataFrame, keep: str = "most", memtables: int = 4) -> DataFram
 
     keep: ``most`` or ``least``, the doc_id that stays.
     """
-    digests = docs.select("doc_id", F.sha2(normalised(), 256).alias("digest"))
+    digests = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(normalised(), 256).alias("digest")))
     index = DigestIndex(docs.sparkSession)
     index.flush(digests, memtables)
     index.compact()
     rows = index.rows()
     collisions = _false_hits(docs, rows)
     if collisions.isEmpty():
-        grouped = _with_groups(digests, rows)
+        grouped = join_counted(digests, rows, "digest", "n")
     else:  # exact whatever the digest does: the text itself joins the key
-        keyed = docs.select("doc_id", normalised().alias("norm"), F.sha2(normalised(), 256).alias("digest"))
+        keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("norm"), F.sha2(normalised(), 256).alias("digest"))
         exact = keyed.groupBy("digest", "norm").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
         grouped = keyed.join(exact, ["digest", "norm"]).drop("norm")
     return grouped.select(
