@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PLAN_MODULES = ()
+PLAN_MODULES = ("snapshot", "streams")
 
 
 def _collect(kind: str) -> dict:

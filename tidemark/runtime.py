@@ -6,7 +6,7 @@ import os
 import shutil
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -21,3 +21,20 @@ def ship(spark: SparkSession) -> None:
     archive = shutil.make_archive(os.path.join(folder, "tidemark_package"), "zip", os.path.dirname(root), os.path.basename(root))
     context.addPyFile(os.path.abspath(archive))
     _shipped.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; only where the session names none (a local test), a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read from there: its lineage ends, and lost executors take nothing along."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
