@@ -38,6 +38,13 @@ def op3_suffix_dedup(spark, sf_dir):
     return suffix_dedup.dedup(read(spark, sf_dir))
 
 
+def op4_pii(spark, sf_dir):
+    from . import pii
+
+    key = spark.conf.get("spark.tidemark.pii.key", None) or "key-of-the-registered-query"
+    return pii.pseudonymise(read(spark, sf_dir), key)
+
+
 def op5_phrase_dedup(spark, sf_dir):
     from . import phrase_dedup
 
@@ -74,7 +81,7 @@ def op10_media(spark, sf_dir):
     return media.digests(media.store(read(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_suffix_dedup, op5_phrase_dedup, op6_exact_dedup, op7_mixing, op8_jaccard_join, op9_token_counts, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_suffix_dedup, op4_pii, op5_phrase_dedup, op6_exact_dedup, op7_mixing, op8_jaccard_join, op9_token_counts, op10_media)}
 
 ORACLES = {
     "op6_exact_dedup": """
