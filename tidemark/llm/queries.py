@@ -84,6 +84,39 @@ def op10_media(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_suffix_dedup, op4_pii, op5_phrase_dedup, op6_exact_dedup, op7_mixing, op8_jaccard_join, op9_token_counts, op10_media)}
 
 ORACLES = {
+    "op3_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        p AS (SELECT doc_id, h, len(h) // 2 AS n, unnest(range(1, len(h) // 2 + 1)) AS i FROM d),
+        x AS (SELECT doc_id, i, substr(h, 2 * i - 1, 2) AS byte, CASE WHEN i + 49 <= n THEN substr(h, 2 * i - 1, 100) END AS win FROM p),
+        f AS (SELECT doc_id, i, byte, CASE WHEN win IS NOT NULL AND min(doc_id) OVER (PARTITION BY win) < doc_id THEN 1 ELSE 0 END AS dup FROM x),
+        r AS (SELECT doc_id, i, byte, max(dup) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM f),
+        s AS (SELECT *, CASE WHEN gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 THEN 1 ELSE 0 END AS rise FROM r),
+        g AS (SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed, CAST(sum(rise) AS BIGINT) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM s GROUP BY doc_id)
+        SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+        FROM d LEFT JOIN g USING (doc_id)
+    """,
+    "op5_phrase_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+        x AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i + 19 <= len(w) THEN array_to_string(w[i:i + 19], ' ') END AS win FROM p),
+        f AS (SELECT doc_id, i, word, CASE WHEN win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1 THEN 1 ELSE 0 END AS dup FROM x),
+        r AS (SELECT doc_id, i, word, max(dup) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM f),
+        g AS (SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM r GROUP BY doc_id)
+        SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)
+    """,
+    "op8_jaccard_join": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        n AS (SELECT array_to_string(w, ' ') AS t, min(doc_id) AS doc, count(*) AS copies, any_value(w) AS w FROM d WHERE len(w) > 0 GROUP BY 1),
+        s AS (SELECT DISTINCT doc, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM n) AS z),
+        c AS (SELECT doc, count(*) AS size FROM s GROUP BY doc),
+        b AS (SELECT x.doc AS a, y.doc AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc <> y.doc GROUP BY 1, 2),
+        e AS (SELECT a, b FROM b JOIN c p ON p.doc = a JOIN c q ON q.doc = b WHERE k >= 0.8 * (p.size + q.size - k)),
+        r AS (SELECT doc AS origin, doc AS node FROM n UNION SELECT origin, e.b FROM r JOIN e ON e.a = r.node),
+        m AS (SELECT origin AS doc, min(node) AS class_id FROM r GROUP BY origin),
+        l AS (SELECT e.a AS doc, CAST(sum(n.copies) AS BIGINT) AS links FROM e JOIN n ON n.doc = e.b GROUP BY e.a)
+        SELECT d.doc_id, coalesce(m.class_id, d.doc_id) AS class_id, CASE WHEN n.doc IS NULL THEN 0 ELSE coalesce(l.links, 0) + n.copies - 1 END AS n_links, coalesce(n.copies, 1) AS copies
+        FROM d LEFT JOIN n ON n.t = array_to_string(d.w, ' ') AND len(d.w) > 0 LEFT JOIN m ON m.doc = n.doc LEFT JOIN l ON l.doc = n.doc
+    """,
     "op6_exact_dedup": """
         WITH t AS (
             SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h FROM documents
