@@ -80,3 +80,35 @@ def test_coordinator(spark, tmp_path):
     assert next(r for r in store._rows() if r["request_id"] == "bad")["state"] == "FAILED"
     with pytest.raises(ValueError):
         Settings(chunk_size=0)
+
+
+def test_control_plane(spark, tmp_path):
+    from tidemark.operators.control_plane import ControlPlane
+    from tidemark.sources.tables import CONTRACTS, TableContract, TableId
+
+    store = RequestStore(spark, str(tmp_path / "requests"))
+    events = spark.createDataFrame([(2 * i, "a.b.t", i, "UPDATE") for i in range(20)], "pos long, table_name string, k long, op string")
+    contract = TableContract(TableId("a", "b", "t"), ("k",))
+    plane = ControlPlane(store, events, [(contract, events)])
+    plane.submit(Request("1", "TABLE", "a.b.t"))
+    with pytest.raises(ValueError):
+        plane.submit(Request("2", "TABLE", "a.b.other"))
+    assert plane.status() == {"pending_requests": 1, "observed_events": 20, "last_position": 38}
+    assert [r.pos for r in plane.recent_events(2).collect()] == [38, 36]
+    assert plane.requests("QUEUED").count() == 1
+    assert plane.startup_check().first().key_holds
+    with pytest.raises(ValueError):
+        plane.requests("SOMETHING")
+    with pytest.raises(ValueError):
+        ControlPlane(store, events, [(CONTRACTS["orders"], events)]).startup_check()
+
+
+def test_recorded_messages(spark, tmp_path):
+    from tidemark.sources import message_log
+
+    rows = [(1, "BEGIN"), (2, "WRITE"), (3, "DELETE"), (4, "COMMIT"), (5, "QUERY"), (6, "UPDATE")]
+    df = spark.createDataFrame([(s, k, "a.b.t", s, 1.0, "TRUNCATE t" if k == "QUERY" else None, "a") for s, k in rows], message_log.SCHEMA)
+    df.write.json(str(tmp_path / "log"))
+    read = message_log.read_messages(spark, str(tmp_path / "log"))
+    assert sorted((r.seq, r.op, r.commit_seq, r.value) for r in message_log.change_events(read).collect()) == [(2, "INSERT", 4, 1.0), (3, "DELETE", 4, None)]
+    assert [r.seq for r in message_log.fatal_statements(read, ["a"], ["a.t"]).collect()] == [5]
