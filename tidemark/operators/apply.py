@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CONTROL = ("WATERMARK", "HEARTBEAT")
+OPERATIONS = ("INSERT", "UPDATE", "DELETE")
+
+
+def last(value: str, order: str) -> Column:
+    """The value at the largest order. Operations go as numbers, so that a hash aggregate holds them."""
+    if value != "op":
+        return F.max_by(value, order)
+    code = F.array_position(F.array(*map(F.lit, OPERATIONS)), F.col("op"))
+    return F.element_at(F.array(*map(F.lit, OPERATIONS)), F.max_by(code, order).cast("int"))
 
 
 def without_controls(stream: DataFrame) -> DataFrame:
@@ -27,14 +36,14 @@ def statement_runs(stream: DataFrame, batch: str, seq: str) -> DataFrame:
 def dedupe_runs(runs: DataFrame, batch: str, seq: str) -> DataFrame:
     """The last event of each key inside a run, with the key's first place there."""
     groups = runs.groupBy(batch, "run", "table_name", "kind", "k").agg(
-        F.min(seq).alias("first_seq"), F.max(seq).alias("last_seq"), F.max_by("op", seq).alias("op"), F.max_by("value", seq).alias("value")
+        F.min(seq).alias("first_seq"), F.max(seq).alias("last_seq"), last("op", seq).alias("op"), last("value", seq).alias("value")
     )
     return groups
 
 
 def deletes(mirror: DataFrame, stream: DataFrame, table: str) -> DataFrame:
     """mirror (k) without keys whose last event in the stream is a DELETE."""
-    gone = stream.filter(F.col("table_name") == table).groupBy("k").agg(F.max_by("op", "pos").alias("op")).filter("op = 'DELETE'")
+    gone = stream.filter(F.col("table_name") == table).groupBy("k").agg(last("op", "pos").alias("op")).filter("op = 'DELETE'")
     return mirror.join(gone, "k", "left_anti")
 
 
@@ -60,6 +69,6 @@ def write_ndjson(stream: DataFrame, path: str) -> None:
 
 def mirror(base: DataFrame, stream: DataFrame, key: str, order: str) -> DataFrame:
     """base (``key``, value) with the stream's last writes over it: keys deleted last are gone, others replaced."""
-    last = stream.groupBy(key).agg(F.max_by("op", order).alias("op"), F.max_by("value", order).alias("new_value"))
-    both = base.join(last, key, "full_outer")
+    writes = stream.groupBy(key).agg(last("op", order).alias("op"), last("value", order).alias("new_value"))
+    both = base.join(writes, key, "full_outer")
     return both.filter(F.coalesce(F.col("op"), F.lit("")) != "DELETE").select(key, F.when(F.col("op").isNull(), F.col("value")).otherwise(F.col("new_value")).alias("value"))

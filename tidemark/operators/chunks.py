@@ -50,7 +50,7 @@ def next_chunk(df: DataFrame, keys: Sequence[str], size: int, start_after: Seque
 
 def assign(df: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
     """df with ``ordinal`` (from 0, by key) and ``chunk_id``, for all chunks of the table in one pass."""
-    return numbered(df, list(keys), "ordinal").withColumn("ordinal", F.col("ordinal") - 1).withColumn("chunk_id", F.floor(F.col("ordinal") / size))
+    return numbered(df, list(keys), "ordinal").withColumn("ordinal", F.col("ordinal") - 1).withColumn("chunk_id", F.call_function("div", F.col("ordinal"), F.lit(size)))
 
 
 def boundaries(assigned: DataFrame, key: str) -> DataFrame:

@@ -6,18 +6,22 @@ positions; the rows left come out at HIGH, after the log up to it, in the order
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .ordering import numbered, running_sums
 
 
+def _share(part: Column, total: int, parts: int) -> Column:
+    """part * total div parts in whole numbers, without a product that could overflow."""
+    return part * (total // parts) + F.call_function("div", part * (total % parts), F.lit(parts))
+
+
 def with_windows(chunks: DataFrame, n_events: int, n_chunks: int) -> DataFrame:
     """chunks with ``lo`` and ``hi``, odd positions spread over a log of ``n_events`` even ones."""
     c = F.col("chunk_id")
-    lo = F.floor(c * n_events / n_chunks) if n_chunks else F.lit(0)
-    hi = F.floor((2 * c + 1) * n_events / (2 * n_chunks)) if n_chunks else F.lit(0)
+    lo, hi = (_share(c, n_events, n_chunks), _share(2 * c + 1, n_events, 2 * n_chunks)) if n_chunks else (F.lit(0), F.lit(0))
     return chunks.withColumn("lo", 2 * lo + 1).withColumn("hi", 2 * hi + 1)
 
 
@@ -49,10 +53,15 @@ def emitted_stream(chunk: DataFrame, log: DataFrame, table: str) -> DataFrame:
     return numbered(emitted(chunk, log, table), ["emit_pos", "origin_rank", "ordinal"], "emit_seq").drop("origin_rank", "ordinal")
 
 
-def current_state(stream: DataFrame, order: list[str]) -> DataFrame:
-    """Last write for each table and key, deleted keys left out: one aggregation, combined before its shuffle."""
-    last = stream.groupBy("table_name", "k").agg(F.max_by(F.struct("op", "value"), F.struct(*order)).alias("last"))
-    return last.filter(F.col("last.op") != "DELETE").select("table_name", "k", F.col("last.value").alias("value"))
+def current_state(stream: DataFrame, order: str) -> DataFrame:
+    """Last write for each table and key, deleted keys left out: one aggregation, combined before its shuffle.
+
+    order: a column that is unique for a key, such as the emitted position. The buffers are numbers, so rows are
+    hashed, not sorted.
+    """
+    gone = F.when(F.col("op") == "DELETE", 1).otherwise(0)
+    last = stream.groupBy("table_name", "k").agg(F.max_by(gone, order).alias("gone"), F.max_by("value", order).alias("value"))
+    return last.filter("gone = 0").drop("gone")
 
 
 def phases(log: DataFrame, controls: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def _emitted(spark, sf_dir):
 
 
 def reconcile_current_state(spark, sf_dir):
-    return reconcile.current_state(_emitted(spark, sf_dir), ORDER)
+    return reconcile.current_state(_emitted(spark, sf_dir), "emit_pos")
 
 
 def reconcile_emitted_stream(spark, sf_dir):
@@ -102,7 +102,7 @@ def captured_only(spark, sf_dir):
 
 
 def _batched(spark, sf_dir):
-    return base.log(spark, sf_dir).withColumn("batch", F.floor(F.col("pos") / (2 * base.BATCH_EVENTS)))
+    return base.log(spark, sf_dir).withColumn("batch", F.call_function("div", "pos", F.lit(2 * base.BATCH_EVENTS)))
 
 
 def apply_statement_runs(spark, sf_dir):
@@ -116,7 +116,7 @@ def apply_run_dedupe(spark, sf_dir):
 
 def apply_current_state(spark, sf_dir):
     """The log alone, folded to the last write of each key."""
-    return reconcile.current_state(base.log(spark, sf_dir), ["pos"])
+    return reconcile.current_state(base.log(spark, sf_dir), "pos")
 
 
 def apply_deletes(spark, sf_dir):
@@ -297,7 +297,7 @@ def tap_chunk_summary(spark, sf_dir):
 
 def tap_seq_gaps(spark, sf_dir):
     """Per run (user), gaps and repeats in a sequence; here the run's event numbers divided by a stride."""
-    e = read(spark, sf_dir, "events").select("user_id", "event_id", F.floor(F.col("event_id") / 150).alias("seq"))
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", F.call_function("div", "event_id", F.lit(150)).alias("seq"))
     order = W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, -1)
     before = F.max("seq").over(order)
     code = F.when(F.col("seq") > F.col("top") + 1, "GAP").when(F.col("seq") <= F.col("top"), "DUPLICATE")
@@ -315,7 +315,7 @@ def scenario_mutations(spark, sf_dir):
     kinds = ["insert-widget", "update-widget", "insert-gadget", "update-gadget", "delete-widget", "delete-gadget"]
     i = F.col("event_id")
     kind = F.element_at(F.array(*map(F.lit, kinds)), (i % 6 + 1).cast("int"))
-    fresh = F.floor(i / 6) + F.when(F.split(kind, "-")[1] == "widget", 100).otherwise(200)
+    fresh = F.call_function("div", i, F.lit(6)) + F.when(F.split(kind, "-")[1] == "widget", 100).otherwise(200)
     return read(spark, sf_dir, "events").select(i.alias("idx"), kind.alias("kind"), F.when(kind.startswith("insert"), fresh).otherwise(i % 7 + 1).alias("id"))
 
 

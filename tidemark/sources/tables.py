@@ -92,6 +92,6 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_id") * STRIDE % n).alias("k"),
         op.alias("op"),
         F.when(op != "DELETE", F.col("value")).alias("value"),
-        F.floor(F.col("event_id") / 5).alias("tx"),
+        F.call_function("div", "event_id", F.lit(5)).alias("tx"),
         "ts",
     )
