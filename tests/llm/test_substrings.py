@@ -67,22 +67,19 @@ def same(df, expected):
 
 
 @pytest.mark.parametrize("hot", [windows.HOT, 3])
-def test_bytes_against_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(windows, "HOT", hot)
-    monkeypatch.setattr(suffix_dedup, "BATCH", 200)
+def test_bytes_against_brute_force(spark, hot):
     rows = corpus(1)
     expected = brute_bytes(rows)
     assert sum(r[2] for r in expected) > 1000
-    same(suffix_dedup.dedup(spark.createDataFrame(rows, COLUMNS)), expected)
+    same(suffix_dedup.dedup(spark.createDataFrame(rows, COLUMNS), hot=hot, batch=200), expected)
 
 
 @pytest.mark.parametrize("hot", [windows.HOT, 3])
-def test_words_against_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(windows, "HOT", hot)
+def test_words_against_brute_force(spark, hot):
     rows = corpus(2)
     expected = brute_words(rows)
     assert sum(r[2] for r in expected) > 300
-    same(phrase_dedup.dedup(spark.createDataFrame(rows, COLUMNS)), expected)
+    same(phrase_dedup.dedup(spark.createDataFrame(rows, COLUMNS), hot=hot), expected)
 
 
 def test_repeated_ids_are_one_document_to_bytes(spark):

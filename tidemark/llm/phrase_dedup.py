@@ -84,7 +84,7 @@ def _finish(ids, text, symbols, offsets, covered) -> pa.Table:
     return pa.table({"doc_id": ids.cast(pa.int64()), "n_words": pa.array(np.diff(offsets), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
 
 
-def dedup(docs: DataFrame, window: int = 20, gram: int = 6) -> DataFrame:
+def dedup(docs: DataFrame, window: int = 20, gram: int = 6, hot: int = windows.HOT) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each document."""
-    plan = windows.Plan(window, gram, True, word_symbols, judge, _finish, SCHEMA)
+    plan = windows.Plan(window, gram, True, word_symbols, judge, _finish, SCHEMA, hot)
     return windows.run(docs, plan, "uint64")

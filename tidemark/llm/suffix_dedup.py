@@ -13,6 +13,7 @@ not read.
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -48,12 +49,12 @@ class LevelIndex:
         self.levels.append(strings)
 
 
-def judge(pieces: list[np.ndarray], counts: np.ndarray, docs: np.ndarray, window: int) -> np.ndarray:
+def judge(pieces: list[np.ndarray], counts: np.ndarray, docs: np.ndarray, window: int, batch: int = BATCH) -> np.ndarray:
     """For each string of each piece whether a piece of a smaller document has it. Pieces come by document."""
     index, out, lo = LevelIndex(), [], 0
     ends = np.cumsum(counts)
     while lo < len(pieces):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BATCH, "right")))
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + batch, "right")))
         while hi < len(pieces) and docs[hi] == docs[hi - 1]:  # a document stays in one batch
             hi += 1
         text = np.concatenate(pieces[lo:hi])
@@ -88,9 +89,9 @@ def _finish(ids, text, raw, offsets, covered) -> pa.Table:
     return pa.table({"doc_id": ids.cast(pa.int64()), "n_bytes": pa.array(np.diff(offsets), pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
 
 
-def dedup(docs: DataFrame, window: int = 50, gram: int = 20) -> DataFrame:
+def dedup(docs: DataFrame, window: int = 50, gram: int = 20, hot: int = windows.HOT, batch: int = BATCH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document."""
-    plan = windows.Plan(window, gram, False, textnp.utf8, judge, _finish, SCHEMA)
+    plan = windows.Plan(window, gram, False, textnp.utf8, partial(judge, batch=batch), _finish, SCHEMA, hot)
     return windows.run(docs, plan, "uint8")
 
 

@@ -46,6 +46,7 @@ class Plan:
     judge: Callable
     finish: Callable
     schema: str
+    hot: int = HOT
 
 
 @dataclass
@@ -201,10 +202,10 @@ class Block:
         return self.doc_key[np.searchsorted(self.offsets, self.start, "right") - 1]
 
 
-COUNT_SCHEMA = "block long, bucket long, prints binary, counts binary"
-TELL_SCHEMA = "block long, bucket long, flags binary"
-SEND_SCHEMA = "block long, shard long, contents binary, windows binary, docs binary"
-JUDGE_SCHEMA = "block long, shard long, bits binary"
+COUNT_SCHEMA = "block int, bucket int, prints binary, counts binary"
+TELL_SCHEMA = "block int, bucket int, flags binary"
+SEND_SCHEMA = "block int, shard int, contents binary, windows binary, docs binary"
+JUDGE_SCHEMA = "block int, shard int, bits binary"
 
 
 def _count(plan: Plan, buckets: int):
@@ -216,8 +217,8 @@ def _count(plan: Plan, buckets: int):
         prints = block.slot & np.uint64((1 << 40) - 1)
         return pa.table(
             {
-                "block": pa.array([key[0].as_py()] * len(found), pa.int64()),
-                "bucket": pa.array(found, pa.int64()),
+                "block": pa.array([key[0].as_py()] * len(found), pa.int32()),
+                "bucket": pa.array(found, pa.int32()),
                 "prints": pa.array([pack(prints[a:b]) for a, b in zip(lo, hi, strict=True)], pa.binary()),
                 "counts": pa.array([counts[a:b].tobytes() for a, b in zip(lo, hi, strict=True)], pa.binary()),
             }
@@ -226,7 +227,11 @@ def _count(plan: Plan, buckets: int):
     return run
 
 
-def _tell(key: tuple, table: pa.Table) -> pa.Table:
+def _tell(limit: int):
+    return lambda key, table: _told(table, limit)
+
+
+def _told(table: pa.Table, limit: int) -> pa.Table:
     raw = table.column("prints").to_pylist()
     prints = unpack(b"".join(raw))
     counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8)
@@ -235,7 +240,7 @@ def _tell(key: tuple, table: pa.Table) -> pa.Table:
     at = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
     total = np.repeat(np.add.reduceat(counts[order].astype(np.int64), at), np.diff(np.r_[at, len(ranked)]))
     again, hot = np.zeros(len(prints), bool), np.zeros(len(prints), bool)
-    again[order], hot[order] = total > 1, total > HOT
+    again[order], hot[order] = total > 1, total > limit
     ends = np.cumsum([len(r) // 5 for r in raw])
     flags = [np.packbits(np.r_[again[a:b], hot[a:b]]).tobytes() for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)]
     return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "flags": pa.array(flags, pa.binary())})
@@ -254,7 +259,7 @@ def _send(plan: Plan, buckets: int, shards: int):
             rows["contents"].append(b"".join([block.contents[i] for i in part.tolist()]))
             rows["windows"].append(block.count[block.sent[part]].astype(np.uint16).tobytes())
             rows["docs"].append(docs[part].tobytes())
-        kinds = {"block": pa.int64(), "shard": pa.int64()}
+        kinds = {"block": pa.int32(), "shard": pa.int32()}
         return pa.table({name: pa.array(values, kinds.get(name, pa.binary())) for name, values in rows.items()})
 
     return run
@@ -325,15 +330,16 @@ def _finish(plan: Plan, buckets: int, shards: int):
 def run(docs: DataFrame, plan: Plan, kind: str) -> DataFrame:
     """plan.finish's rows for all documents. kind: numpy type of the symbols. docs: doc_id, text."""
     n = partitions(docs.sparkSession)
-    buckets, shards = n, 2 * n
+    blocks, buckets, shards = 2 * n, n, 2 * n
     rows = docs.select("doc_id", text_or_empty().alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_key"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_key"), F.lit(2 * n)))
-    by_block = lambda df: df.groupBy("block")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_key"), F.lit(blocks)).cast("int"))
+    # block, bucket and shard numbers are partition numbers, so each is one task's and none gets several by chance
+    by_block = lambda df: df.repartitionById(blocks, "block").groupBy("block")
     counts = by_block(rows).applyInArrow(_count(plan, buckets), COUNT_SCHEMA)
-    told = counts.groupBy("bucket").applyInArrow(_tell, TELL_SCHEMA)
+    told = counts.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(_tell(plan.hot), TELL_SCHEMA)
     sent = by_block(rows).cogroup(by_block(told)).applyInArrow(_send(plan, buckets, shards), SEND_SCHEMA)
-    judged = sent.groupBy("shard").applyInArrow(_judge(plan, kind), JUDGE_SCHEMA)
-    both = told.withColumns({"shard": F.lit(None).cast("long"), "bits": F.lit(None).cast("binary")}).unionByName(
-        judged.withColumns({"bucket": F.lit(None).cast("long"), "flags": F.lit(None).cast("binary")})
+    judged = sent.repartitionById(shards, "shard").groupBy("shard").applyInArrow(_judge(plan, kind), JUDGE_SCHEMA)
+    both = told.withColumns({"shard": F.lit(None).cast("int"), "bits": F.lit(None).cast("binary")}).unionByName(
+        judged.withColumns({"bucket": F.lit(None).cast("int"), "flags": F.lit(None).cast("binary")})
     )
     return by_block(rows).cogroup(by_block(both)).applyInArrow(_finish(plan, buckets, shards), plan.schema)
