@@ -1,10 +1,10 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Words are runs of letters, digits and non-ASCII bytes, ASCII lower-cased. Features are word uni- and bigrams and
-bigrams that skip one word, hashed to 2^bits places, each once a document. Training reads a bounded sample of the
-labelled rows (``sample`` rows, the first by hash of doc_id); per-coordinate rates come from the accumulated squared
-gradients and L1 leaves few weights, which are broadcast: at most ``weights`` of them, checked. Scoring reads every
-whole text.
+bigrams that skip one word, and the first 4 and 6 bytes of longer words as stems, hashed to 2^bits places, each once
+a document. Training reads a bounded sample of the labelled rows (``sample`` rows, the first by hash of doc_id);
+per-coordinate rates come from the accumulated squared gradients and L1 leaves few weights, which are broadcast: at
+most ``weights`` of them. Scoring reads every whole text.
 
 Cases: null text is empty; an empty text gets the bias's score; a null doc_id stays null and is never trained on, nor
 are labels that are null; repeated rows are scored each; without usable labels all scores are 0.5; an empty table
@@ -24,13 +24,15 @@ BREAK = np.ones(256, bool)
 BREAK[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
+STEMS = (4, 6)
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
 def features(raw: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, place) of each feature occurrence of a batch of texts."""
     starts, stops, rows = textnp.word_spans(raw, offsets, BREAK)
-    words = textnp.word_hashes(LOWER[raw], starts, stops)
+    lower = LOWER[raw]
+    words = textnp.word_hashes(lower, starts, stops)
     row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
     shift = np.uint64(64 - bits)
     out_row, out_place = [row], [textnp.mix(words.copy()) >> shift]
@@ -39,6 +41,11 @@ def features(raw: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarra
         inside = row[: len(grams)] == row[1 + skip :] if len(grams) else np.zeros(0, bool)
         out_row.append(row[: len(grams)][inside])
         out_place.append(grams[inside] >> shift)
+    for size in STEMS:
+        longer = np.flatnonzero(stops - starts > size)
+        stems = textnp.word_hashes(lower, starts[longer], starts[longer] + size)
+        out_row.append(row[longer])
+        out_place.append(textnp.mix(stems ^ np.uint64(size)) >> shift)
     return np.concatenate(out_row), np.concatenate(out_place).astype(np.int64)
 
 
@@ -71,7 +78,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, usable, sample
     return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "text", "_label")
 
 
-def fit(rows: DataFrame, bits: int = 22, epochs: int = 10, alpha: float = 1.0, beta: float = 1.0, l1: float = 16.0, l2: float = 0.0, positive: float = 3.0, least: int = 3, weights: int = 200_000) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(rows: DataFrame, bits: int = 22, epochs: int = 10, alpha: float = 1.0, beta: float = 1.0, l1: float = 16.0, l2: float = 0.0, positive: float = 6.0, least: int = 3, weights: int = 200_000) -> tuple[np.ndarray, np.ndarray, float]:
     """(places, weights, bias) of the rows of ``training_rows``. At most ``weights`` weights, the largest.
 
     positive: how much a row of label 1 counts; least: rows of the sample that a feature must be in.
@@ -80,7 +87,7 @@ def fit(rows: DataFrame, bits: int = 22, epochs: int = 10, alpha: float = 1.0, b
     def extract(batches):
         for batch in batches:
             raw, at = textnp.utf8(batch.column("text"))
-            for lo, hi in textnp.slices(at):
+            for lo, hi in textnp.slices(at, 1 << 20):
                 row, place = features(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], bits)
                 once = np.unique(row << bits | place)
                 cuts = np.searchsorted(once, np.arange(hi - lo + 1) << bits)
