@@ -30,7 +30,7 @@ from .base import partitions, text_or_empty
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 UNSETTLED = regex.compile(r"[^\x00-\u052F\u2010-\u2027\u20AC]").search
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-MEMORY = 200_000
+MEMORY = 300_000
 LONG = 65_536
 LEAF_BYTES = 16_384
 
@@ -50,9 +50,12 @@ class Codec:
         self.byte_of = {ord(c): chr(b) for b, c in enumerate(merges.byte_chars())}
         self.marks = sorted(self.table.special, key=len, reverse=True)
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.marks)) + ")").split
-        self.known: dict[str, tuple[int, ...]] = {m: (i,) for m, i in self.table.special.items()}
+        self.forget()
         self.names = list(map(str, range(len(self.table.tokens))))
 
+    def forget(self) -> None:
+        self.known: dict[str, tuple[int, ...]] = {m: (i,) for m, i in self.table.special.items()}
+
     def words(self, text: str) -> list[str]:
         """Words of a text; special tokens are words of their own."""
         plain = self._plain
@@ -90,7 +93,7 @@ class Codec:
     def encode_words(self, rows: list[list[str]]) -> list[list[int]]:
         fresh = set().union(*rows).difference(self.known) if rows else set()
         if fresh and len(self.known) + len(fresh) > MEMORY:
-            self.known = {m: (i,) for m, i in self.table.special.items()}
+            self.forget()
             fresh = set().union(*rows).difference(self.known)
         if fresh:
             self.learn(fresh)
@@ -226,12 +229,14 @@ def digests(docs: DataFrame, path: str, long_chars: int = LONG) -> DataFrame:
 
     def run(batches):
         codec = _codec(path)
+        codec.forget()  # what another task has left in this worker
         for batch in batches:
             _, at = textnp.utf8(batch.column("text"))
             for lo, hi in textnp.slices(at, 1 << 20):
                 ids = codec.encode([t or "" for t in batch.column("text").slice(lo, hi - lo).to_pylist()])
                 n, a, b = zip(*map(codec.digests, ids), strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        codec.forget()
 
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     is_long = F.char_length("text") > long_chars

@@ -120,7 +120,10 @@ class MergeTable:
             keep[at + 1] = False
             new = np.cumsum(keep)[at] - 1
             sym, row, rank = sym[keep], row[keep], rank[keep]
-            fix = np.unique(np.r_[new, new[new > 0] - 1])
+            changed = np.zeros(len(sym), bool)
+            changed[new] = True
+            changed[new[new > 0] - 1] = True
+            fix = np.flatnonzero(changed)
             rank[fix] = NONE
             fix = fix[fix < len(sym) - 1]
             fix = fix[row[fix] == row[fix + 1]]
