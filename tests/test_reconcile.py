@@ -174,3 +174,14 @@ def test_fan_out_needs_a_sink(spark):
     seen = []
     fan_out(spark.range(3), [discard, lambda df: seen.append(df.count())])
     assert seen == [3]
+
+
+def test_composite_keys(spark):
+    key = "struct<account: string, region: string>"
+    chunk = [((a, r), 1.0, i, 0, 1, 5) for i, (a, r) in enumerate([("a1", "EU"), ("a1", "US"), ("a2", "EU")])]
+    c = spark.createDataFrame(chunk, f"k {key}, value double, ordinal long, chunk_id long, lo long, hi long")
+    l = spark.createDataFrame([(2, T, ("a1", "US"), "UPDATE", 9.0)], f"pos long, table_name string, k {key}, op string, value double")
+    stream = reconcile.emitted_stream(c, l, T).orderBy("emit_seq").collect()
+    assert [(r.origin, tuple(r.k)) for r in stream] == [("LOG", ("a1", "US")), ("SELECT", ("a1", "EU")), ("SELECT", ("a2", "EU"))]
+    state = reconcile.current_state(reconcile.emitted(c, l, T), "emit_pos").collect()
+    assert {tuple(r.k): r.value for r in state} == {("a1", "US"): 9.0, ("a1", "EU"): 1.0, ("a2", "EU"): 1.0}
