@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tidemark.llm import exact_dedup, mixing
+from tidemark.llm import base, exact_dedup, mixing
 
 COLUMNS = "doc_id long, text string, source string, size long, digest string"
 
@@ -23,7 +23,9 @@ def normal(text):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
 
 
-def test_exact_classes(spark):
+@pytest.mark.parametrize("hot_share", [1000, 20, 1])
+def test_exact_classes(spark, monkeypatch, hot_share):
+    monkeypatch.setattr(base, "HOT_SHARE", hot_share)
     rows = corpus(1)
     groups = defaultdict(list)
     for i, t, *_ in rows:
@@ -107,3 +109,13 @@ def test_mixed_documents_and_empty_table(spark):
     have = Counter(rows)
     assert all(times[r] <= 2 * have[r] for r in times)
     assert mixing.taken_by_document(spark.createDataFrame([], COLUMNS)).count() == 0
+
+
+def test_salting_splits_hot_groups_only(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i}") for i in range(400)], "i long, k string")
+    groups = rows.groupBy("k").agg({"*": "count"}).toDF("k", "n")
+    left, right = base.salt_hot(rows, groups, "k", "n", ["i"])
+    both = left.join(right, ["k", "_salt"]).collect()
+    assert sorted(r.i for r in both) == list(range(400))
+    assert len({r._salt for r in both if r.k == "hot"}) > 20
+    assert all(r.n == (200 if r.k == "hot" else 1) for r in both)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,22 +10,6 @@ from tidemark.runtime import ship
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where the session names none (a local test), a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -62,3 +44,17 @@ def join_counted(rows: DataFrame, groups: DataFrame, key: str, count: str) -> Da
     found = by_hot.filter(F.col(count).isNotNull())
     others = by_hot.filter(F.col(count).isNull()).drop(*names).join(rest, key)
     return found.unionByName(others)
+
+
+def salt_hot(rows: DataFrame, groups: DataFrame, key: str, count: str, spread: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both frames with ``_salt``, to be joined on the key and it.
+
+    A group with over 1 / HOT_SHARE of all rows is cut into pieces of about that many rows, dealt by a hash of the
+    ``spread`` columns; the group's row is repeated for each piece. The hot keys, fewer than HOT_SHARE, are broadcast.
+    """
+    total = groups.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    pieces = F.greatest(F.ceil(F.col(count) * HOT_SHARE / max(1, total)), F.lit(1))
+    hot = groups.filter(F.col(count) * HOT_SHARE > total).select(key, pieces.alias("_pieces"))
+    salt = F.when(F.col("_pieces").isNotNull(), F.pmod(F.xxhash64(*spread), F.col("_pieces"))).otherwise(0)
+    rows = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", salt.cast("long")).drop("_pieces")
+    return rows, groups.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), pieces.cast("long") - 1)))

@@ -18,7 +18,9 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import UPPER, checkpoint, join_counted, shared_dir, text_or_empty
+from tidemark.runtime import checkpoint, shared_dir
+
+from .base import UPPER, join_counted, salt_hot, text_or_empty
 RUN_SCHEMA = "digest string, least long, most long, n long"
 
 
@@ -62,10 +64,12 @@ class DigestIndex:
 
 def _false_hits(docs: DataFrame, index: DataFrame) -> DataFrame:
     """Digests whose texts aren't all the same bytes (none, short of a SHA-256 collision)."""
-    hits = index.filter("n > 1").select("digest")
-    texts = docs.select(normalised().alias("norm")).withColumn("digest", F.sha2("norm", 256)).join(hits, "digest", "left_semi")
-    both = texts.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b"))
-    return both.filter("a <> b").select("digest")
+    texts = docs.select("doc_id", normalised().alias("norm")).withColumn("digest", F.sha2("norm", 256))
+    texts, hits = salt_hot(texts, index.filter("n > 1").select("digest", "n"), "digest", "n", ["doc_id"])
+    # shuffled at every size: a broadcast that only small inputs get would say nothing of large ones
+    texts = texts.join(hits.select("digest", "_salt").hint("shuffle_hash"), ["digest", "_salt"], "left_semi")
+    parts = texts.groupBy("digest", "_salt").agg(F.min("norm").alias("a"), F.max("norm").alias("b"))
+    return parts.groupBy("digest").agg(F.min("a").alias("a"), F.max("b").alias("b")).filter("a <> b").select("digest")
 
 
 def classes(docs: DataFrame, keep: str = "most", memtables: int = 4) -> DataFrame:
