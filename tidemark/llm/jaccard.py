@@ -7,8 +7,9 @@ are shortened from ``depth`` until the recall expected at the threshold reaches
 all. Candidates are verified exactly on their shingle sets.
 
 Copies (equal word sequences) are one node with a count. Candidate links join nodes to components; a component of up
-to ``TOGETHER`` nodes is verified in one task on bit sets, all pairs of it. Nodes of larger components are verified
-bucket by bucket, a pair in the first tree that it shares, and a bucket of over ``TOGETHER`` nodes as pairs of blocks.
+to ``TOGETHER`` nodes and ``SHINGLES`` shingles is verified in one task on bit sets, all pairs of it. Nodes of larger
+components are verified bucket by bucket, a pair in the first tree that it shares, and a larger bucket as pairs of
+blocks.
 Links are counted where they are found and never listed.
 
 Cases: null and blank texts have no shingles, no links and are classes of their own; a null doc_id is an id like
@@ -23,8 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.runtime import checkpoint
+
 from . import textnp
-from .base import broadcast_if_small, checkpoint, join_counted, text_or_empty
+from .base import broadcast_if_small, join_counted, text_or_empty
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -32,9 +35,10 @@ TREES = 24
 DEPTH = 8
 TARGET = 0.9999
 TOGETHER = 4096
+SHINGLES = 4_000_000
 LAST = (1 << 63) - 1
-SET_SCHEMA = "doc_id long, doc_key long, node string, keys array<long>"
-MEMBER_SCHEMA = "node string, component string, size long, copies long, shingles binary, keys array<long>"
+SET_SCHEMA = "doc_id long, doc_key long, node string, n long, keys array<long>"
+MEMBER_SCHEMA = "node string, component string, large boolean, copies long, shingles binary, keys array<long>"
 LINK_SCHEMA = "node string, root string, links long"
 
 
@@ -101,7 +105,7 @@ def _sets(docs: DataFrame, n: int, trees: int, length: int) -> DataFrame:
                 some = np.diff(cuts) > 0
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(some * trees)], pa.int32()), pa.array(keys.ravel().view(np.int64)))
                 names = [x if y else None for x, y in zip(nodes, some.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("doc_key").slice(lo, hi - lo), pa.array(names, pa.string()), lists], names=["doc_id", "doc_key", "node", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("doc_key").slice(lo, hi - lo), pa.array(names, pa.string()), pa.array(np.diff(cuts), pa.int64()), lists], names=["doc_id", "doc_key", "node", "n", "keys"])
 
     return docs.mapInArrow(run, SET_SCHEMA)
 
@@ -181,13 +185,15 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, t
     length = prefix_length(threshold, trees, depth, target)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_key"), text_or_empty().alias("text"))
     sets = checkpoint(_sets(rows, words, trees, length))
-    nodes = checkpoint(sets.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_key").alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys")))
+    nodes = checkpoint(sets.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_key").alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys")))
     placed = nodes.select("node", F.posexplode("keys").alias("tree", "key"))
     buckets = placed.groupBy("tree", "key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).filter("n > 1")
     edges = placed.join(buckets, ["tree", "key"]).filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
     found = components(edges)
-    sizes = found.groupBy("component").agg(F.count("*").alias("size"))
-    chosen = checkpoint(found.join(sizes, "component").join(nodes.select("node", "first", "copies"), "node").select(F.col("node").alias("wanted"), "component", "size", "first", "copies"))
+    found = found.join(nodes.select("node", "first", "copies", "n"), "node")
+    large = (F.count("*") > together) | (F.sum("n") > SHINGLES)
+    sizes = found.groupBy("component").agg(large.alias("large"))
+    chosen = checkpoint(found.join(sizes, "component").select(F.col("node").alias("wanted"), "component", "large", "first", "copies"))
 
     def gather(batches):
         for batch in batches:
@@ -200,16 +206,16 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, t
                 keys = np.zeros((hi - lo, trees), np.uint64)
                 if together_exceeded:
                     keys[some] = _keys(grams, cuts, trees, length)
-                columns = [part.column(c).take(pa.array(rows, pa.int64())) for c in ("wanted", "component", "size", "copies")]
+                columns = [part.column(c).take(pa.array(rows, pa.int64())) for c in ("wanted", "component", "large", "copies")]
                 data = [np.unique(grams[cuts[k] : cuts[k + 1]]).tobytes() for k in rows]
                 lists = [keys[k].view(np.int64).tolist() if together_exceeded else None for k in rows]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(data, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names=["node", "component", "size", "copies", "shingles", "keys"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(data, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names=["node", "component", "large", "copies", "shingles", "keys"])
 
-    together_exceeded = not chosen.filter(F.col("size") > together).isEmpty()
-    members = rows.join(broadcast_if_small(chosen, 200_000), F.col("doc_key") == F.col("first")).select("text", "wanted", "component", "size", "copies").mapInArrow(gather, MEMBER_SCHEMA)
-    linked = members.filter(F.col("size") <= together).groupBy("component").applyInArrow(lambda table: _verify(table, None, None, threshold), LINK_SCHEMA)
+    together_exceeded = not chosen.filter("large").isEmpty()
+    members = rows.join(broadcast_if_small(chosen, 200_000), F.col("doc_key") == F.col("first")).select("text", "wanted", "component", "large", "copies").mapInArrow(gather, MEMBER_SCHEMA)
+    linked = members.filter("not large").groupBy("component").applyInArrow(lambda table: _verify(table, None, None, threshold), LINK_SCHEMA)
     if together_exceeded:
-        linked = checkpoint(linked.unionByName(_by_bucket(checkpoint(members.filter(F.col("size") > together)), together, threshold)))
+        linked = checkpoint(linked.unionByName(_by_bucket(checkpoint(members.filter("large")), together, threshold)))
         joined = components(linked.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
         linked = linked.groupBy("node").agg(F.sum("links").alias("links")).join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("root"), "links")
     linked = checkpoint(linked)
@@ -225,9 +231,10 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, t
 def _by_bucket(members: DataFrame, together: int, threshold: float) -> DataFrame:
     """Links of nodes of large components, bucket by bucket; large buckets as pairs of blocks."""
     placed = members.select("node", "copies", "shingles", "keys", F.posexplode("keys").alias("tree", "key"))
-    sizes = members.select("node", F.posexplode("keys").alias("tree", "key")).groupBy("tree", "key").agg(F.countDistinct("node").alias("n")).filter("n > 1")
+    each = members.select("node", F.floor(F.octet_length("shingles") / 8).alias("own"), F.posexplode("keys").alias("tree", "key"))
+    sizes = each.groupBy("tree", "key").agg(F.count("*").alias("n"), F.sum("own").alias("total")).filter("n > 1")
     half = together // 2
-    parts = F.ceil(F.col("n") / half)
+    parts = F.greatest(F.ceil(F.col("n") / half), F.ceil(F.col("total") / (SHINGLES // 2)))
     placed = placed.join(sizes, ["tree", "key"]).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     paired = placed.withColumn("other", other).withColumn("p1", F.least("part", "other")).withColumn("p2", F.greatest("part", "other"))
