@@ -10,8 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bpe, exact_dedup, jaccard, mixing, toxicity
-from tidemark.llm.base import read, shared_dir
+from tidemark.llm.base import read
 from tidemark.llm.queries import tokenizer_path
+from tidemark.runtime import shared_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import broadcast_if_small, checkpoint, partitions, text_or_empty
+from tidemark.runtime import checkpoint
+
+from .base import broadcast_if_small, partitions, text_or_empty
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
