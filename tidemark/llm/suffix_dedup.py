@@ -50,31 +50,39 @@ class LevelIndex:
 
 
 def judge(pieces: list[np.ndarray], counts: np.ndarray, docs: np.ndarray, window: int, batch: int = BATCH) -> np.ndarray:
-    """For each string of each piece whether a piece of a smaller document has it. Pieces come by document."""
-    index, out, lo = LevelIndex(), [], 0
-    ends = np.cumsum(counts)
-    while lo < len(pieces):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + batch, "right")))
-        while hi < len(pieces) and docs[hi] == docs[hi - 1]:  # a document stays in one batch
-            hi += 1
-        text = np.concatenate(pieces[lo:hi])
-        size = np.array([len(p) for p in pieces[lo:hi]])
-        n = counts[lo:hi]
-        at = np.repeat(np.cumsum(size) - size - np.cumsum(n) + n, n) + np.arange(n.sum())
-        strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, window)[at]).view(f"S{window}").ravel()
-        doc = np.repeat(docs[lo:hi], n)
+    """For each string of each piece whether a piece of a smaller document has it. Pieces come by document.
+
+    Strings whose hash is alone in the shard stand nowhere else and get no place in a suffix array.
+    """
+    found = np.zeros(int(counts.sum()), bool)
+    if not len(found):
+        return found
+    text, size = np.concatenate(pieces), np.array([len(p) for p in pieces])
+    at = np.repeat(np.cumsum(size) - size - np.cumsum(counts) + counts, counts) + np.arange(len(found))
+    hashes = textnp.span_hashes(text, at, window)
+    order = np.argsort(hashes)
+    fresh = hashes[order[1:]] != hashes[order[:-1]]
+    alone = np.r_[True, fresh] & np.r_[fresh, True]
+    rows = np.sort(order[~alone])
+    del hashes, order
+    at, doc = at[rows], np.repeat(docs, counts)[rows]
+    hit = np.zeros(len(rows), bool)
+    every = np.lib.stride_tricks.sliding_window_view(text, window) if len(rows) else None
+    index, lo = LevelIndex(), 0
+    while lo < len(rows):
+        hi = min(len(rows), lo + batch)
+        hi = int(np.searchsorted(doc, doc[hi - 1], "right"))  # a document stays in one batch
+        strings = np.ascontiguousarray(every[at[lo:hi]]).view(f"S{window}").ravel()
         suffixes = np.argsort(strings, kind="stable")  # ties stay in order of doc_id
         ranked = strings[suffixes]
-        fresh = np.r_[True, ranked[1:] != ranked[:-1]]
-        group = np.cumsum(fresh) - 1
-        smallest = doc[suffixes][fresh]
-        hit = index.scan(ranked[fresh])[group] | (smallest[group] < doc[suffixes])
-        found = np.empty(len(strings), bool)
-        found[suffixes] = hit
-        out.append(found)
-        index.add(ranked[fresh])
+        first = np.r_[True, ranked[1:] != ranked[:-1]]
+        group = np.cumsum(first) - 1
+        smallest = doc[lo:hi][suffixes][first]
+        hit[lo + suffixes] = index.scan(ranked[first])[group] | (smallest[group] < doc[lo:hi][suffixes])
+        index.add(ranked[first])
         lo = hi
-    return np.concatenate(out) if out else np.zeros(0, bool)
+    found[rows] = hit
+    return found
 
 
 def _finish(ids, text, raw, offsets, covered) -> pa.Table:

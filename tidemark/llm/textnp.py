@@ -111,3 +111,18 @@ def gram_hashes(hashes: np.ndarray, n: int, skip: int = 0) -> np.ndarray:
         out += hashes[k * step : k * step + count]
         mix(out)
     return out
+
+
+def span_hashes(symbols: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the ``length`` symbols from each position of ``at``, which ascends."""
+    out, i = np.empty(len(at), np.uint64), 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + SPAN, "left")))
+        lo, hi = at[i], at[j - 1] + length
+        up, down = powers(int(hi - lo) + 1)
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum((symbols[lo:hi].astype(np.uint64) + np.uint64(1)) * up[: hi - lo], dtype=np.uint64, out=sums[1:])
+        s = at[i:j] - lo
+        out[i:j] = mix((sums[s + length] - sums[s]) * down[s])
+        i = j
+    return out
