@@ -116,8 +116,8 @@ def fit(rows: DataFrame, bits: int = 22, epochs: int = 10, alpha: float = 1.0, b
 
     # the sample is bounded by its parameter, so its places may meet in one task
     model = rows.mapInArrow(extract, "_id long, _label int, places array<int>").repartition(1).mapInArrow(train, "place long, weight double")
-    top = model.filter(F.col("place") < 1 << bits).orderBy(F.abs("weight").desc(), "place").limit(weights)
-    found = sorted((r.place, r.weight) for r in model.filter(F.col("place") == 1 << bits).unionByName(top).collect())
+    largest = [(F.col("place") == 1 << bits).desc(), F.abs("weight").desc(), F.col("place")]
+    found = sorted((r.place, r.weight) for r in model.orderBy(*largest).limit(weights + 1).collect())
     bias = found.pop()[1] if found and found[-1][0] == 1 << bits else 0.0
     return np.array([p for p, _ in found], np.int64), np.array([w for _, w in found], np.float64), bias
 
