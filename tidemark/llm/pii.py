@@ -12,6 +12,9 @@ Mail addresses, passwords, tokens and access keys have no number to permute: the
 shape, which link equal values and can't be undone. A Feistel round adds to one half, modulo its size, the SHA-256 of
 key, kind, round and the other half; halves of different sizes are allowed, so any domain of size a * b is permuted.
 
+Numbers that stand side by side, a space or hyphen between them, are one run: inside it every span of whole groups is
+tried (``parts``), so a card keeps being found beside a quantity, an expiry date or another card.
+
 Cases: null text is empty; a null doc_id stays null; repeated rows are treated each; an empty table gives an empty
 result; only doc_id and text are read. Numbers that fail validation stay as they are.
 """
@@ -40,7 +43,13 @@ SHAPES = {
     "phone": r"(?<![\d-])(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d-])",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
 }
-ANY = "|".join(SHAPES.values())
+# What starts with digits and goes on with other signs than a run has: a run ends before it.
+_OTHER = r"(?!\d{2}[./]\d{2}[./]\d{4}|(?:\d{1,3}\.){3}\d|\d{3}(?:[ -]\d{3}\.|\.\d{3}[ .-])\d{4}|[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+\.)"
+_GROUPS = rf"\d+(?:[ -]{_OTHER}\d+)*"
+RUNS = {"iban": rf"\b[A-Z]{{2}}(?=\d{{2}}(?: ?\d{{4}}){{2}}){_GROUPS}\b", "card": rf"(?<![\d-])(?=\d(?:[ -]?\d){{12}}){_GROUPS}(?![\d-])"}
+ANY = "|".join({**SHAPES, **RUNS}.values())
+RUN = r"^(?:[A-Z]{2})?\d+(?:[ -]\d+)*$"
+LONGEST = 36  # signs and groups behind the first one of a card of 19 groups
 SECRETS = ("password", "token", "access_key")
 DATE_FORMATS = ("yyyy-MM-dd", "dd.MM.yyyy", "MM/dd/yyyy", "dd/MM/yyyy")
 
@@ -223,6 +232,66 @@ def kind_of(m: Column) -> Column:
     )
 
 
+def _cut(m: Column, good: Callable[[Column, Column, Column], Column]) -> Column:
+    """(m, kind) pieces of a run. Left to right, the longest span of groups for which ``good`` gives a kind is taken.
+
+    good: of the span and the signs before and behind it, null at the run's ends.
+    """
+
+    def scan(t: Column) -> Column:
+        join = lambda i, j: F.array_join(F.slice(t, i, j - i + 1), "")
+        piece = lambda text, kind: F.array(F.struct(text.alias("m"), kind.alias("kind")))
+        none = F.lit(None).cast("string")
+
+        def step(state: Column, i: Column) -> Column:
+            ends = F.sequence(F.least(i + LONGEST, F.size(t)), i, F.lit(-1))
+            kind = lambda j: let(join(i, j), lambda text: good(text, F.get(t, i - 2), F.get(t, j)))
+            tried = F.transform(ends, lambda j: F.struct(j.alias("j"), kind(j).alias("kind")))
+
+            def take(best: Column) -> Column:
+                gap = F.when(i > state["next"], piece(join(state["next"], i - 1), none)).otherwise(F.slice(state["out"], 1, 0))
+                taken = F.struct((best["j"] + 1).alias("next"), F.concat(state["out"], gap, piece(join(i, best["j"]), best["kind"])).alias("out"))
+                return F.when(best.isNotNull(), taken).otherwise(state)
+
+            return F.when((i < state["next"]) | F.get(t, i - 1).isin(" ", "-"), state).otherwise(let(F.get(F.filter(tried, lambda x: x["kind"].isNotNull()), F.lit(0)), take))
+
+        def finish(state: Column) -> Column:
+            rest = piece(join(state["next"], F.size(t)), none)
+            return F.when(state["next"] <= F.size(t), F.concat(state["out"], rest)).otherwise(state["out"])
+
+        start = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<m:string,kind:string>>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(t)), start, step, finish)
+
+    return let(F.regexp_extract_all(m, F.lit("[ -]|[A-Z]+|[0-9]+"), F.lit(0)), scan)
+
+
+def parts(m: Column) -> Column:
+    """(m, kind) pieces of a run of numbers, in order, kind null for what stays.
+
+    IBANs and cards in one group or in four groups of four come first, then what has a shape of its own, then cards
+    grouped in any other way; so what neighbours happen to add up to takes nothing from a common notation.
+    """
+    whole = lambda text, name: text.rlike(f"^(?:{SHAPES[name]})$")
+    card = lambda text: F.when(whole(text, "card"), F.when(luhn_sum(digits(text)) % 10 == 0, "card"))
+
+    def common(text: Column, before: Column, behind: Column) -> Column:
+        iban = F.when(F.length(text) < 45, F.when(kind_of(text) == "iban", "iban"))
+        return F.when(text.rlike("^[A-Z]"), F.when(whole(text, "iban"), iban)).when(text.rlike("^(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\\1[0-9]{4}\\1[0-9]{4})$"), card(text))
+
+    def shaped(text: Column, before: Column, behind: Column) -> Column:
+        free = (F.coalesce(before, F.lit("")) != "-") & (F.coalesce(behind, F.lit("")) != "-")
+        fits = whole(text, "date") | whole(text, "ssn") | whole(text, "phone")
+        return F.when(free & F.length(text).between(10, 12), F.when(fits, kind_of(text)))
+
+    def grouped(text: Column, before: Column, behind: Column) -> Column:
+        return F.when(F.length(text).between(13, 37), card(text))
+
+    def again(pieces: Column, good: Callable) -> Column:
+        return F.flatten(F.transform(pieces, lambda x: F.when(x["kind"].isNull(), _cut(x["m"], good)).otherwise(F.array(x))))
+
+    return again(again(_cut(m, common), shaped), grouped)
+
+
 def pseudonym(m: Column, kind: Column, key: str, inverse: bool = False) -> Column:
     """The text that takes a found text's place; ``inverse`` undoes permutations and leaves hashes."""
     out = F.when(kind.isNull(), m)
@@ -236,12 +305,15 @@ def pseudonym(m: Column, kind: Column, key: str, inverse: bool = False) -> Colum
 def pseudonymise(docs: DataFrame, key: str, inverse: bool = False) -> DataFrame:
     """doc_id, n_found, a count for each kind, and the text with pseudonyms, of each row."""
     rows = docs.select("doc_id", text_or_empty().alias("text"))
-    some = F.col("text").rlike("[0-9@=]")
+    some = F.col("text").rlike("[0-9@=]|AKIA|ASIA")
     rows = rows.withColumn("found", F.when(some, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    rows = rows.withColumn("found", F.transform("found", lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind"))))
-    put = F.transform("found", lambda x: pseudonym(x["m"], x["kind"], key, inverse))
+    one = lambda m: F.array(F.struct(m.alias("m"), kind_of(m).alias("kind")))
+    is_run = lambda m: m.rlike(RUN) & ~m.rlike(f"^(?:{SHAPES['date']}|{SHAPES['ssn']}|{SHAPES['phone']})$")
+    rows = rows.withColumn("found", F.transform("found", lambda m: F.when(is_run(m), parts(m)).otherwise(one(m))))
+    put = F.transform("found", lambda pieces: F.array_join(F.transform(pieces, lambda x: pseudonym(x["m"], x["kind"], key, inverse)), ""))
     text = F.array_join(F.zip_with(F.split("text", ANY, -1), put, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     text = F.when(F.size("found") > 0, text).otherwise(F.col("text"))
-    count = lambda name: F.size(F.filter("found", lambda x: x["kind"] == name))
+    found = F.flatten("found")
+    count = lambda name: F.size(F.filter(found, lambda x: x["kind"] == name))
     names = ("card", "phone", "ip", "date", "ssn", "iban", "email", "access_key", "secret")
-    return rows.select("doc_id", F.size(F.filter("found", lambda x: x["kind"].isNotNull())).alias("n_found"), *[count(n).alias(f"n_{n}") for n in names], text.alias("text"))
+    return rows.select("doc_id", F.size(F.filter(found, lambda x: x["kind"].isNotNull())).alias("n_found"), *[count(n).alias(f"n_{n}") for n in names], text.alias("text"))
