@@ -75,5 +75,27 @@ def test_one_of_each_keeps_columns_and_blanks(spark):
     assert sorted(r.doc_id for r in got.collect()) == [2, 4, 5, 9]
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    base = " ".join(f"w{i}" for i in range(80))
+    other, clean, lone = (" ".join(f"{c}{i}" for i in range(30)) for c in "xyz")
+    rows = [
+        (1, base, "a", 1),
+        (None, base + " end", "b", 2),
+        (None, clean, "c", 3),
+        (None, None, "d", 4),
+        (None, " ", "e", 5),
+        (7, "start " + base, "f", 6),
+        (7, other, "g", 7),
+        (8, lone, "h", 8),
+        (8, lone, "h", 8),
+        (8, lone.replace(" ", "  "), "i", 9),
+        (None, other + " end", "j", 10),
+    ]
+    got = jaccard.one_of_each(spark.createDataFrame(rows, COLUMNS)).collect()
+    assert sorted(r.component for r in got) == [1, 3, 4, 5, 7, 9]
+    assert all(tuple(r) in rows for r in got)
+    assert jaccard.one_of_each(spark.createDataFrame([], COLUMNS)).count() == 0
+
+
 def test_empty_table(spark):
     assert jaccard.classes(spark.createDataFrame([], COLUMNS)).count() == 0

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemark.runtime import checkpoint
 
@@ -182,6 +183,15 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, t
     many other documents have a Jaccard similarity of at least the threshold, copies included. copies: documents
     with the same words, itself included.
     """
+    found = _classes(docs, words, threshold, trees, depth, target, together)
+    return found.select("doc_id", F.when(F.col("class_key") == LAST, F.lit(None)).otherwise(F.col("class_key")).cast("long").alias("class_id"), "n_links", "copies")
+
+
+def _classes(docs: DataFrame, words: int, threshold: float, trees: int, depth: int, target: float, together: int) -> DataFrame:
+    """doc_id, doc_key, node, class_key, class_node, n_links and copies of each row; node is null for blank texts.
+
+    class_key and class_node: the least doc_key of the class and the node that has it.
+    """
     length = prefix_length(threshold, trees, depth, target)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_key"), text_or_empty().alias("text"))
     sets = checkpoint(_sets(rows, words, trees, length))
@@ -220,12 +230,12 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, t
         linked = linked.groupBy("node").agg(F.sum("links").alias("links")).join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("root"), "links")
     linked = checkpoint(linked)
     result = nodes.select("node", "first", "copies").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    leads = result.groupBy("root").agg(F.min("first").alias("class_key"))
-    result = result.join(leads, "root").select("node", "class_key", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    full = join_counted(sets.filter("node IS NOT NULL").select("doc_id", "node"), checkpoint(result), "node", "copies")
-    blank = sets.filter("node IS NULL").select("doc_id", F.col("doc_key").alias("class_key"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("copies"))
-    both = full.select("doc_id", "class_key", "n_links", "copies").unionByName(blank)
-    return both.select("doc_id", F.when(F.col("class_key") == LAST, F.lit(None)).otherwise(F.col("class_key")).cast("long").alias("class_id"), "n_links", "copies")
+    leads = result.groupBy("root").agg(F.min(F.struct("first", "node")).alias("lead")).select("root", F.col("lead.first").alias("class_key"), F.col("lead.node").alias("class_node"))
+    result = result.join(leads, "root").select("node", "class_key", "class_node", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    full = join_counted(sets.filter("node IS NOT NULL").select("doc_id", "doc_key", "node"), checkpoint(result), "node", "copies")
+    none = F.lit(None).cast("string")
+    blank = sets.filter("node IS NULL").select("doc_id", "doc_key", none.alias("node"), F.col("doc_key").alias("class_key"), none.alias("class_node"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("copies"))
+    return full.select("doc_id", "doc_key", "node", "class_key", "class_node", "n_links", "copies").unionByName(blank)
 
 
 def _by_bucket(members: DataFrame, together: int, threshold: float) -> DataFrame:
@@ -246,8 +256,35 @@ def _by_bucket(members: DataFrame, together: int, threshold: float) -> DataFrame
     return paired.select("tree", "key", "p1", "p2", "part", "node", "copies", "shingles", "keys").groupBy("tree", "key", "p1", "p2").applyInArrow(verify, LINK_SCHEMA)
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row for each class, the one with the least doc_id; blank texts all stay. All columns stay."""
-    found = classes(docs, **options)
-    drop = found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_drop"))
-    return docs.join(drop.distinct(), docs["doc_id"].eqNullSafe(F.col("_drop")), "left_anti")
+def _named(docs: DataFrame, n: int) -> DataFrame:
+    """docs with _key (doc_id, LAST for null) and _node (null for blank texts)."""
+
+    def run(batches):
+        for batch in batches:
+            raw, at = textnp.utf8(batch.column("_text"))
+            for lo, hi in textnp.slices(at, 2 << 20):
+                nodes, _, cuts = _describe(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], n)
+                names = [x if y else None for x, y in zip(nodes, (np.diff(cuts) > 0).tolist(), strict=True)]
+                part = batch.slice(lo, hi - lo)
+                kept = [k for k, name in enumerate(batch.schema.names) if name != "_text"]
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in kept], pa.array(names, pa.string())], names=[*[batch.schema.names[k] for k in kept], "_node"])
+
+    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
+    schema = StructType([*[StructField(f.name, f.dataType) for f in keyed.schema], StructField("_node", StringType())])
+    return keyed.withColumn("_text", text_or_empty()).mapInArrow(run, schema)
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, target: float = TARGET, together: int = TOGETHER) -> DataFrame:
+    """docs with one row for each class, the one with the least doc_id; blank texts all stay. All columns stay.
+
+    Rows are told apart by doc_id and words, so a null or repeated doc_id drops no other text. Of rows that repeat
+    both, the least by all columns stays.
+    """
+    found = _classes(docs, words, threshold, trees, depth, target, together).filter("node IS NOT NULL")
+    pairs = found.groupBy(F.col("doc_key").alias("_key"), F.col("node").alias("_node")).agg(F.count("*").alias("_times"), F.first("class_key").alias("lead"), F.first("class_node").alias("lead_node"))
+    leads = (F.col("_key") == F.col("lead")) & (F.col("_node") == F.col("lead_node"))
+    marks = checkpoint(pairs.select("_key", "_node", "_times", leads.alias("_leads")).filter("_times > 1 OR NOT _leads"))
+    rows = _named(docs, words).join(broadcast_if_small(marks, 200_000), ["_key", "_node"], "left").filter("_leads IS NULL OR _leads")
+    once = rows.filter("_leads IS NULL").select(*docs.columns)
+    repeated = rows.filter("_leads").groupBy("_key", "_node").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return once.unionByName(repeated)
