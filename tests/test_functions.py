@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from tidemark.functions import literals, normalize, positions
+from tidemark.functions import classify, literals, normalize, positions
 from tidemark.operators import folds, targets
 from tidemark.operators.ordering import numbered, running_sums
 from tidemark.sources.tables import TableId
@@ -132,3 +132,23 @@ def test_table_names():
     for bad in ("a.b", "a..c"):
         with pytest.raises(ValueError):
             TableId.parse(bad)
+
+
+def test_statements_by_verb_and_object(spark):
+    cases = [
+        ("set names utf8", None, "SESSION"),
+        ("TRUNCATE orders", "shop", "FAIL_CLOSED"),
+        ("create table x (i int)", "shop", "FAIL_CLOSED"),
+        ("alter table `shop` . `orders` add c int", "other", "FAIL_CLOSED"),
+        ("alter table shop.orders_old add c int", "other", "OTHER_DATABASE"),
+        ("drop table x", "other", "OTHER_DATABASE"),
+        ("create definer = `a`@`b` view v as select 1", "shop", "BENIGN"),
+        ("create unique index i on t (a)", "shop", "BENIGN"),
+        ("optimize local table t", "shop", "BENIGN"),
+        ("flush", "shop", "BENIGN"),
+        ("insert into t values (1)", "shop", "FAIL_CLOSED"),
+        (None, "shop", "FAIL_CLOSED"),
+    ]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, sql string, db string, want string")
+    found = rows.select("i", "want", classify.statement(F.col("sql"), F.col("db"), ["shop"], ["shop.orders"]).alias("got")).orderBy("i").collect()
+    assert [r.got for r in found] == [r.want for r in found]
