@@ -52,8 +52,10 @@ def brute(rows, n=5, threshold=0.8):
     return Counter((r[0], None if least[root(k)] == float("inf") else least[root(k)], links[k]) for k, r in enumerate(rows))
 
 
-@pytest.mark.parametrize("together", [4096, 6])
-def test_against_all_pairs(spark, together):
+@pytest.mark.parametrize(("together", "paired"), [(4096, 16), (6, 16), (4, 0)])
+def test_against_all_pairs(spark, together, paired, monkeypatch):
+    """The same links whether a component meets whole, in pairs of blocks, or in its buckets."""
+    monkeypatch.setattr(jaccard, "PAIRED", paired)
     rows = corpus(3)
     expected = brute(rows)
     assert sum(n for (_, _, n) in expected) > 60
@@ -67,6 +69,49 @@ def test_prefix_is_shortened_to_the_target():
     assert jaccard.prefix_length(0.01, 1, 8, 0.9999) == 1
 
 
+def test_recall_of_a_family_near_the_threshold(spark):
+    """Prefixes are shortened for documents with many links at 0.8; a rule for single links would leave some out."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(150):
+        copy = list(base)
+        for at in rng.sample(range(0, 400, 10), 4 + rng.randrange(3)):
+            copy[at] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(copy))
+    rows = [(i, t, "", 0) for i, t in enumerate(texts)]
+    expected = brute(rows)
+    got = {r.doc_id: r.n_links for r in jaccard.classes(spark.createDataFrame(rows, COLUMNS), target=0.99).collect()}
+    want = {i: n for i, _, n in expected}
+    assert sum(want.values()) > 1000
+    assert sum(got.values()) >= 0.9999 * sum(want.values())
+    assert all(got[i] <= want[i] for i in want)
+
+
+def test_words_that_a_polynomial_hash_confuses(spark):
+    """The Thue-Morse word and its complement: equal modulo 2^64 whatever the base, and not equal here."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate({97: 98, 98: 97})
+    other = word.translate({97: 98, 98: 97})
+    rows = [(1, " ".join([word] * 20), "", 0), (2, " ".join([other] * 20), "", 0)]
+    assert {(r.doc_id, r.class_id, r.n_links, r.copies) for r in jaccard.classes(spark.createDataFrame(rows, COLUMNS)).collect()} == {(1, 1, 0, 1), (2, 2, 0, 1)}
+
+
+def test_shingles_are_compared_by_their_words():
+    owner, grams, size = jaccard.exact_sets([b"a b c d e f ", b"b c d e f a ", b"a b ", b"a b ", b"b a "], 5)
+    sets = [set(grams[owner == k].tolist()) for k in range(5)]
+    assert size.tolist() == [2, 2, 1, 1, 1]
+    assert len(sets[0] & sets[1]) == 1 and sets[2] == sets[3] != sets[4]
+
+
+def test_very_long_text_and_ties(spark):
+    long = " ".join(f"w{i}" for i in range(300_000))
+    rows = [(5, long, "", 0), (4, long + " end", "", 0), (9, "w1 w2", "", 0), (9, "w1 w2", "", 0)]
+    got = {(r.doc_id, r.class_id, r.n_links) for r in jaccard.classes(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert got == {(5, 4, 1), (4, 4, 1), (9, 9, 1)}
+
+
 def test_one_of_each_keeps_columns_and_blanks(spark):
     text = " ".join(f"w{i}" for i in range(80))
     rows = [(3, text, "a", 1), (2, text + " x", "b", 2), (4, "", "c", 3), (5, None, "d", 4), (9, "other", "e", 5)]

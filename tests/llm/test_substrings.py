@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from tidemark.llm import phrase_dedup, suffix_dedup, windows
@@ -90,13 +91,35 @@ def test_repeated_ids_are_one_document_to_bytes(spark):
 
 
 def test_level_index_merges_geometrically():
-    import numpy as np
-
-    index = suffix_dedup.LevelIndex()
-    for k in range(40):
-        index.add(np.array([f"{k:03d}{j:03d}" for j in range(10)], "S6"))
+    rng = np.random.default_rng(4)
+    index, seen = suffix_dedup.LevelIndex(20), set()
+    for _ in range(40):
+        text = rng.integers(97, 99, 400).astype(np.uint8)
+        text[:200] = 97 if rng.random() < 0.3 else text[:200]
+        rank = suffix_dedup.suffix_ranks(text, 20)[:381]
+        _, at = np.unique(rank, return_index=True)
+        strings = [text[p : p + 20].tobytes() for p in at.tolist()]
+        assert strings == sorted(set(strings))
+        assert index.add(text, at).tolist() == [x in seen for x in strings]
+        seen |= set(strings)
     assert len(index.levels) <= 6
-    assert index.scan(np.array(["000000", "039009", "999999"], "S6")).tolist() == [True, True, False]
+    assert sum(len(level.at) for level in index.levels) == len(seen)
+
+
+def test_windows_that_a_polynomial_hash_confuses(spark):
+    """The Thue-Morse word and its complement: equal modulo 2^64 whatever the base, and not equal here."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate({97: 98, 98: 97})
+    other = word.translate({97: 98, 98: 97})
+    rows = [(1, " ".join([word] * 20), 0, "", 0), (2, " ".join([other] * 20), 0, "", 0), (3, " ".join([word] * 20), 0, "", 0)]
+    same(phrase_dedup.dedup(spark.createDataFrame(rows, COLUMNS)), brute_words(rows))
+
+
+def test_recurring_windows_whose_hashes_collide(monkeypatch):
+    monkeypatch.setattr(phrase_dedup.textnp, "gram_hashes", lambda words, n: np.zeros(len(words) - n + 1, np.uint64))
+    words = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3])
+    assert phrase_dedup.recurring(words, np.arange(7), 3).tolist() == [0]
 
 
 def test_empty_table(spark):
@@ -111,3 +134,7 @@ def test_long_text_over_spans(spark):
     rows = [(1, long, 0, "", 0), (2, "x" + long[1_000_000:1_100_000] + "y", 0, "", 0)]
     got = {r.doc_id: r.n_removed for r in suffix_dedup.dedup(spark.createDataFrame(rows, COLUMNS)).collect()}
     assert got == {1: 0, 2: 100_000}
+    words = long.split()
+    rows = [(1, long, 0, "", 0), (2, "x " + "  ".join(words[100_000:110_000]) + " y", 0, "", 0)]
+    got = {r.doc_id: r.n_removed for r in phrase_dedup.dedup(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert got == {1: 0, 2: 10_000}

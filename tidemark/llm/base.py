@@ -31,13 +31,14 @@ def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
 HOT_SHARE = 1000
 
 
-def join_counted(rows: DataFrame, groups: DataFrame, key: str, count: str) -> DataFrame:
-    """rows joined with their group's row; ``count`` says how many of the rows each group has.
+def join_counted(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int | None = None) -> DataFrame:
+    """rows joined with their group's row; ``count`` says how many of the rows each group has, ``total`` their sum.
 
     A group with over 1 / HOT_SHARE of all rows is hot: fewer than HOT_SHARE of them exist at any size, so they are
     broadcast and a hot key is in no shuffle. The others are joined by shuffle.
     """
-    total = groups.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    if total is None:
+        total = groups.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
     hot, rest = (groups.filter((F.col(count) * HOT_SHARE > total) == is_hot) for is_hot in (True, False))
     names = [c for c in groups.columns if c != key]
     by_hot = rows.join(F.broadcast(hot), key, "left")

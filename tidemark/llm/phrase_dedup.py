@@ -1,9 +1,10 @@
 """Substring deduplication by repeated-phrase automata.
 
 Removes each word covered by a window of ``window`` words whose words also start earlier (in a smaller doc_id, or
-earlier in the document). Passages that may recur meet in shards (see ``windows``). A shard confirms the windows
-that recur, compiles them into an Aho-Corasick automaton, streams its passages through it to locate every occurrence,
-and keeps the first.
+earlier in the document). Passages that may recur meet in shards (see ``windows``), those of a key over the whole corpus
+in one, so a window that stands twice in a shard is confirmed to recur. A shard compiles its confirmed windows into an
+Aho-Corasick automaton, and the passages of all documents stream through the automata of their shards, which locate
+every occurrence; all but the first are hits. Words are compared as bytes.
 
 Cases: null text has no words; a null doc_id counts as larger than all others; rows that repeat a doc_id come in the
 order of their texts; an empty table gives an empty result; other columns are not read.
@@ -34,39 +35,58 @@ def word_symbols(column) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(offsets)
 
 
-def judge(pieces: list[np.ndarray], counts: np.ndarray, docs: np.ndarray, window: int) -> np.ndarray:
-    """For each window of each piece whether it stands earlier. Pieces come by document and place."""
-    if not len(pieces):
-        return np.zeros(0, bool)
-    text = np.concatenate(pieces)
-    _, words = np.unique(text, return_inverse=True)
-    size = np.array([len(p) for p in pieces])
-    first_word, first_window = np.cumsum(size) - size, np.cumsum(counts) - counts
-    at = np.repeat(first_word - first_window, counts) + np.arange(counts.sum())
+def word_content(column) -> tuple[bytes, np.ndarray]:
+    """The words of all rows, a space behind each, and where they begin."""
+    raw, at = textnp.utf8(column)
+    parts, cuts = [], [np.zeros(1, np.int64)]
+    for lo, hi in textnp.slices(at):
+        part, rows = raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
+        joined, places = textnp.joined_words(part, rows, *textnp.word_spans(part, rows)[:2])
+        parts.append(joined.tobytes())
+        cuts.append(places[1:] + cuts[-1][-1])
+    return b"".join(parts), np.concatenate(cuts)
+
+
+def recurring(words: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """Places, one of each, at which windows of word numbers begin that begin at several places of ``at``."""
     grams = textnp.gram_hashes(textnp.mix(words.astype(np.uint64) + np.uint64(1)), window)[at]
-    order = np.argsort(grams, kind="stable")
-    ranked = grams[order]
-    starts = np.r_[True, ranked[1:] != ranked[:-1]]
-    several = np.repeat(np.diff(np.r_[np.flatnonzero(starts), len(ranked)]) > 1, np.diff(np.r_[np.flatnonzero(starts), len(ranked)]))
-    confirmed = order[starts & several]
-    found = np.zeros(len(at), bool)
-    if not len(confirmed):
+    while True:
+        order = np.argsort(grams, kind="stable")
+        ranked, place = grams[order], at[order]
+        starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+        times = np.diff(np.r_[starts, len(ranked)])
+        leader = np.repeat(place[starts], times)
+        if all((words[place + k] == words[leader + k]).all() for k in range(window)):
+            return place[starts[times > 1]]
+        grams = textnp.gram_numbers(words, window)[at]  # two windows share a hash: number them exactly
+
+
+def judge(raw: bytes, begin: np.ndarray, end: np.ndarray, counts: np.ndarray, docs: np.ndarray, window: int) -> np.ndarray:
+    """For each window of each piece whether it stands earlier. Pieces come by document and place."""
+    found = np.zeros(int(counts.sum()), bool)
+    if not len(found):
         return found
+    joined = np.frombuffer(raw, np.uint8)
+    bounds = np.r_[0, np.flatnonzero(joined == 0x20) + 1]
+    words, _ = textnp.word_numbers(joined, bounds)
+    lo, hi = np.searchsorted(bounds, begin), np.searchsorted(bounds, end)
+    listed, base = words.tolist(), (np.cumsum(counts) - counts).tolist()
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    listed = words.tolist()
-    for k, s in enumerate(at[confirmed].tolist()):
+    for k, s in enumerate(recurring(words, windows.spread(lo, counts), window).tolist()):
         automaton.add_word(tuple(listed[s : s + window]), k)
+    if not len(automaton):
+        return found
     automaton.make_automaton()
-    recurs = np.zeros(len(at), bool)
-    recurs[order[several]] = True
-    seen: set[int] = set()
-    for p in np.flatnonzero(np.maximum.reduceat(recurs, first_window)).tolist():
-        lo, base = int(first_word[p]), int(first_window[p])
-        for end, k in automaton.iter(tuple(listed[lo : lo + int(size[p])])):
-            if k in seen:
-                found[base + end - window + 1] = True
+    seen = bytearray(len(automaton))
+    hits = []
+    for a, b, first in zip(lo.tolist(), hi.tolist(), base, strict=True):
+        first += 1 - window
+        for at, k in automaton.iter(tuple(listed[a:b])):
+            if seen[k]:
+                hits.append(first + at)
             else:
-                seen.add(k)
+                seen[k] = 1
+    found[hits] = True
     return found
 
 
@@ -86,5 +106,5 @@ def _finish(ids, text, symbols, offsets, covered) -> pa.Table:
 
 def dedup(docs: DataFrame, window: int = 20, gram: int = 6, hot: int = windows.HOT) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each document."""
-    plan = windows.Plan(window, gram, True, word_symbols, judge, _finish, SCHEMA, hot)
-    return windows.run(docs, plan, "uint64")
+    plan = windows.Plan(window, gram, True, False, word_symbols, word_content, judge, _finish, SCHEMA, hot)
+    return windows.run(docs, plan)

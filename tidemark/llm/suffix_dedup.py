@@ -1,9 +1,13 @@
 """Suffix-array deduplication with a logarithmic family of indexes.
 
 Removes each byte covered by a string of ``window`` bytes that also starts in a document with a smaller doc_id.
-Strings that may recur meet in shards (see ``windows``). In a shard, documents come in batches of ascending doc_id;
-a new batch gets a suffix array, is merge-scanned against each existing level for strings already there, and becomes
-a level itself; levels of equal size are merged, so sizes grow geometrically and there are logarithmically many.
+Strings that may recur meet in shards (see ``windows``). In a shard, texts come in batches of ascending doc_id. A new
+batch gets a suffix array, by prefix doubling up to the window; it is merge-scanned against each existing level for
+strings already there, and the suffixes that no level has become a level. Levels are positions in their text; those of
+about equal size merge, so sizes grow geometrically and there are logarithmically many.
+
+Equal runs are combined before they are sent and again in the shard: the index judges each distinct run once, with its
+smallest document, and the other documents that have the run inherit that it stands earlier.
 
 Cases: null text is empty; a null doc_id counts as larger than all others; rows that repeat a doc_id are one document
 to each other; texts shorter than the window lose nothing; an empty table gives an empty result; other columns are
@@ -21,67 +25,121 @@ from pyspark.sql import DataFrame
 
 from . import textnp, windows
 
-BATCH = 1 << 15
+BATCH = 1 << 18
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+def suffix_ranks(text: np.ndarray, window: int) -> np.ndarray:
+    """For each position a rank of the ``window`` bytes from it: in order, and equal exactly for equal bytes."""
+    depth = min(8, window)
+    _, rank = np.unique(eights(text)[: len(text)] >> np.uint64(64 - 8 * depth), return_inverse=True)
+    while depth < window:
+        step, most = min(depth, window - depth), len(text) + 1
+        both = rank * most
+        both[: len(text) - step] += rank[step:] + 1
+        _, rank = np.unique(both, return_inverse=True)
+        depth += step
+    return rank
+
+
+def eights(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position as a number in their order; a text ends in zeros."""
+    return np.ndarray(len(text) + 1, ">u8", np.concatenate([text, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+class Level:
+    """A text and the positions of strings in it, sorted by the strings, which are distinct."""
+
+    def __init__(self, text: np.ndarray, at: np.ndarray, window: int):
+        self.text, self.at, self.window = text, at, window
+        self.eight = eights(text)
+        self.first = self.eight[at].astype(np.uint64)
+
+    def places(self, other: Level) -> tuple[np.ndarray, np.ndarray]:
+        """For each of other's strings how many of these come before it, and whether it is among these.
+
+        Both are sorted: the first bytes are merged, and only where they agree the strings are compared on.
+        """
+        lo, hi = np.searchsorted(self.first, other.first), np.searchsorted(self.first, other.first, "right")
+        todo = np.flatnonzero(lo < hi)
+        low, high = lo.copy(), hi.copy()
+        while len(todo):
+            middle = (low[todo] + high[todo]) // 2
+            less, _ = self._compare(self.at[middle], other, other.at[todo])
+            low[todo] = np.where(less, middle + 1, low[todo])
+            high[todo] = np.where(less, high[todo], middle)
+            todo = todo[low[todo] < high[todo]]
+        same = np.zeros(len(lo), bool)
+        todo = np.flatnonzero(low < hi)
+        same[todo] = self._compare(self.at[low[todo]], other, other.at[todo])[1]
+        return low, same
+
+    def _compare(self, mine: np.ndarray, other: Level, theirs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether strings are less than, and whether they are equal to, others that have the same first bytes."""
+        less, open_ = np.zeros(len(mine), bool), np.ones(len(mine), bool)
+        for k in [*range(8, self.window - 7, 8), self.window - 8] if self.window > 8 else []:
+            live = np.flatnonzero(open_)
+            a, b = self.eight[mine[live] + k], other.eight[theirs[live] + k]
+            less[live] = a < b
+            open_[live] = a == b
+        return less, open_
+
+    def merged(self, other: Level) -> Level:
+        """Both levels in one; they have no string in common."""
+        at = np.insert(self.at, self.places(other)[0], other.at + len(self.text))
+        return Level(np.concatenate([self.text, other.text]), at, self.window)
+
+
 class LevelIndex:
-    """Sorted arrays of distinct fixed-length strings, the newest and smallest last."""
+    """Levels of distinct strings, the newest and smallest last."""
+
+    def __init__(self, window: int):
+        self.window = window
+        self.levels: list[Level] = []
 
-    def __init__(self):
-        self.levels: list[np.ndarray] = []
+    def add(self, text: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which strings, at sorted and distinct places of the text, a level has; the others become a level.
 
-    def scan(self, strings: np.ndarray) -> np.ndarray:
-        """Which of the sorted strings are in a level."""
-        hit = np.zeros(len(strings), bool)
+        It is merged with older ones while those are no more than twice as large.
+        """
+        new, hit = Level(text, at, self.window), np.zeros(len(at), bool)
         for level in self.levels:
-            at = np.searchsorted(level, strings)
-            at[at == len(level)] = 0
-            hit |= level[at] == strings
+            hit |= level.places(new)[1]
+        if not hit.all():
+            new = Level(text, at[~hit], self.window)
+            while self.levels and len(self.levels[-1].at) <= 2 * len(new.at):
+                new = self.levels.pop().merged(new)
+            self.levels.append(new)
         return hit
 
-    def add(self, strings: np.ndarray) -> None:
-        """A new level of sorted distinct strings, merged with older ones while those are no more than twice as large."""
-        while self.levels and len(self.levels[-1]) <= 2 * len(strings):
-            strings = np.concatenate([self.levels.pop(), strings])
-            strings.sort(kind="stable")  # two sorted runs: one merge
-            strings = strings[np.r_[True, strings[1:] != strings[:-1]]]
-        self.levels.append(strings)
-
-
-def judge(pieces: list[np.ndarray], counts: np.ndarray, docs: np.ndarray, window: int, batch: int = BATCH) -> np.ndarray:
-    """For each string of each piece whether a piece of a smaller document has it. Pieces come by document.
-
-    Strings whose hash is alone in the shard stand nowhere else and get no place in a suffix array.
-    """
-    found = np.zeros(int(counts.sum()), bool)
-    if not len(found):
-        return found
-    text, size = np.concatenate(pieces), np.array([len(p) for p in pieces])
-    at = np.repeat(np.cumsum(size) - size - np.cumsum(counts) + counts, counts) + np.arange(len(found))
-    hashes = textnp.span_hashes(text, at, window)
-    order = np.argsort(hashes)
-    fresh = hashes[order[1:]] != hashes[order[:-1]]
-    alone = np.r_[True, fresh] & np.r_[fresh, True]
-    rows = np.sort(order[~alone])
-    del hashes, order
-    at, doc = at[rows], np.repeat(docs, counts)[rows]
-    hit = np.zeros(len(rows), bool)
-    every = np.lib.stride_tricks.sliding_window_view(text, window) if len(rows) else None
-    index, lo = LevelIndex(), 0
-    while lo < len(rows):
-        hi = min(len(rows), lo + batch)
-        hi = int(np.searchsorted(doc, doc[hi - 1], "right"))  # a document stays in one batch
-        strings = np.ascontiguousarray(every[at[lo:hi]]).view(f"S{window}").ravel()
-        suffixes = np.argsort(strings, kind="stable")  # ties stay in order of doc_id
-        ranked = strings[suffixes]
-        first = np.r_[True, ranked[1:] != ranked[:-1]]
-        group = np.cumsum(first) - 1
-        smallest = doc[lo:hi][suffixes][first]
-        hit[lo + suffixes] = index.scan(ranked[first])[group] | (smallest[group] < doc[lo:hi][suffixes])
-        index.add(ranked[first])
+
+def judge(raw: bytes, begin: np.ndarray, end: np.ndarray, counts: np.ndarray, docs: np.ndarray, window: int, batch: int = BATCH) -> np.ndarray:
+    """For each string of each piece whether a piece of a smaller document has it. Pieces come by document."""
+    bounds, owner = zip(begin.tolist(), end.tolist(), strict=True), {}
+    first = np.array([owner.setdefault(raw[a:b], k) for k, (a, b) in enumerate(bounds)], np.int64)
+    start = np.cumsum(counts) - counts
+    found = np.ones(int(counts.sum()), bool)
+    mine, text = np.flatnonzero(first == np.arange(len(first))), np.frombuffer(raw, np.uint8)
+    index, total, lo = LevelIndex(window), np.cumsum(counts[mine]), 0
+    while lo < len(mine):
+        hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + batch, "right"))
+        hi = int(np.searchsorted(docs[mine], docs[mine[max(hi - 1, lo)]], "right"))  # a document stays in one batch
+        part = mine[lo:hi]
+        size = end[part] - begin[part]
+        own = text[windows.spread(begin[part], size)]
+        at, doc = windows.spread(np.cumsum(size) - size, counts[part]), np.repeat(docs[part], counts[part])
+        rank = suffix_ranks(own, window)[at]
+        suffixes = np.argsort(rank, kind="stable")  # ties stay in order of doc_id
+        ranked = rank[suffixes]
+        fresh = np.r_[True, ranked[1:] != ranked[:-1]]
+        group = np.cumsum(fresh) - 1
+        smallest = doc[suffixes][fresh]
+        hit = np.empty(len(at), bool)
+        hit[suffixes] = index.add(own, at[suffixes][fresh])[group] | (smallest[group] < doc[suffixes])
+        found[windows.spread(start[part], counts[part])] = hit
         lo = hi
-    found[rows] = hit
+    same = np.flatnonzero((first != np.arange(len(first))) & (docs == docs[first]))  # rows that repeat a doc_id
+    found[windows.spread(start[same], counts[same])] = found[windows.spread(start[first[same]], counts[same])]
     return found
 
 
@@ -97,10 +155,15 @@ def _finish(ids, text, raw, offsets, covered) -> pa.Table:
     return pa.table({"doc_id": ids.cast(pa.int64()), "n_bytes": pa.array(np.diff(offsets), pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
 
 
+def byte_content(column) -> tuple[bytes, np.ndarray]:
+    raw, _ = textnp.utf8(column)
+    return raw.tobytes(), np.arange(len(raw) + 1)
+
+
 def dedup(docs: DataFrame, window: int = 50, gram: int = 20, hot: int = windows.HOT, batch: int = BATCH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document."""
-    plan = windows.Plan(window, gram, False, textnp.utf8, partial(judge, batch=batch), _finish, SCHEMA, hot)
-    return windows.run(docs, plan, "uint8")
+    plan = windows.Plan(window, gram, False, True, textnp.utf8, byte_content, partial(judge, batch=batch), _finish, SCHEMA, hot)
+    return windows.run(docs, plan)
 
 
 def _finish_text(ids, text, raw, offsets, covered) -> pa.Table:
@@ -110,5 +173,5 @@ def _finish_text(ids, text, raw, offsets, covered) -> pa.Table:
 
 def kept_texts(docs: DataFrame, window: int = 50, gram: int = 20) -> DataFrame:
     """doc_id and the text that is left; a character of which a part was removed becomes U+FFFD."""
-    plan = windows.Plan(window, gram, False, textnp.utf8, judge, _finish_text, "doc_id long, kept string")
-    return windows.run(docs, plan, "uint8")
+    plan = windows.Plan(window, gram, False, True, textnp.utf8, byte_content, judge, _finish_text, "doc_id long, kept string")
+    return windows.run(docs, plan)

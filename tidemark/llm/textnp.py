@@ -5,6 +5,7 @@ A word is a maximal run of bytes outside 0x20 and 0x09-0x0D, taken unchanged. A
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SPAN = 1 << 20
+LONG_WORD = 256
+LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -86,20 +89,47 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEP
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, alike on every executor."""
-    out, i = np.empty(len(starts), np.uint64), 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(stops, starts[i] + SPAN, "right")))
-        lo, hi = starts[i], stops[j - 1]
-        up, down = powers(int(hi - lo) + 1)
-        sums = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum((raw[lo:hi].astype(np.uint64) + np.uint64(1)) * up[: hi - lo], dtype=np.uint64, out=sums[1:])
-        s, e = starts[i:j] - lo, stops[i:j] - lo
-        out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
-        i = j
+    """A 64-bit hash of each word's bytes, alike on every executor: eight bytes a step, each step mixed.
+
+    Words may collide, so what follows from equal hashes is to be confirmed on the words' bytes.
+    """
+    size = stops - starts
+    out = mix(size.astype(np.uint64) + np.uint64(1))
+    eight = np.ndarray(len(raw) + 1, "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))
+    todo, step = np.flatnonzero(size <= LONG_WORD), 0
+    while len(todo):
+        left = size[todo] - step
+        chunk = eight[starts[todo] + step] & LOW_BYTES[np.minimum(left, 8)]
+        out[todo] = mix((out[todo] ^ chunk) * BASE)
+        todo, step = todo[left > 8], step + 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : stops[i]], digest_size=8).digest(), "little")
     return out
 
 
+def joined_words(raw: np.ndarray, offsets: np.ndarray, starts: np.ndarray, stops: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray]:
+    """The words one after another, each with one space behind it, and the n + 1 offsets of the words in that."""
+    at = np.r_[0, np.cumsum(stops - starts + 1)]
+    keep = ~separator[raw]
+    bare = np.zeros(len(raw) + 1, bool)  # where a row ends: a word that ends there has no separator of its own
+    bare[offsets] = True
+    bare = bare[stops]
+    space = stops[~bare]
+    keep[space] = True
+    plain = raw.copy()
+    plain[space] = 0x20
+    out = plain[keep]
+    lone = np.flatnonzero(bare)
+    return np.insert(out, at[lone + 1] - 1 - np.arange(len(lone)), 0x20), at
+
+
+def word_numbers(joined: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, int]:
+    """A number for each word of ``joined_words``, equal exactly for equal bytes, and how many there are."""
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(joined)])
+    coded = words.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
+
+
 def gram_hashes(hashes: np.ndarray, n: int, skip: int = 0) -> np.ndarray:
     """Hash of the n hashes that start at each position (``skip`` left out between two of them)."""
     step, count = 1 + skip, len(hashes) - (n - 1) * (1 + skip)
@@ -113,16 +143,9 @@ def gram_hashes(hashes: np.ndarray, n: int, skip: int = 0) -> np.ndarray:
     return out
 
 
-def span_hashes(symbols: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Hash of the ``length`` symbols from each position of ``at``, which ascends."""
-    out, i = np.empty(len(at), np.uint64), 0
-    while i < len(at):
-        j = max(i + 1, int(np.searchsorted(at, at[i] + SPAN, "left")))
-        lo, hi = at[i], at[j - 1] + length
-        up, down = powers(int(hi - lo) + 1)
-        sums = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum((symbols[lo:hi].astype(np.uint64) + np.uint64(1)) * up[: hi - lo], dtype=np.uint64, out=sums[1:])
-        s = at[i:j] - lo
-        out[i:j] = mix((sums[s + length] - sums[s]) * down[s])
-        i = j
+def gram_numbers(numbers: np.ndarray, n: int) -> np.ndarray:
+    """A number for the n numbers that start at each position, equal exactly for equal ones."""
+    out, most = numbers, int(numbers.max(initial=0)) + 1
+    for k in range(1, n):
+        _, out = np.unique(out[:-1] * most + numbers[k:], return_inverse=True)
     return out

@@ -6,13 +6,16 @@ maximal stretch of windows with the same key. Documents lie in blocks by hash of
 
 1. count: each block sends its distinct keys, cut to 40 bits, to the bucket of the key.
 2. tell: a bucket returns to each block which of its keys occur again anywhere, and which are hot (over ``HOT`` times).
-3. send: a block sends its runs with recurring keys to the shard of the key, equal runs once with the first place.
-   Runs of hot keys go window by window to the shard of the whole window, so no key, however common, meets in one task.
-4. judge: a shard compares windows exactly (the operator's own method) and returns a bit for each.
+3. send: a block sends its runs with recurring keys, as bytes, to the shard of the key. Runs of hot keys go window by
+   window to the shard of the whole window, so no key, however common, meets in one task; a block combines equal ones
+   before it sends them. Where ``combine`` says so it does that with all runs.
+4. judge: a shard compares windows exactly (the operator's own method, on bytes) and returns a bit for each.
 5. finish: blocks apply the bits.
 
-A document's later copies of a run inside a block need no shard: all their windows stand earlier. The text is shuffled
-once; the steps use the same exchange.
+Hashes only propose: two windows that differ may meet in a shard, equal ones always do. What a block combined: all but
+the first of equal runs stand in a later document or place. The text is shuffled once; the steps use the same exchange.
+Blocks and shards are as many as twice the shuffle partitions, and more where that would put over ``BLOCK_BYTES`` of
+text into a block.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,18 +35,24 @@ from .base import partitions, text_or_empty
 
 HOT = 4096
 LONGEST = 256
+MOST = (1 << 16) - 1  # a block's count of a key goes up to this, which is hot by itself
+BLOCK_BYTES = 128 << 20
 LAST = (1 << 63) - 1
 
 
 @dataclass(frozen=True)
 class Plan:
-    """symbols: Arrow text column -> (symbols, row offsets). within: whether an earlier place in the same document
-    counts too. judge: see ``judge_shard``. finish: (ids, text column, symbols, offsets, covered) -> RecordBatch."""
+    """symbols: Arrow text column -> (symbols, row offsets). content: the same -> (bytes, the n + 1 places in them where
+    symbols begin). within: whether an earlier place in the same document counts too. judge: (bytes of the pieces,
+    where each begins and ends, their windows and documents, window) -> a bit for each window; pieces come by document
+    and place. finish: (ids, text column, symbols, offsets, covered) -> table."""
 
     window: int
     gram: int
     within: bool
+    combine: bool
     symbols: Callable
+    content: Callable
     judge: Callable
     finish: Callable
     schema: str
@@ -148,7 +158,7 @@ class Block:
         self.doc = np.searchsorted(self.offsets, self.runs.start, "right") - 1
 
     def counted(self) -> np.ndarray:
-        """For each slot how often it counts here, at most 255."""
+        """For each slot how often it counts here, at most ``MOST``."""
         n = np.bincount(self.place, minlength=len(self.slot))
         if self.plan.within:
             n = n + np.bincount(self.place, self.runs.doubled, minlength=len(self.slot)).astype(np.int64)
@@ -158,7 +168,7 @@ class Block:
             p, k = self.place[order], keys[order]
             fresh = np.r_[True, (p[1:] != p[:-1]) | (k[1:] != k[:-1])] if len(p) else np.zeros(0, bool)
             n = np.bincount(p[fresh], minlength=len(self.slot))
-        return np.minimum(n, 255).astype(np.uint8)
+        return np.minimum(n, MOST).astype(np.uint16)
 
     def choose(self, told: pa.Table, shards: int) -> None:
         """Sets what is sent: pieces (start, windows) with shard, and for each recurring run its first equal piece."""
@@ -178,24 +188,17 @@ class Block:
         self.count = np.where(is_hot[owner], 1, count[owner])
         self.hot = is_hot[owner]
         self.key = key[owner]
-        raw, width, w = self.symbols.tobytes(), self.symbols.itemsize, self.plan.window
+        raw, cut = self.plan.content(self.text)
+        begin, end = cut[self.start].tolist(), cut[self.start + self.count + self.plan.window - 1].tolist()
+        self.contents = [raw[a:b] for a, b in zip(begin, end, strict=True)]
+        self.first = np.arange(len(self.start))
         seen: dict[bytes, int] = {}
-        contents, first = [], np.empty(len(self.start), np.int64)
-        for i, (s, n) in enumerate(zip(self.start.tolist(), self.count.tolist(), strict=True)):
-            content = raw[s * width : (s + n + w - 1) * width]
-            first[i] = seen.setdefault(content, i)
-            if first[i] == i:
-                contents.append(content)
-        self.first, self.contents = first, contents
-        self.sent = np.flatnonzero(first == np.arange(len(first)))
+        for i in (self.first if self.plan.combine else np.flatnonzero(self.hot)).tolist():
+            self.first[i] = seen.setdefault(self.contents[i], i)
+        self.sent = np.flatnonzero(self.first == np.arange(len(self.first)))
         target = textnp.mix(self.key[self.sent].copy())
-        if self.hot.any():
-            at = np.flatnonzero(self.hot[self.sent])
-            words = np.frombuffer(b"".join(contents[i] for i in at), self.symbols.dtype).reshape(len(at), w).astype(np.uint64)
-            whole = np.zeros(len(at), np.uint64)
-            for column in words.T:
-                whole = textnp.mix(whole * textnp.BASE + column + np.uint64(1))
-            target[at] = whole
+        for k in np.flatnonzero(self.hot[self.sent]).tolist():
+            target[k] = xxhash.xxh3_64_intdigest(self.contents[self.sent[k]])
         self.shard = (target % np.uint64(shards)).astype(np.int64)
 
     def piece_doc(self) -> np.ndarray:
@@ -204,7 +207,7 @@ class Block:
 
 COUNT_SCHEMA = "block int, bucket int, prints binary, counts binary"
 TELL_SCHEMA = "block int, bucket int, flags binary"
-SEND_SCHEMA = "block int, shard int, contents binary, windows binary, docs binary"
+SEND_SCHEMA = "block int, shard int, contents binary, sizes binary, windows binary, docs binary"
 JUDGE_SCHEMA = "block int, shard int, bits binary"
 
 
@@ -234,7 +237,7 @@ def _tell(limit: int):
 def _told(table: pa.Table, limit: int) -> pa.Table:
     raw = table.column("prints").to_pylist()
     prints = unpack(b"".join(raw))
-    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8)
+    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint16)
     order = np.argsort(prints, kind="stable")
     ranked = prints[order]
     at = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
@@ -251,12 +254,13 @@ def _send(plan: Plan, buckets: int, shards: int):
         block = Block(table, plan, buckets)
         block.choose(told, shards)
         docs = block.piece_doc()[block.sent]
-        rows = {name: [] for name in ("block", "shard", "contents", "windows", "docs")}
+        rows = {name: [] for name in ("block", "shard", "contents", "sizes", "windows", "docs")}
         order = np.argsort(block.shard, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(block.shard[order])) + 1) if len(order) else []:
             rows["block"].append(key[0].as_py())
             rows["shard"].append(int(block.shard[part[0]]))
-            rows["contents"].append(b"".join([block.contents[i] for i in part.tolist()]))
+            rows["contents"].append(b"".join([block.contents[i] for i in block.sent[part].tolist()]))
+            rows["sizes"].append(np.array([len(block.contents[i]) for i in block.sent[part].tolist()], np.uint32).tobytes())
             rows["windows"].append(block.count[block.sent[part]].astype(np.uint16).tobytes())
             rows["docs"].append(docs[part].tobytes())
         kinds = {"block": pa.int32(), "shard": pa.int32()}
@@ -265,34 +269,30 @@ def _send(plan: Plan, buckets: int, shards: int):
     return run
 
 
-def _judge(plan: Plan, kind: str):
+def _judge(plan: Plan):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
         windows = [np.frombuffer(x, np.uint16).astype(np.int64) for x in table.column("windows").to_pylist()]
         docs = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("docs").to_pylist()])
-        raw = b"".join(table.column("contents").to_pylist())
-        count = np.concatenate(windows)
-        dtype = np.dtype(kind)
-        ends = np.cumsum((count + plan.window - 1) * dtype.itemsize)
-        owner: dict[bytes, int] = {}
-        first = np.empty(len(count), np.int64)
+        size = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("sizes").to_pylist()]).astype(np.int64)
+        raw, count = b"".join(table.column("contents").to_pylist()), np.concatenate(windows)
+        begin, first = np.cumsum(size) - size, np.cumsum(count) - count
         order = np.argsort(docs, kind="stable")  # a document is in one block, whose pieces are in order
-        cut = np.r_[0, ends]
-        for i in order.tolist():
-            first[i] = owner.setdefault(raw[cut[i] : cut[i + 1]], i)
-        mine = order[first[order] == order]
-        answers = plan.judge([np.frombuffer(raw, dtype, (cut[i + 1] - cut[i]) // dtype.itemsize, cut[i]) for i in mine.tolist()], count[mine], docs[mine], plan.window)
-        at = np.r_[0, np.cumsum(count)]
-        bits = np.ones(at[-1], bool)
-        place = np.repeat(at[mine], count[mine]) + np.arange(len(answers)) - np.repeat(np.cumsum(count[mine]) - count[mine], count[mine])
-        bits[place] = answers
-        sizes = np.cumsum([int(x.sum()) for x in windows])
-        out = [np.packbits(bits[a:b]).tobytes() for a, b in zip(np.r_[0, sizes[:-1]], sizes, strict=True)]
+        answers = plan.judge(raw, begin[order], (begin + size)[order], count[order], docs[order], plan.window)
+        bits = np.empty(len(answers), bool)
+        bits[spread(first[order], count[order])] = answers
+        ends = np.cumsum([int(x.sum()) for x in windows])
+        out = [np.packbits(bits[a:b]).tobytes() for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)]
         return pa.table({"block": table.column("block"), "shard": table.column("shard"), "bits": pa.array(out, pa.binary())})
 
     return run
 
 
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1 and so on, ``count`` numbers from each, one after another."""
+    return np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
 def _finish(plan: Plan, buckets: int, shards: int):
     def run(key: tuple, table: pa.Table, both: pa.Table) -> pa.Table:
         block = Block(table, plan, buckets)
@@ -307,15 +307,15 @@ def _finish(plan: Plan, buckets: int, shards: int):
             pieces = block.sent[part]
             n = block.count[pieces]
             bits = np.unpackbits(np.frombuffer(bits_of[int(block.shard[part[0]])], np.uint8), count=int(n.sum())).astype(bool)
-            earlier[np.repeat(at[pieces] - np.cumsum(n) + n, n) + np.arange(len(bits))] = bits
+            earlier[spread(at[pieces], n)] = bits
         copies = np.flatnonzero(block.first != np.arange(len(block.first)))
         docs = block.piece_doc()
         whole = copies if plan.within else copies[docs[copies] > docs[block.first[copies]]]
-        spread = lambda rows: np.repeat(at[rows] - np.cumsum(block.count[rows]) + block.count[rows], block.count[rows]) + np.arange(block.count[rows].sum())
-        earlier[spread(whole)] = True
+        windows_of = lambda rows: spread(at[rows], block.count[rows])
+        earlier[windows_of(whole)] = True
         if not plan.within:  # rows that repeat a doc_id share the answer of its first row
             same = copies[docs[copies] == docs[block.first[copies]]]
-            earlier[spread(same)] = earlier[spread(block.first[same])]
+            earlier[windows_of(same)] = earlier[windows_of(block.first[same])]
         position = np.repeat(block.start - at[:-1], block.count) + np.arange(at[-1])
         hits = position[earlier]
         edges = np.zeros(len(block.symbols) + 1, np.int32)
@@ -327,18 +327,21 @@ def _finish(plan: Plan, buckets: int, shards: int):
     return run
 
 
-def run(docs: DataFrame, plan: Plan, kind: str) -> DataFrame:
-    """plan.finish's rows for all documents. kind: numpy type of the symbols. docs: doc_id, text."""
+def run(docs: DataFrame, plan: Plan) -> DataFrame:
+    """plan.finish's rows for all documents. docs: doc_id, text."""
+    if plan.hot > MOST:
+        raise ValueError(f"hot is at most {MOST}")
     n = partitions(docs.sparkSession)
-    blocks, buckets, shards = 2 * n, n, 2 * n
     rows = docs.select("doc_id", text_or_empty().alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_key"))
+    full = -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES)
+    blocks, buckets, shards = max(2 * n, full), max(n, full), max(2 * n, 4 * full)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_key"), F.lit(blocks)).cast("int"))
     # block, bucket and shard numbers are partition numbers, so each is one task's and none gets several by chance
     by_block = lambda df: df.repartitionById(blocks, "block").groupBy("block")
     counts = by_block(rows).applyInArrow(_count(plan, buckets), COUNT_SCHEMA)
     told = counts.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(_tell(plan.hot), TELL_SCHEMA)
     sent = by_block(rows).cogroup(by_block(told)).applyInArrow(_send(plan, buckets, shards), SEND_SCHEMA)
-    judged = sent.repartitionById(shards, "shard").groupBy("shard").applyInArrow(_judge(plan, kind), JUDGE_SCHEMA)
+    judged = sent.repartitionById(shards, "shard").groupBy("shard").applyInArrow(_judge(plan), JUDGE_SCHEMA)
     both = told.withColumns({"shard": F.lit(None).cast("int"), "bits": F.lit(None).cast("binary")}).unionByName(
         judged.withColumns({"bucket": F.lit(None).cast("int"), "flags": F.lit(None).cast("binary")})
     )
