@@ -6,6 +6,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +48,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_scratch: list[str] = []
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df written once as Parquet in the shared folder and read from there.
 
@@ -54,6 +59,23 @@ def saved(df: DataFrame) -> DataFrame:
     are not kept.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    folder = _scratch[-1] if _scratch else f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this application's intermediate files."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What ``saved`` writes inside is deleted at the end, so no frame that reads it may be used after that."""
+    _scratch.append(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        remove(spark, _scratch.pop())
