@@ -56,7 +56,7 @@ def test_survivors_carry_the_high_position(spark):
 
 
 def control(seq, token="low", **other):
-    row = {"session": 1, "seq": seq, "is_control": True, "op": "WATERMARK", "origin": "LOG", "table_ok": True, "key_ok": True, "has_after": True, "token": token, "low_token": "low", "high_token": "high", "run_id": None}
+    row = {"session": 1, "seq": seq, "is_control": True, "op": "WATERMARK", "origin": "LOG", "table_ok": True, "key_ok": True, "has_after": True, "token": token, "token_type": "string", "low_token": "low", "high_token": "high", "run_id": None, "run_type": "string", "own_run": "mine"}
     return row | other
 
 
@@ -74,17 +74,22 @@ def control(seq, token="low", **other):
         ([control(1, has_after=False)], "NO_AFTER_ROW"),
         ([control(1, " ")], "BLANK_TOKEN"),
         ([control(1, op="UPDATE")], "NOT_A_WATERMARK"),
+        ([control(1, None)], "BLANK_TOKEN"),
+        ([control(1, "7", token_type="int")], "TOKEN_IS_NO_TEXT"),
+        ([control(1, "x", run_id="7", run_type="int")], "RUN_IS_NO_TEXT"),
+        ([control(1, "x", run_id=" ")], "UNKNOWN_TOKEN"),
+        ([control(1, "x", run_id="r", own_run=None)], "UNKNOWN_TOKEN"),
         ([control(1), control(2, "bogus")], "UNKNOWN_TOKEN"),
     ],
 )
 def test_invalid_sequences(spark, rows, code):
-    schema = "session long, seq long, is_control boolean, op string, origin string, table_ok boolean, key_ok boolean, has_after boolean, token string, low_token string, high_token string, run_id string"
+    schema = "session long, seq long, is_control boolean, op string, origin string, table_ok boolean, key_ok boolean, has_after boolean, token string, token_type string, low_token string, high_token string, run_id string, run_type string, own_run string"
     found = reconcile.violations(spark.createDataFrame([tuple(r.values()) for r in rows], schema)).orderBy("seq").collect()
     assert found[0].code == code
 
 
 def test_valid_and_stale_sequences(spark):
-    schema = "session long, seq long, is_control boolean, op string, origin string, table_ok boolean, key_ok boolean, has_after boolean, token string, low_token string, high_token string, run_id string"
+    schema = "session long, seq long, is_control boolean, op string, origin string, table_ok boolean, key_ok boolean, has_after boolean, token string, token_type string, low_token string, high_token string, run_id string, run_type string, own_run string"
     rows = [control(1, "old", run_id="run-9"), control(2), control(3, "high")]
     assert reconcile.violations(spark.createDataFrame([tuple(r.values()) for r in rows], schema)).count() == 0
 

@@ -52,11 +52,11 @@ def test_store_compares_and_sets(spark, tmp_path):
         store.move("r0", ("ACTIVE",), "FAILED")
     store.move("r0", ("ACTIVE",), "FAILED", reason="drift")
     store.move("r1", ("QUEUED",), "COMPLETED")
-    assert [r["request_id"] for r in store._rows()] == ["r1", "r2"]
-    stale = store.table.version()
+    assert [r.request_id for r in store.current().orderBy("seq").collect()] == ["r1", "r2"]
+    stale = store.journal.version()
     store.move("r2", ("QUEUED",), "ACTIVE")
     with pytest.raises(StateError):
-        store.table.replace(store.table.read(), stale)
+        store.journal.append(store.journal.row("request", "r2", None), stale)
 
 
 def test_coordinator(spark, tmp_path):
@@ -73,11 +73,11 @@ def test_coordinator(spark, tmp_path):
     assert sum(r.origin == "LOG" for r in seen[0]) == 300
     assert {r.k for r in seen[0] if r.origin == "SELECT"} >= set(range(50, 250))
     assert [r.k for r in seen[1] if r.origin == "SELECT"] == [249]
-    assert next(r for r in store._rows() if r["request_id"] == "keys")["missing"] == ["999"]
+    assert store.current().filter("request_id = 'keys'").first().missing == ["999"]
     store.submit(Request("bad", "TABLE", "a.b.t"))
     with pytest.raises(ZeroDivisionError):
         runner.run_next(lambda df: 1 / 0)
-    assert next(r for r in store._rows() if r["request_id"] == "bad")["state"] == "FAILED"
+    assert store.current().filter("request_id = 'bad'").first().state == "FAILED"
     with pytest.raises(ValueError):
         Settings(chunk_size=0)
 

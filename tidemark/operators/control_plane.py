@@ -21,11 +21,11 @@ class ControlPlane:
     def requests(self, state: str | None = None, limit: int = 50) -> DataFrame:
         if state not in (None, "QUEUED", "ACTIVE", "COMPLETED", "FAILED"):
             raise ValueError(f"state {state}")
-        rows = self.store.table.read()
+        rows = self.store.current()
         return (rows.filter(F.col("state") == state) if state else rows).orderBy(F.desc("seq")).limit(limit)
 
     def request(self, request_id: str) -> DataFrame:
-        return self.store.table.read().filter(F.col("request_id") == request_id)
+        return self.store.current().filter(F.col("request_id") == request_id)
 
     def submit(self, request: Request) -> None:
         known = {c.table.display for c, _ in self.tables}
@@ -42,10 +42,26 @@ class ControlPlane:
 
     def status(self) -> dict:
         """Scalars for a health page."""
-        pending = self.store.table.read().filter(F.col("state").isin("QUEUED", "ACTIVE")).count()
+        pending = self.store.current().filter(F.col("state").isin("QUEUED", "ACTIVE")).count()
         row = self.events.agg(F.count("*").alias("n"), F.max("pos").alias("top")).first()
         return {"pending_requests": pending, "observed_events": row.n, "last_position": row.top}
 
+    def schemas(self) -> DataFrame:
+        """table_name, column_name, type, position and key_ordinal (null outside the key) of the captured tables."""
+        rows = [(c.table.display, f.name, f.dataType.simpleString(), k + 1, c.keys.index(f.name) + 1 if f.name in c.keys else None) for c, df in self.tables for k, f in enumerate(df.schema)]
+        return self.events.sparkSession.createDataFrame(rows, "table_name string, column_name string, type string, position int, key_ordinal int")
+
+    def schema_issues(self, known: DataFrame) -> DataFrame:
+        """Columns that differ from a schema kept earlier (``schemas``), with why."""
+        now, names = self.schemas(), ["table_name", "column_name"]
+        both = now.join(known.select(*names, F.col("type").alias("was"), F.col("key_ordinal").alias("key_was")), names, "full_outer")
+        code = F.when(F.col("was").isNull(), "ADDED").when(F.col("type").isNull(), "REMOVED").when(F.col("type") != F.col("was"), "TYPE").when(~F.col("key_ordinal").eqNullSafe(F.col("key_was")), "KEY")
+        return both.withColumn("code", code).filter("code IS NOT NULL").select(*names, "was", "type", "code")
+
+    def metrics(self) -> DataFrame:
+        """Gauges by request state: how many there are and the oldest of them."""
+        return self.store.current().groupBy("state").agg(F.count("*").alias("n"), F.min("seq").alias("oldest"))
+
     def startup_check(self) -> DataFrame:
         """One row for each captured table: whether its declared key exists, is unique and is never null."""
         frames = []

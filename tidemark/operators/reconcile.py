@@ -75,24 +75,41 @@ def phases(log: DataFrame, controls: DataFrame) -> DataFrame:
     return counted.filter("kind = 'EVENT'").select("pos", "lows", "highs", phase.alias("phase"))
 
 
+def is_stale() -> Column:
+    """Whether a foreign token is left over from a run and may be dropped: both the session and the row name a run."""
+    return F.col("own_run").isNotNull() & (F.trim(F.coalesce("run_id", F.lit(""))) != "") & (F.col("run_type") == "string")
+
+
+def without_stale(rows: DataFrame) -> DataFrame:
+    """Control rows of sessions without those that are stale; a foreign token that isn't stays, to be an error."""
+    text = (F.col("token_type") == "string") & (F.trim(F.coalesce("token", F.lit(""))) != "")
+    foreign = text & (F.col("token") != F.col("low_token")) & (F.col("token") != F.col("high_token"))
+    return rows.filter(~(foreign & is_stale()))
+
+
 def violations(rows: DataFrame) -> DataFrame:
     """Errors in the control rows of sessions, one window to a session.
 
-    rows: session, seq, is_control, op, origin, table_ok, key_ok, has_after, token, low_token, high_token, run_id.
-    Gives session, seq, code for each row that breaks the order LOW, then HIGH, or the shape of a control row.
+    rows: session, seq, is_control, op, origin, table_ok, key_ok, has_after, token, token_type, low_token, high_token,
+    run_id, run_type, own_run. Gives session, seq, code for each row that breaks the order LOW, then HIGH, or the shape
+    of a control row. Tokens and runs are texts; the token may not be null or blank. A token that isn't the window's is
+    an error unless it is stale (``is_stale``).
     """
     upto = W.partitionBy("session").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
     low, high = F.col("token") == F.col("low_token"), F.col("token") == F.col("high_token")
     seen = lambda hit: F.coalesce(F.sum(F.when(F.col("is_control") & hit, 1).otherwise(0)).over(upto), F.lit(0)) > 0
-    known = low | high
+    known = F.coalesce(low | high, F.lit(False))
     code = (
         F.when(F.col("op") != "WATERMARK", "NOT_A_WATERMARK")
         .when(F.col("origin") != "LOG", "WRONG_ORIGIN")
         .when(~F.col("table_ok"), "WRONG_TABLE")
         .when(~F.col("key_ok"), "WRONG_KEY")
         .when(~F.col("has_after"), "NO_AFTER_ROW")
+        .when(F.col("token").isNull(), "BLANK_TOKEN")
+        .when(F.col("token_type") != "string", "TOKEN_IS_NO_TEXT")
         .when(F.trim("token") == "", "BLANK_TOKEN")
-        .when(~known & (F.trim(F.coalesce("run_id", F.lit(""))) == ""), "UNKNOWN_TOKEN")
+        .when(~known & F.col("own_run").isNotNull() & F.col("run_id").isNotNull() & (F.col("run_type") != "string"), "RUN_IS_NO_TEXT")
+        .when(~known & ~is_stale(), "UNKNOWN_TOKEN")
         .when(low & F.col("_low"), "DUPLICATE_LOW")
         .when(low & F.col("_high"), "LOW_AFTER_HIGH")
         .when(high & F.col("_high"), "DUPLICATE_HIGH")

@@ -52,7 +52,7 @@ def requests_superseded(spark, sf_dir):
     requests, status = _split(spark, sf_dir)
     both = requests.join(status.filter("state IN ('COMPLETED', 'FAILED')"), "request_id").withColumn("covers", F.coalesce("table_name", F.lit("*")))
     newest = both.filter("state = 'COMPLETED'").groupBy("covers").agg(F.max("seq").alias("newest"))
-    return both.join(F.broadcast(newest), "covers").filter("seq < newest").select("request_id", "scope", "table_name", "state")
+    return both.join(newest, "covers").filter("seq < newest").select("request_id", "scope", "table_name", "state")
 
 
 def request_validation(spark, sf_dir):

@@ -56,7 +56,7 @@ def _sessions(spark, sf_dir):
     """Control rows of sessions, one for each user: event types stand for the shapes a control row can break in."""
     e = read(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("int")
-    token = F.when(k % 4 == 0, "low").when(k % 4 == 1, "high").when(k % 4 == 2, "other").otherwise(" ")
+    token = F.when(k == 55, None).when(k % 4 == 0, "low").when(k % 4 == 1, "high").when(k % 4 == 2, "other").otherwise(" ")
     return e.select(
         F.col("user_id").alias("session"),
         F.col("event_id").alias("seq"),
@@ -67,9 +67,12 @@ def _sessions(spark, sf_dir):
         (k != 53).alias("key_ok"),
         (k != 54).alias("has_after"),
         token.alias("token"),
+        F.when(k == 56, "int").otherwise("string").alias("token_type"),
         F.lit("low").alias("low_token"),
         F.lit("high").alias("high_token"),
         F.when(F.col("event_type") == "purchase", "run-0").alias("run_id"),
+        F.when(k == 58, "int").otherwise("string").alias("run_type"),
+        F.when(F.col("user_id") % 5 != 0, "run-0").alias("own_run"),
     )
 
 
@@ -83,10 +86,8 @@ def own_run_watermarks(spark, sf_dir):
 
 
 def stale_token_drain(spark, sf_dir):
-    """Unknown tokens that name a run are drained; those that don't stay, to be an error."""
-    s = _sessions(spark, sf_dir).filter("is_control")
-    stale = ~F.col("token").isin("low", "high") & (F.trim("token") != "") & F.col("run_id").isNotNull()
-    return s.filter(~stale).select("session", "seq", "token", "run_id")
+    """Foreign tokens that name a run are drained where the session has a run; the others stay, to be an error."""
+    return reconcile.without_stale(_sessions(spark, sf_dir).filter("is_control")).select("session", "seq", "token", "run_id")
 
 
 def control_event_filter(spark, sf_dir):
@@ -219,23 +220,29 @@ def final_state_diff(spark, sf_dir):
 
 
 def _ledger(spark, sf_dir):
-    """Source mutations: the log's events of customer, numbered by key and over all."""
-    rows = base.log(spark, sf_dir).filter(F.col("table_name") == CUSTOMER).select("pos", "k", "op", "value")
-    return numbered(rows, ["pos"], "idx")
+    """Source mutations: the log's events of customer with the image before them, numbered over all."""
+    return numbered(_images(spark, sf_dir), ["pos"], "idx")
+
+
+def _images(spark, sf_dir):
+    """pos, k, op, before, value (the image after it): a key's before image is what its last event left."""
+    rows = base.log(spark, sf_dir).filter(F.col("table_name") == CUSTOMER)
+    before = F.when(F.col("op") != "INSERT", F.lag("value").over(W.partitionBy("k").orderBy("pos")))
+    return rows.select("pos", "k", "op", before.alias("before"), "value")
 
 
 def _surfaced(spark, sf_dir):
     """What a sink recorded: every event but those of every 97th position, and those of every 5th twice."""
-    rows = base.log(spark, sf_dir).filter(F.col("table_name") == CUSTOMER).filter((F.col("pos") / 2).cast("long") % 97 != 0)
+    rows = _images(spark, sf_dir).filter((F.col("pos") / 2).cast("long") % 97 != 0)
     times = F.when((F.col("pos") / 2).cast("long") % 5 == 0, 2).otherwise(1)
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), times))).select(F.col("pos").alias("log_pos"), "copy", "k", "op", "value")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), times))).select(F.col("pos").alias("log_pos"), "copy", "k", "op", "before", "value")
 
 
 def ledger_match(spark, sf_dir):
-    """Each surfaced LOG event with the first mutation of its key that has the same operation and image."""
+    """Each surfaced LOG event with the first mutation of its key that has the same operation and images before and after."""
     l, s = _ledger(spark, sf_dir), _surfaced(spark, sf_dir)
-    first = l.groupBy("k", "op", "value").agg(F.min("idx").alias("idx"))
-    hit = (s["k"] == first["k"]) & (s["op"] == first["op"]) & s["value"].eqNullSafe(first["value"])
+    first = l.groupBy("k", "op", "before", "value").agg(F.min("idx").alias("idx"))
+    hit = (s["k"] == first["k"]) & (s["op"] == first["op"]) & s["before"].eqNullSafe(first["before"]) & s["value"].eqNullSafe(first["value"])
     return s.join(first, hit).select("log_pos", "copy", s["k"], s["op"], "idx")
 
 
@@ -267,9 +274,10 @@ def refresh_contradictions(spark, sf_dir):
 
 
 def mutation_coverage(spark, sf_dir):
-    return _emitted(spark, sf_dir).agg(F.count_if((F.col("origin") == "LOG") & (F.col("table_name") == CUSTOMER)).alias("log_events")).join(
-        _ledger(spark, sf_dir).agg(F.count("*").alias("mutations")), F.lit(True)
-    ).select("log_events", "mutations", (F.col("log_events") >= F.col("mutations")).alias("covered"))
+    """LOG events that came out against mutations that went in: reconciling adds rows to the log and drops none of it."""
+    log = base.log(spark, sf_dir).filter(F.col("table_name") == CUSTOMER)
+    counted = log.agg(F.count("*").alias("log_events"), F.count("op").alias("mutations"))
+    return counted.select("log_events", "mutations", (F.col("log_events") >= F.col("mutations")).alias("covered"))
 
 
 def heartbeat_interference(spark, sf_dir):
@@ -335,8 +343,9 @@ _K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
 _SESSIONS = f"""
     SELECT user_id AS session, event_id AS seq, event_type <> 'view' AS is_control, CASE WHEN {_K} = 50 THEN 'UPDATE' ELSE 'WATERMARK' END AS op,
            CASE WHEN {_K} = 51 THEN 'SELECT' ELSE 'LOG' END AS origin, {_K} <> 52 AS table_ok, {_K} <> 53 AS key_ok, {_K} <> 54 AS has_after,
-           CASE {_K} % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'high' WHEN 2 THEN 'other' ELSE ' ' END AS token,
-           CASE WHEN event_type = 'purchase' THEN 'run-0' END AS run_id FROM events"""
+           CASE WHEN {_K} = 55 THEN NULL ELSE CASE {_K} % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'high' WHEN 2 THEN 'other' ELSE ' ' END END AS token,
+           CASE WHEN {_K} = 56 THEN 'int' ELSE 'string' END AS token_type, CASE WHEN {_K} = 58 THEN 'int' ELSE 'string' END AS run_type,
+           CASE WHEN event_type = 'purchase' THEN 'run-0' END AS run_id, CASE WHEN user_id % 5 <> 0 THEN 'run-0' END AS own_run FROM events"""
 _RUNS = f"""
     SELECT *, CAST(sum(new) OVER (PARTITION BY batch ORDER BY pos) AS BIGINT) AS run FROM (
         SELECT *, CASE WHEN kind IS DISTINCT FROM lag(kind) OVER o OR table_name IS DISTINCT FROM lag(table_name) OVER o THEN 1 ELSE 0 END AS new
@@ -354,10 +363,11 @@ _COLLISIONS = f"""
 _DONE = f"""
     SELECT chunk_id, lo, hi, n_rows, n_rows - coalesce(gone, 0) AS emitted, coalesce(gone, 0) AS excluded
     FROM (SELECT chunk_id, lo, hi, count(*) AS n_rows FROM chunk GROUP BY ALL) AS a LEFT JOIN (SELECT chunk_id, count(*) AS gone FROM ({_COLLISIONS}) AS c GROUP BY chunk_id) AS b USING (chunk_id)"""
-_LEDGER = f"SELECT row_number() OVER (ORDER BY pos) AS idx, pos, k, op, value FROM log WHERE table_name = '{CUSTOMER}'"
+_IMAGES = f"SELECT pos, k, op, CASE WHEN op <> 'INSERT' THEN lag(value) OVER (PARTITION BY k ORDER BY pos) END AS before, value FROM log WHERE table_name = '{CUSTOMER}'"
+_LEDGER = f"SELECT row_number() OVER (ORDER BY pos) AS idx, * FROM ({_IMAGES}) AS i"
 _SURFACED = f"""
-    SELECT pos AS log_pos, copy, k, op, value FROM log, (VALUES (1), (2)) AS c(copy)
-    WHERE table_name = '{CUSTOMER}' AND (pos // 2) % 97 <> 0 AND (copy = 1 OR (pos // 2) % 5 = 0)"""
+    SELECT pos AS log_pos, copy, k, op, before, value FROM ({_IMAGES}) AS i, (VALUES (1), (2)) AS c(copy)
+    WHERE (pos // 2) % 97 <> 0 AND (copy = 1 OR (pos // 2) % 5 = 0)"""
 _TAP = f"""
     SELECT row_number() OVER (ORDER BY pos, rank, chunk_id, k) AS tap_seq, kind, chunk_id, pos, k FROM (
         SELECT chunk_id, 'watermark.written' AS kind, lo AS pos, 0 AS rank, -1 AS k FROM done UNION ALL SELECT chunk_id, 'chunk.selected', lo, 1, -1 FROM done
@@ -390,11 +400,12 @@ ORACLES = {
             coalesce(sum(CASE WHEN is_control AND token = 'high' THEN 1 ELSE 0 END) OVER o, 0) > 0 AS saw_high
             FROM s WINDOW o AS (PARTITION BY session ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
         SELECT * FROM (SELECT session, seq, CASE WHEN op <> 'WATERMARK' THEN 'NOT_A_WATERMARK' WHEN origin <> 'LOG' THEN 'WRONG_ORIGIN' WHEN NOT table_ok THEN 'WRONG_TABLE'
-            WHEN NOT key_ok THEN 'WRONG_KEY' WHEN NOT has_after THEN 'NO_AFTER_ROW' WHEN trim(token) = '' THEN 'BLANK_TOKEN'
-            WHEN token = 'other' AND run_id IS NULL THEN 'UNKNOWN_TOKEN' WHEN token = 'low' AND saw_low THEN 'DUPLICATE_LOW' WHEN token = 'low' AND saw_high THEN 'LOW_AFTER_HIGH'
+            WHEN NOT key_ok THEN 'WRONG_KEY' WHEN NOT has_after THEN 'NO_AFTER_ROW' WHEN token IS NULL THEN 'BLANK_TOKEN'
+            WHEN token_type <> 'string' THEN 'TOKEN_IS_NO_TEXT' WHEN trim(token) = '' THEN 'BLANK_TOKEN' WHEN token = 'other' AND own_run IS NOT NULL AND run_id IS NOT NULL AND run_type <> 'string' THEN 'RUN_IS_NO_TEXT'
+            WHEN token = 'other' AND (run_id IS NULL OR own_run IS NULL OR run_type <> 'string') THEN 'UNKNOWN_TOKEN' WHEN token = 'low' AND saw_low THEN 'DUPLICATE_LOW' WHEN token = 'low' AND saw_high THEN 'LOW_AFTER_HIGH'
             WHEN token = 'high' AND saw_high THEN 'DUPLICATE_HIGH' WHEN token = 'high' AND NOT saw_low THEN 'HIGH_BEFORE_LOW' END AS code FROM t WHERE is_control) AS u WHERE code IS NOT NULL""",
     "own_run_watermarks": f"SELECT session, seq, token FROM ({_SESSIONS}) AS s WHERE is_control AND run_id = 'run-0' AND trim(token) <> ''",
-    "stale_token_drain": f"SELECT session, seq, token, run_id FROM ({_SESSIONS}) AS s WHERE is_control AND NOT (token = 'other' AND run_id IS NOT NULL)",
+    "stale_token_drain": f"SELECT session, seq, token, run_id FROM ({_SESSIONS}) AS s WHERE is_control AND NOT (coalesce(token, '') = 'other' AND token_type = 'string' AND run_id IS NOT NULL AND own_run IS NOT NULL AND run_type = 'string')",
     "control_event_filter": "SELECT event_id, user_id, 'UPDATE' AS op FROM events WHERE event_type NOT IN ('error', 'signup')",
     "captured_only": base.oracle(f"SELECT pos, table_name, k, op FROM log WHERE table_name = '{CUSTOMER}'", "log"),
     "apply_statement_runs": base.oracle(f"SELECT batch, run, table_name, kind, count(*) AS n_events, min(pos) AS first_pos, max(pos) AS last_pos FROM ({_RUNS}) AS r GROUP BY batch, run, table_name, kind", "log"),
@@ -426,8 +437,8 @@ ORACLES = {
             FROM ({_MIRROR}) AS a FULL JOIN (SELECT k, value FROM state WHERE table_name = '{CUSTOMER}') AS b ON a.k = b.k
             WHERE a.value IS DISTINCT FROM b.value OR a.k IS NULL OR b.k IS NULL""", "state"),
     "ledger_match": base.oracle(
-        f"""WITH f AS (SELECT k, op, value, min(idx) AS idx FROM ({_LEDGER}) AS l GROUP BY k, op, value)
-            SELECT log_pos, copy, s.k, s.op, idx FROM ({_SURFACED}) AS s JOIN f ON s.k = f.k AND s.op = f.op AND s.value IS NOT DISTINCT FROM f.value""", "log").replace(" WITH f AS", ", f AS", 1),
+        f"""WITH f AS (SELECT k, op, before, value, min(idx) AS idx FROM ({_LEDGER}) AS l GROUP BY k, op, before, value)
+            SELECT log_pos, copy, s.k, s.op, idx FROM ({_SURFACED}) AS s JOIN f ON s.k = f.k AND s.op = f.op AND s.before IS NOT DISTINCT FROM f.before AND s.value IS NOT DISTINCT FROM f.value""", "log").replace(" WITH f AS", ", f AS", 1),
     "ledger_missing": base.oracle(f"SELECT idx, pos, k, op FROM ({_LEDGER}) AS l WHERE pos NOT IN (SELECT log_pos FROM ({_SURFACED}) AS s)", "log"),
     "ledger_skips": base.oracle(
         f"""SELECT pos, idx, idx - before - 1 AS skipped FROM (SELECT pos, idx, coalesce(lag(idx) OVER (ORDER BY pos), 0) AS before FROM ({_LEDGER}) AS l
