@@ -3,6 +3,7 @@
 import hashlib
 import random
 from collections import Counter, defaultdict
+from math import comb
 
 import numpy as np
 import pytest
@@ -44,6 +45,46 @@ def test_exact_dedup_keeps_columns_and_one_of_each(spark):
     assert exact_dedup.dedup(spark.createDataFrame([], COLUMNS)).count() == 0
 
 
+def test_dedup_keeps_one_of_repeated_rows_and_clashing_names(spark):
+    rows = [(1, "A", "s"), (1, "a", "s"), (1, "a", "s"), (1, "b", "t"), (None, "a", "u"), (None, None, "v"), (None, "", "w")]
+    got = exact_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string, _kept string"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "A", "s"), (1, "b", "t"), (None, None, "v")], key=str)
+
+
+def test_levels_and_lookup(spark):
+    index = exact_dedup.DigestIndex(spark)
+    rows = [(i, f"{i % 37:064x}") for i in range(400)]
+    for k in range(5):
+        index.flush(spark.createDataFrame(rows[80 * k : 80 * k + 80], "doc_id long, digest string"))
+    assert len(index.levels) <= 3
+    groups = defaultdict(list)
+    for i, d in rows:
+        groups[d].append(i)
+    expected = {(d, min(x), max(x), len(x)) for d, x in groups.items()}
+    assert set(map(tuple, index.rows().select("digest", "least", "most", "n").collect())) == expected
+    some = [f"{k:064x}" for k in (0, 5, 99)]
+    assert set(map(tuple, index.lookup(some).select("digest", "least", "most", "n").collect())) == {x for x in expected if x[0] in some}
+
+
+def test_bitmap_filter_loses_nothing(spark):
+    digests = spark.range(3000).selectExpr("sha2(string(id), 256) AS digest")
+    others = spark.range(10_000, 20_000).selectExpr("sha2(string(id), 256) AS digest")
+    found = exact_dedup.bitmap_filter(digests, 3000)
+    assert exact_dedup.maybe_in(digests, found).count() == 3000
+    assert exact_dedup.maybe_in(others, found).count() < 2500
+    assert exact_dedup.maybe_in(others, exact_dedup.bitmap_filter(digests.limit(0), 0)).count() == 0
+
+
+def test_long_texts(spark):
+    long = "Wörd " * 400_000
+    rows = [(1, long, "s", 0, ""), (2, long.replace("W", "w"), "s", 0, ""), (3, long + "x", "s", 0, "")]
+    df = spark.createDataFrame(rows, COLUMNS)
+    assert {(r.doc_id, r.keep_id) for r in exact_dedup.classes(df).collect()} == {(1, 2), (2, 2), (3, 3)}
+    got = mixing.taken_by_document(df).collect()
+    assert {r.doc_id: r["size"] for r in got} == {1: 400_000, 2: 400_000, 3: 400_001}
+    assert sum(r.taken for r in got) == pytest.approx(1.5 * 1_200_001, abs=2)
+
+
 def targets(sizes, weights=(3, 1, 2), share=1.5, cap=2.0):
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
@@ -95,10 +136,55 @@ def test_draws_are_disjoint_and_shards_even(spark):
 
 def test_tree_splits_exactly():
     quotas = np.array([1000, 7, 0, 333])
-    parts = mixing.split_tree(quotas, 9, 1)
+    sizes = mixing.even(1340, 9)
+    parts = mixing.split_tree(quotas, sizes, [1])
+    assert parts.sum(axis=1).tolist() == sizes.tolist()
     assert parts.sum(axis=0).tolist() == quotas.tolist()
     assert parts.sum(axis=1).max() - parts.sum(axis=1).min() <= 1
-    assert (parts == mixing.split_tree(quotas, 9, 1)).all()
+    assert (parts == mixing.split_tree(quotas, sizes, [1])).all()
+
+
+def test_hypergeometric_beyond_numpy(monkeypatch):
+    """The ratio of uniforms against exact probabilities, and exact sums of trees with counts over 10^9."""
+    with monkeypatch.context() as patch:
+        patch.setattr(mixing, "NUMPY_MOST", 0)
+        rng = np.random.default_rng(3)
+        for good, bad, draws in ((30, 50, 20), (5, 2000, 900), (700, 40, 300)):
+            n = 3000
+            got = Counter(mixing.hypergeometric(rng, good, bad, draws) for _ in range(n))
+            ways = {k: comb(good, k) * comb(bad, draws - k) for k in range(max(0, draws - bad), min(good, draws) + 1)}
+            total = comb(good + bad, draws)
+            assert set(got) <= set(ways)
+            assert sum(abs(got[k] / n - w / total) for k, w in ways.items()) < 0.15
+    quotas = np.array([4 * 10**12, 3 * 10**9 + 1, 17, 10**11])
+    sizes = mixing.even(int(quotas.sum()), 7)
+    parts = mixing.split_tree(quotas, sizes, [5])
+    assert parts.sum(axis=0).tolist() == quotas.tolist()
+    assert parts.sum(axis=1).tolist() == sizes.tolist()
+    assert parts.min() >= 0
+
+
+def test_many_sources_are_dealt_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SOURCES", 4)
+    quotas = {k: 50 + 13 * k for k in range(11)}
+    rows = mixing._intervals(spark.createDataFrame(list(quotas.items()), "src int, draws long"), 5, 1).collect()
+    for k, n in quotas.items():
+        ends = sorted((r.lo, r.hi) for r in rows if r.src == k)
+        assert ends[0][0] == 0 and ends[-1][1] == n and all(a[1] == b[0] for a, b in zip(ends, ends[1:], strict=False))
+    sizes = Counter()
+    for r in rows:
+        sizes[r.shard] += r.hi - r.lo
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+
+
+def test_mix_is_shuffled(spark):
+    rows = [(i, "w " * 30, "s", 0, "") for i in range(200)] + [(1000 + i, "w " * 30, "t", 0, "") for i in range(20)]
+    got = mixing.mixed_documents(spark.createDataFrame(rows, COLUMNS), shards=1).select("doc_id").collect()
+    again = mixing.mixed_documents(spark.createDataFrame(rows[::-1], COLUMNS), shards=1).select("doc_id").collect()
+    assert got == again
+    assert len(got) > 250
+    assert sum(a == b for a, b in zip(got, got[1:], strict=False)) < 10
+    assert got != sorted(got)
 
 
 def test_mixed_documents_and_empty_table(spark):

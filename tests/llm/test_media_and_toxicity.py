@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import media, toxicity
 
@@ -99,3 +100,55 @@ def test_no_labels_and_empty_table(spark):
     one = spark.createDataFrame([(1, "text", "m", 0.0)], COLUMNS)
     assert toxicity.classify(one, none).first().score == 0.5
     assert toxicity.classify(spark.createDataFrame([], COLUMNS), none).count() == 0
+
+
+def test_training_against_ftrl_by_hand(spark):
+    """A second FTRL on dictionaries of feature strings; hashing apart, it must give the same probabilities."""
+    rng = random.Random(4)
+    vocabulary = ["vile", "nasty", "good", "calm", "tree", "sea"]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(6))) for i in range(60)]
+    labels = {i: int("vile" in t) for i, t in rows}
+    options = {"alpha": 0.5, "beta": 1.0, "l1": 0.3, "l2": 0.1, "positive": 2.0, "least": 2, "epochs": 3, "bits": 22}
+
+    def named(text):
+        w = text.split()
+        return {(x,) for x in w} | set(zip(w, w[1:], strict=False)) | {("skip", a, b) for a, b in zip(w, w[2:], strict=False)} | {("stem", x[:n]) for n in toxicity.STEMS for x in w if len(x) > n}
+
+    times = {}
+    for _, t in rows:
+        for f in named(t):
+            times[f] = times.get(f, 0) + 1
+    z, n = {}, {}
+
+    def weight(f):
+        l1 = 0 if f == "bias" else options["l1"]
+        if abs(z.get(f, 0)) <= l1:
+            return 0.0
+        sign = 1 if z[f] > 0 else -1
+        return -(z[f] - sign * l1) / ((options["beta"] + n[f] ** 0.5) / options["alpha"] + options["l2"])
+
+    chance = lambda text: 1 / (1 + np.exp(-sum(weight(f) for f in [*named(text), "bias"])))
+    order = np.random.default_rng(7).permutation(len(rows))
+    for _ in range(options["epochs"]):
+        for i in order:
+            active = [f for f in named(rows[i][1]) if times[f] >= options["least"]] + ["bias"]
+            w = {f: weight(f) for f in active}
+            g = (1 / (1 + np.exp(-sum(w.values()))) - labels[i]) * (options["positive"] if labels[i] else 1)
+            for f in active:
+                z[f] = z.get(f, 0) + g - ((n.get(f, 0) + g * g) ** 0.5 - n.get(f, 0) ** 0.5) / options["alpha"] * w[f]
+                n[f] = n.get(f, 0) + g * g
+    docs = spark.createDataFrame([*rows, (60, "tree " * 300_000 + "vile"), (61, None)], "doc_id long, text string")
+    marks = spark.createDataFrame([*labels.items(), (0, None), (None, 1)], "doc_id long, toxic int")
+    bits = options.pop("bits")
+    model = toxicity.fit(toxicity.training_rows(docs, marks, "toxic", F.lit(True), 1000), bits, **options)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model, bits).collect()}
+    for i, t in rows:
+        assert got[i] == pytest.approx(chance(t), abs=1e-5)
+    assert got[61] == pytest.approx(1 / (1 + np.exp(-weight("bias"))), abs=1e-6)
+    assert 0 <= got[60] <= 1
+
+
+def test_sample_bounds_rows_not_only_labels(spark):
+    docs = spark.createDataFrame([(i % 4, f"t{i}") for i in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(4)], "doc_id long, toxic int")
+    assert toxicity.training_rows(docs, labels, "toxic", F.lit(True), 2).count() == 2

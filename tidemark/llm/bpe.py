@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import merges, textnp
-from .base import partitions, text_or_empty
+from .base import text_or_empty
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 UNSETTLED = regex.compile(r"[^\x00-\u052F\u2010-\u2027\u20AC]").search
@@ -141,18 +141,18 @@ def _long_texts(texts: DataFrame, path: str) -> DataFrame:
     """text_sha and the digests of each distinct text. texts: text_sha, text."""
 
     def cut(batches):
-        codec = Codec(path)
         for batch in batches:
+            codec = _codec(path)
             for sha, text in zip(batch.column("text_sha").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 parts = list(_leaves(codec.words(text), codec.table.special)) or [("words", b"")]
                 yield pa.RecordBatch.from_arrays([pa.array([sha] * len(parts)), pa.array(range(len(parts)), pa.int64()), pa.array([k for k, _ in parts]), pa.array([p for _, p in parts], pa.binary())], names=["text_sha", "leaf", "kind", "payload"])
 
     def encode(batches):
-        codec = Codec(path)
         for batch in batches:
-            ids = []
+            codec, ids, kept = _codec(path), [], []
             for kind, payload in zip(batch.column("kind").to_pylist(), batch.column("payload").to_pylist(), strict=True):
-                if kind in ("words", "special"):
+                kept.append(None if kind in ("words", "special") else payload)  # only joins of long words look again
+                if kept[-1] is None:
                     ids.append(codec.encode_words([payload.decode().split("\n") if payload else []])[0])
                 else:
                     raw = np.frombuffer(payload, np.uint8)
@@ -160,7 +160,7 @@ def _long_texts(texts: DataFrame, path: str) -> DataFrame:
                     if kind == "last":
                         symbols[-1] = codec.table.final[raw[-1]] if codec.table.suffix else symbols[-1]
                     ids.append(codec.table.encode_long(symbols).tolist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, "ids"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("text_sha", "leaf", "kind")), pa.array(kept, pa.binary()), pa.array(ids, pa.list_(pa.int32()))], names=["text_sha", "leaf", "kind", "payload", "ids"])
 
     def join(group: pa.Table) -> pa.Table:
         codec = _codec(path)
@@ -186,7 +186,7 @@ def _long_texts(texts: DataFrame, path: str) -> DataFrame:
 
     one = texts.dropDuplicates(["text_sha"])
     leaves = one.mapInArrow(cut, "text_sha string, leaf long, kind string, payload binary")
-    ids = leaves.repartition(partitions(texts.sparkSession), "text_sha", "leaf").mapInArrow(encode, "text_sha string, leaf long, kind string, payload binary, ids array<int>")
+    ids = leaves.repartition("text_sha", "leaf").mapInArrow(encode, "text_sha string, leaf long, kind string, payload binary, ids array<int>")
     return ids.groupBy("text_sha").applyInArrow(join, "text_sha string, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

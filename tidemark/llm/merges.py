@@ -49,13 +49,18 @@ class MergeTable:
         self.slot_key = np.full((1 << bits) + 64, -1, np.int64)
         self.slot_rank = np.full((1 << bits) + 64, NONE, np.int64)
         self.depth = 1
-        for r in order[np.r_[True, key[order][1:] != key[order][:-1]]]:
-            at = int(self._slot(key[r : r + 1])[0])
-            step = 0
-            while self.slot_key[at + step] >= 0:
-                step += 1
-            self.depth = max(self.depth, step + 1)
-            self.slot_key[at + step], self.slot_rank[at + step] = key[r], r
+        rank = order[np.r_[True, key[order][1:] != key[order][:-1]]]  # of a pair that is listed twice the first counts
+        at = self._slot(key[rank])
+        self.depth = 0
+        while len(rank):  # each free slot takes the first pair that wants it; the others try the next slot
+            self.depth += 1
+            free = np.flatnonzero(self.slot_key[at] < 0)
+            _, first = np.unique(at[free], return_index=True)
+            put = free[first]
+            self.slot_key[at[put]], self.slot_rank[at[put]] = key[rank[put]], rank[put]
+            rest = np.ones(len(rank), bool)
+            rest[put] = False
+            rank, at = rank[rest], at[rest] + 1
         self.merged = merged
         self.symbols_of = None
 

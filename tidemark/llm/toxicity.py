@@ -3,11 +3,11 @@
 Words are runs of letters, digits and non-ASCII bytes, ASCII lower-cased. Features are word uni- and bigrams and
 bigrams that skip one word, and the first 4 and 6 bytes of longer words as stems, hashed to 2^bits places, each once
 a document. Training reads a bounded sample of the labelled rows (``sample`` rows, the first by hash of doc_id);
-per-coordinate rates come from the accumulated squared gradients and L1 leaves few weights, which are broadcast: at
-most ``weights`` of them. Scoring reads every whole text.
+per-coordinate rates come from the accumulated squared gradients and L1 leaves few weights, which are broadcast, all
+of them: at most 2^bits by their form. Scoring reads every whole text.
 
 Cases: null text is empty; an empty text gets the bias's score; a null doc_id stays null and is never trained on, nor
-are labels that are null; repeated rows are scored each; without usable labels all scores are 0.5; an empty table
+are labels that are null; repeated rows are scored each, and one of a doc_id is learned from, that of the least text; without usable labels all scores are 0.5; an empty table
 gives an empty result; only doc_id, text and the label column are read.
 """
 
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp
+from .base import text_or_empty
 
 BREAK = np.ones(256, bool)
 BREAK[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -75,11 +76,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, usable, sample
     """text and label of at most ``sample`` labelled rows; usable: condition on doc_id for those to learn from."""
     chosen = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & usable).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_label").limit(sample)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "text", "_label")
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    return rows.groupBy("_id", "_label").agg(F.min("text").alias("text"))
 
 
-def fit(rows: DataFrame, bits: int = 22, epochs: int = 10, alpha: float = 1.0, beta: float = 1.0, l1: float = 16.0, l2: float = 0.0, positive: float = 6.0, least: int = 3, weights: int = 200_000) -> tuple[np.ndarray, np.ndarray, float]:
-    """(places, weights, bias) of the rows of ``training_rows``. At most ``weights`` weights, the largest.
+def fit(rows: DataFrame, bits: int = 22, epochs: int = 10, alpha: float = 1.0, beta: float = 1.0, l1: float = 16.0, l2: float = 0.0, positive: float = 6.0, least: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
+    """(places, weights, bias) of the rows of ``training_rows``; places ascend.
 
     positive: how much a row of label 1 counts; least: rows of the sample that a feature must be in.
     """
@@ -116,8 +118,7 @@ def fit(rows: DataFrame, bits: int = 22, epochs: int = 10, alpha: float = 1.0, b
 
     # the sample is bounded by its parameter, so its places may meet in one task
     model = rows.mapInArrow(extract, "_id long, _label int, places array<int>").repartition(1).mapInArrow(train, "place long, weight double")
-    largest = [(F.col("place") == 1 << bits).desc(), F.abs("weight").desc(), F.col("place")]
-    found = sorted((r.place, r.weight) for r in model.orderBy(*largest).limit(weights + 1).collect())
+    found = sorted((r.place, r.weight) for r in model.collect())  # at most 2^bits + 1
     bias = found.pop()[1] if found and found[-1][0] == 1 << bits else 0.0
     return np.array([p for p, _ in found], np.int64), np.array([w for _, w in found], np.float64), bias
 
