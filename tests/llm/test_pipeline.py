@@ -1,5 +1,6 @@
 """The pipeline's stages against brute force on a small corpus, each judged on its own input."""
 
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -79,6 +80,9 @@ def test_stages(spark, folder, tmp_path):
     assert Counter(rows[3]) == Counter(r for r in kept if root(r[0]) == r[0])
 
     times = Counter(rows[4])
+    mixed = frames[-2].select("doc_id").collect()
+    beside = sum(a.doc_id == b.doc_id for a, b in zip(mixed, mixed[1:], strict=False))
+    assert beside < 0.05 * len(mixed) < 0.5 * sum(n - 1 for n in times.values())  # repeats aren't side by side
     assert set(times) <= set(rows[3])
     assert max(times.values()) <= 2
     size, taken = defaultdict(int), defaultdict(int)
@@ -97,3 +101,24 @@ def test_run_agrees_with_stages(spark, folder):
     first = Counter(map(tuple, corpus_pipeline.run(spark, folder).collect()))
     assert first
     assert first == Counter(map(tuple, corpus_pipeline.queries()["pipeline"](spark, folder).collect()))
+
+
+def test_empty_tables_and_nulls(spark, tmp_path):
+    for name, rows in (("none", []), ("some", [(None, None, None, None, None), (1, None, None, None, 3), (1, "w " * 3000, None, "s", 3), (1, "w " * 3000, None, "s", 3)])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, COLUMNS).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, toxic int, quality int").write.parquet(f"{folder}/labels.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        assert {r.doc_id for r in got} == ({1} if rows else set())
+        assert len(got) <= 2
+
+
+def test_run_leaves_only_its_result(spark, folder):
+    from tidemark.runtime import shared_dir
+
+    place = shared_dir(spark).removeprefix("file:").replace("//", "/")
+    before = set(os.listdir(place))
+    corpus_pipeline.run(spark, folder).count()
+    made = [x for x in set(os.listdir(place)) - before if x.startswith("pipeline-")]
+    assert len(made) == 1
+    assert os.listdir(f"{place}/{made[0]}") == ["4-bpe"]
