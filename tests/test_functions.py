@@ -105,6 +105,65 @@ def test_target_statements_against_sqlite(spark, tmp_path):
         assert c.execute("SELECT * FROM t ORDER BY k").fetchall() == [(1, 5.0), (2, 9.0)]
 
 
+def test_composite_keys_several_columns_and_broken_keys(spark, tmp_path):
+    import sqlite3
+
+    path = str(tmp_path / "c.db")
+    with sqlite3.connect(path) as c:
+        c.execute('CREATE TABLE t (a INTEGER, b TEXT, v REAL, w TEXT, PRIMARY KEY (a, b))')
+        c.execute("INSERT INTO t VALUES (1, 'x', 1.0, 'old'), (2, 'x', 2.0, 'old'), (1, 'y', 3.0, 'old')")
+    schema = "pos long, a long, b string, op string, v double, w string, after_a long, after_b string"
+    rows = [(0, 1, "x", "UPDATE", 9.0, "n", 1, "x"), (2, 1, "y", "DELETE", None, None, None, None), (4, 3, "z", "INSERT", 5.0, None, 3, "z"), (6, 1, "x", "UPDATE", 10.0, "m", 1, "x")]
+    keys, values = ("a", "b"), ("v", "w")
+
+    def put(rows):
+        df = spark.createDataFrame(rows, schema).repartition(3)
+        targets.apply_by_partition(df, lambda: sqlite3.connect(path, timeout=30), "sqlite", "t", keys, values, images=("after_a", "after_b"))
+
+    put(rows)
+    with sqlite3.connect(path) as c:
+        assert c.execute("SELECT * FROM t ORDER BY a, b").fetchall() == [(1, "x", 10.0, "m"), (2, "x", 2.0, "old"), (3, "z", 5.0, None)]
+    for bad, why in (((8, 1, "x", "UPDATE", 1.0, "q", 2, "x"), "another key"), ((8, None, "x", "INSERT", 1.0, "q", None, "x"), "null key")):
+        with pytest.raises(PySparkException, match=why):
+            put([bad])
+    kinds = [t for t in vars(targets).values() if isinstance(t, type) and issubclass(t, targets.TargetError) and not t.retryable and t is not targets.TargetError]
+    assert len(kinds) == 8
+
+
+def test_folds_against_a_walk(spark):
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(2)
+    rows, t = [], {1: 0.0, 2: 0.0, 3: 0.0}
+    for seq in range(900):
+        s = rng.choice([1, 1, 1, 2, 3])
+        t[s] += rng.choice([0.1, 0.5, 4.0, -2.0])
+        rows.append((s, seq, t[s]))
+    df = spark.createDataFrame(rows, "s int, seq int, at double").withColumn("ts", F.timestamp_seconds("at"))
+    flush, due = set(), set()
+    for s in t:
+        count, first, last = 0, None, None
+        for _, seq, at in (r for r in rows if r[0] == s):
+            at = round(at * 1e6)
+            first = at if not count else first
+            count += 1
+            if count >= 7 or at - first >= 5_000_000:
+                flush.add((s, seq))
+                count = 0
+            if last is None or at < last or at - last >= 3_000_000:
+                due.add((s, seq))
+                last = at
+    with_batches = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        assert {(r.s, r.seq) for r in folds.flush_points(df, "s", "seq", "ts", 7, pd.Timedelta("5s")).filter("flush").collect()} == flush
+        assert {(r.s, r.seq) for r in folds.due_beats(df, "s", "seq", "ts", pd.Timedelta("3s")).filter("due").collect()} == due
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", with_batches)
+
+
 def test_target_text_and_retries():
     assert targets.upsert_statement("postgres", "s.t", ["id"], []).endswith('ON CONFLICT ("id") DO NOTHING')
     assert targets.upsert_statement("mysql", "t", ["id"], ["v"]).endswith("AS new_row ON DUPLICATE KEY UPDATE `v` = new_row.`v`")

@@ -72,3 +72,23 @@ def mirror(base: DataFrame, stream: DataFrame, key: str, order: str) -> DataFram
     writes = stream.groupBy(key).agg(last("op", order).alias("op"), last("value", order).alias("new_value"))
     both = base.join(writes, key, "full_outer")
     return both.filter(F.coalesce(F.col("op"), F.lit("")) != "DELETE").select(key, F.when(F.col("op").isNull(), F.col("value")).otherwise(F.col("new_value")).alias("value"))
+
+
+def typed_mirror(base: DataFrame, stream: DataFrame, keys: list[str], values: list[str], order: str) -> DataFrame:
+    """base (keys and values) with the stream's last writes over it, for keys of several columns and typed values."""
+    writes = stream.groupBy(*keys).agg(last("op", order).alias("_op"), F.max_by(F.struct(*values), order).alias("_new"))
+    both = base.join(writes, keys, "full_outer").filter(F.coalesce(F.col("_op"), F.lit("")) != "DELETE")
+    return both.select(*keys, *[F.when(F.col("_op").isNull(), F.col(v)).otherwise(F.col(f"_new.{v}")).alias(v) for v in values])
+
+
+def needs_full_dump(rows: DataFrame) -> DataFrame:
+    """Events that can't be applied: a captured table was truncated, a key changed, or a tuple lacks columns.
+
+    rows: pos, table_name, op, captured, key, old_key, n_columns, table_columns. Gives pos, table_name and code.
+    """
+    code = (
+        F.when(F.col("op") == "TRUNCATE", "TRUNCATED")
+        .when((F.col("op") == "UPDATE") & F.col("old_key").isNotNull() & ~F.col("key").eqNullSafe(F.col("old_key")), "KEY_CHANGED")
+        .when(F.col("n_columns") < F.col("table_columns"), "SHORT_TUPLE")
+    )
+    return rows.filter("captured").withColumn("code", code).filter("code IS NOT NULL").select("pos", "table_name", "code")

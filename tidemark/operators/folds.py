@@ -1,32 +1,48 @@
 """Folds that reset: checkpoint flushes by count or age, and a rate limit on heartbeats.
 
-Streams are dealt out by their id and sorted; a task walks its rows and holds one small state, so a stream of any
-length needs no memory.
+Where a fold resets next depends on where it did last, so a stream is walked in order; streams are dealt out by their
+id and sorted. A task holds one batch of rows and one small state, and goes from reset to reset: the next one is looked
+for on arrays, not row by row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from tidemark.runtime import ship
 
 
-def _walk(df: DataFrame, stream: str, seq: str, ts: str, step: Callable, name: str) -> DataFrame:
-    """df with a boolean column ``name``. step(state, ts) -> (state, value); state is None at a stream's start."""
+def _next(holds: Callable[[int, int], np.ndarray], lo: int, hi: int) -> int:
+    """The first place from lo on where a condition holds, hi if none does; holds(a, b) tells it of a stretch."""
+    size = 64
+    while lo < hi:
+        part = holds(lo, min(hi, lo + size))
+        if part.any():
+            return lo + int(part.argmax())
+        lo, size = lo + size, 2 * size
+    return hi
+
+
+def _walk(df: DataFrame, stream: str, seq: str, ts: str, resets: Callable, name: str) -> DataFrame:
+    """df with a boolean column ``name``. resets(state, times) -> (state, places) for a stretch of one stream; state is
+    None at its start."""
     ship(df.sparkSession)
 
     def run(batches):
         now, state = None, None
         for pdf in batches:
-            out = []
-            for key, t in zip(pdf[stream], pdf[ts], strict=True):
-                if key != now:
-                    now, state = key, None
-                state, value = step(state, t)
-                out.append(value)
+            keys, times, out = pdf[stream].to_numpy(), pdf[ts].to_numpy(), np.zeros(len(pdf), bool)
+            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(pdf)], strict=True):
+                if lo < hi:
+                    if keys[lo] != now:
+                        now, state = keys[lo], None
+                    state, places = resets(state, times[lo:hi])
+                    out[lo + np.array(places, np.int64)] = True
             yield pdf.assign(**{name: out})
 
     dealt = df.repartition(stream).sortWithinPartitions(stream, seq)
@@ -36,21 +52,35 @@ def _walk(df: DataFrame, stream: str, seq: str, ts: str, step: Callable, name: s
 
 def flush_points(df: DataFrame, stream: str, seq: str, ts: str, most: int, age: pd.Timedelta) -> DataFrame:
     """``flush``: whether the buffer is written after this event, by its count or the age of its first event."""
+    limit = age.to_timedelta64()
 
-    def step(state, t):
-        count, first = state or (0, t)
-        count += 1
-        due = count >= most or t - first >= age
-        return (None if due else (count, first)), due
+    def resets(state, times):
+        places, at = [], 0
+        count, first = state or (0, None)
+        while at < len(times):
+            first = times[at] if not count else first
+            last = min(len(times), at + most - count)
+            due = _next(lambda a, b, first=first: times[a:b] - first >= limit, at, last)
+            due = due if due < last else last - 1 if last - at == most - count else len(times)
+            if due == len(times):
+                return (count + due - at, first), places
+            places.append(due)
+            count, at = 0, due + 1
+        return None, places
 
-    return _walk(df, stream, seq, ts, step, "flush")
+    return _walk(df, stream, seq, ts, resets, "flush")
 
 
 def due_beats(df: DataFrame, stream: str, seq: str, ts: str, interval: pd.Timedelta) -> DataFrame:
     """``due``: whether a beat is written, not sooner than ``interval`` after the last written one."""
+    limit = interval.to_timedelta64()
 
-    def step(last, t):
-        due = last is None or t < last or t - last >= interval
-        return (t if due else last), due
+    def resets(last, times):
+        places, at = ([0], 1) if last is None else ([], 0)
+        last = times[0] if last is None else last
+        while (due := _next(lambda a, b, last=last: (times[a:b] < last) | (times[a:b] - last >= limit), at, len(times))) < len(times):
+            places.append(due)
+            last, at = times[due], due + 1
+        return last, places
 
-    return _walk(df, stream, seq, ts, step, "due")
+    return _walk(df, stream, seq, ts, resets, "due")

@@ -22,20 +22,36 @@ class TargetUnavailable(TargetError):
     retryable = True
 
 
-class TargetSchemaMismatch(TargetError):
+class TargetPreflightFailed(TargetError):
+    """The check before the start found the target unfit."""
+
+
+class TargetTableMissing(TargetPreflightFailed):
     pass
 
 
 class TargetKeyMismatch(TargetError):
-    pass
+    """The target's key, or the key in a row's image, isn't the source's."""
 
 
-class TargetTypeMismatch(TargetError):
+class TargetColumnMissing(TargetPreflightFailed):
     pass
 
 
-class TargetRejectedRow(TargetError):
-    pass
+class TargetTypeMismatch(TargetPreflightFailed):
+    """A column's type can't take the source's values."""
+
+
+class TargetValueRejected(TargetError):
+    """One value can't be made into its column's type."""
+
+
+class TargetMetadataUnknown(TargetError):
+    """The target doesn't tell its tables."""
+
+
+class TargetOperationFailed(TargetError):
+    """A statement failed for a reason of its own."""
 
 
 def upsert_statement(dialect: str, table: str, keys: Sequence[str], others: Sequence[str]) -> str:
@@ -89,19 +105,35 @@ def retrying(action: Callable[[], object], sleep: Callable[[float], None] = time
             pause = min(most, 2 * pause)
 
 
-def collapse(stream: DataFrame, key: str = "k", order: str = "pos") -> DataFrame:
-    """The last event of each key; ties can't be, as positions are unique."""
-    return stream.groupBy(key).agg(F.max_by("op", order).alias("op"), F.max_by("value", order).alias("value"), F.max(order).alias(order))
+def collapse(stream: DataFrame, keys: Sequence[str] = ("k",), values: Sequence[str] = ("value",), order: str = "pos") -> DataFrame:
+    """The last event of each key, composite or not, with all its columns; ties can't be, as positions are unique."""
+    last = stream.groupBy(*keys).agg(F.max_by(F.struct("op", *values), order).alias("_last"), F.max(order).alias(order))
+    return last.select(*keys, "_last.*", order)
+
+
+def check_keys(stream: DataFrame, keys: Sequence[str], images: Sequence[str] = ()) -> DataFrame:
+    """stream; a row fails where a key is null, or where its image has another key (``images``, in order of the keys;
+    all null in rows without an image)."""
+    null = F.concat_ws(", ", *[F.when(F.col(k).isNull(), F.lit(k)) for k in keys])
+    broken = F.when(null != "", F.concat(F.lit("null key: "), null))
+    if images:
+        there = F.coalesce(*[F.col(i).cast("string") for i in images]).isNotNull()
+        same = F.lit(True)
+        for k, i in zip(keys, images, strict=True):
+            same = same & F.col(k).eqNullSafe(F.col(i))
+        broken = broken.when((F.col("op") != "DELETE") & there & ~same, F.lit("the image has another key"))
+    return stream.withColumn("_bad", broken).withColumn(keys[0], F.when(F.col("_bad").isNotNull(), F.raise_error(F.col("_bad")).cast(stream.schema[keys[0]].dataType)).otherwise(F.col(keys[0]))).drop("_bad")
 
 
-def apply_by_partition(stream: DataFrame, connect: Callable[[], object], dialect: str, table: str, key: str = "k", order: str = "pos") -> None:
+def apply_by_partition(stream: DataFrame, connect: Callable[[], object], dialect: str, table: str, keys: Sequence[str] = ("k",), values: Sequence[str] = ("value",), order: str = "pos", images: Sequence[str] = ()) -> None:
     """Collapsed upserts and deletes, each partition in one transaction of its own; keys don't meet across partitions."""
-    upsert, delete = upsert_statement(dialect, table, [key], ["value"]), delete_statement(dialect, table, [key])
+    upsert, delete = upsert_statement(dialect, table, keys, values), delete_statement(dialect, table, keys)
 
     def write(rows: Iterable) -> None:
         ups, gone = [], []
         for r in rows:
-            (gone.append((r[key],)) if r["op"] == "DELETE" else ups.append((r[key], r["value"])))
+            key = tuple(r[k] for k in keys)
+            (gone.append(key) if r["op"] == "DELETE" else ups.append((*key, *(r[v] for v in values))))
         if not ups and not gone:
             return
         connection = connect()
@@ -115,4 +147,4 @@ def apply_by_partition(stream: DataFrame, connect: Callable[[], object], dialect
         finally:
             connection.close()
 
-    collapse(stream, key, order).foreachPartition(write)
+    collapse(check_keys(stream, keys, images), keys, values, order).foreachPartition(write)

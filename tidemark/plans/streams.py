@@ -141,6 +141,39 @@ def mirror_customer(spark, sf_dir):
     return apply.mirror(base.customer_rows(spark, sf_dir), stream, "k", "pos")
 
 
+def apply_composite(spark, sf_dir):
+    """A mirror of line items, whose key has two columns, after a log in which some are repriced, some deleted and some
+    new: two events for every third, of which the last counts."""
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    m = (F.col("l_orderkey") + F.col("l_linenumber")) % 6
+    log = rows.filter(m < 4).withColumn("turn", F.explode(F.when(m == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    log = log.select(
+        F.when(m == 2, -F.col("l_orderkey")).otherwise(F.col("l_orderkey")).alias("l_orderkey"),
+        "l_linenumber",
+        (F.col("l_quantity") + 1 + F.col("turn")).alias("l_quantity"),
+        F.when(m != 1, F.col("l_extendedprice")).alias("l_extendedprice"),
+        F.when(m == 0, "DELETE").when(m == 2, "INSERT").otherwise("UPDATE").alias("op"),
+        F.col("turn").alias("pos"),
+    )
+    return apply.typed_mirror(rows, log, ["l_orderkey", "l_linenumber"], ["l_quantity", "l_extendedprice"], "pos")
+
+
+def full_dump_guards(spark, sf_dir):
+    """Truncated tables, changed keys and short tuples in a log of events."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    e = read(spark, sf_dir, "events").select(
+        F.col("event_id").alias("pos"),
+        F.when(F.col("event_type") == "view", ORDERS).otherwise(CUSTOMER).alias("table_name"),
+        F.when(k == 7, "TRUNCATE").when(F.col("event_type") == "signup", "INSERT").otherwise("UPDATE").alias("op"),
+        (F.col("event_type") != "view").alias("captured"),
+        F.col("user_id").alias("key"),
+        F.when(k % 10 == 1, F.col("user_id") + 1).when(k % 2 == 0, F.col("user_id")).alias("old_key"),
+        F.when(k % 25 == 3, 2).otherwise(3).alias("n_columns"),
+        F.lit(3).alias("table_columns"),
+    )
+    return apply.needs_full_dump(e)
+
+
 def mirror_row_count(spark, sf_dir):
     return mirror_customer(spark, sf_dir).agg(F.count("*").alias("n_rows"))
 
@@ -332,7 +365,7 @@ QUERIES = {
     for f in (
         reconcile_current_state, reconcile_emitted_stream, chunk_survivors, chunk_collisions, chunk_completed, watermark_phase, watermark_violations,
         own_run_watermarks, stale_token_drain, control_event_filter, captured_only, apply_statement_runs, apply_run_dedupe, apply_current_state,
-        apply_deletes, ndjson_lines, mirror_customer, mirror_row_count, mirror_first_non_null, mirror_event_summary, table_mapping, build_change_events,
+        apply_deletes, apply_composite, full_dump_guards, ndjson_lines, mirror_customer, mirror_row_count, mirror_first_non_null, mirror_event_summary, table_mapping, build_change_events,
         pk_update_violations, tx_assembly, event_summary_by_table, event_totals, recent_events, recent_events_for_table, resume_after_checkpoint,
         final_state_diff, ledger_match, ledger_missing, ledger_skips, refresh_contradictions, mutation_coverage, heartbeat_interference,
         tap_chunk_events, tap_chunk_summary, tap_seq_gaps, runtime_metrics, scenario_mutations,
@@ -414,6 +447,13 @@ ORACLES = {
             FROM ({_RUNS}) AS a WINDOW w AS (PARTITION BY batch, run, k)) AS b WHERE r = 1""", "log"),
     "apply_current_state": base.oracle("SELECT table_name, k, value FROM (SELECT *, row_number() OVER (PARTITION BY table_name, k ORDER BY pos DESC) AS r FROM log) AS x WHERE r = 1 AND op <> 'DELETE'", "log"),
     "apply_deletes": base.oracle(f"SELECT c_custkey AS k, c_acctbal AS value FROM customer WHERE c_custkey NOT IN (SELECT k FROM ({_LASTOP}) AS l WHERE op = 'DELETE')", "log"),
+    "apply_composite": """
+        WITH r AS (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, (l_orderkey + l_linenumber) % 6 AS m FROM lineitem)
+        SELECT l_orderkey, l_linenumber, l_quantity + CASE m WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS l_quantity, CASE WHEN m <> 1 THEN l_extendedprice END AS l_extendedprice FROM r WHERE m <> 0
+        UNION ALL SELECT -l_orderkey, l_linenumber, l_quantity + 1, l_extendedprice FROM r WHERE m = 2""",
+    "full_dump_guards": f"""
+        SELECT * FROM (SELECT event_id AS pos, '{CUSTOMER}' AS table_name, CASE WHEN {_K} = 7 THEN 'TRUNCATED' WHEN event_type <> 'signup' AND {_K} % 10 = 1 THEN 'KEY_CHANGED'
+            WHEN {_K} % 25 = 3 THEN 'SHORT_TUPLE' END AS code FROM events WHERE event_type <> 'view') AS x WHERE code IS NOT NULL""",
     "ndjson_lines": base.oracle(f"SELECT emit_pos, k, {_json_line()} AS line FROM emitted", "emitted"),
     "mirror_customer": base.oracle(_MIRROR, "log"),
     "mirror_row_count": base.oracle(f"SELECT count(*) AS n_rows FROM ({_MIRROR}) AS m", "log"),
