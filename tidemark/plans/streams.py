@@ -144,7 +144,7 @@ def mirror_customer(spark, sf_dir):
 def apply_composite(spark, sf_dir):
     """A mirror of line items, whose key has two columns, after a log in which some are repriced, some deleted and some
     new: two events for every third, of which the last counts."""
-    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"), F.max("l_extendedprice").alias("l_extendedprice"))
     m = (F.col("l_orderkey") + F.col("l_linenumber")) % 6
     log = rows.filter(m < 4).withColumn("turn", F.explode(F.when(m == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     log = log.select(
@@ -448,7 +448,7 @@ ORACLES = {
     "apply_current_state": base.oracle("SELECT table_name, k, value FROM (SELECT *, row_number() OVER (PARTITION BY table_name, k ORDER BY pos DESC) AS r FROM log) AS x WHERE r = 1 AND op <> 'DELETE'", "log"),
     "apply_deletes": base.oracle(f"SELECT c_custkey AS k, c_acctbal AS value FROM customer WHERE c_custkey NOT IN (SELECT k FROM ({_LASTOP}) AS l WHERE op = 'DELETE')", "log"),
     "apply_composite": """
-        WITH r AS (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, (l_orderkey + l_linenumber) % 6 AS m FROM lineitem)
+        WITH r AS (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity, max(l_extendedprice) AS l_extendedprice, (l_orderkey + l_linenumber) % 6 AS m FROM lineitem GROUP BY 1, 2)
         SELECT l_orderkey, l_linenumber, l_quantity + CASE m WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS l_quantity, CASE WHEN m <> 1 THEN l_extendedprice END AS l_extendedprice FROM r WHERE m <> 0
         UNION ALL SELECT -l_orderkey, l_linenumber, l_quantity + 1, l_extendedprice FROM r WHERE m = 2""",
     "full_dump_guards": f"""
