@@ -148,7 +148,7 @@ def apply_composite(spark, sf_dir):
     m = (F.col("l_orderkey") + F.col("l_linenumber")) % 6
     log = rows.filter(m < 4).withColumn("turn", F.explode(F.when(m == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     log = log.select(
-        F.when(m == 2, -F.col("l_orderkey")).otherwise(F.col("l_orderkey")).alias("l_orderkey"),
+        F.when(m == 2, -1 - F.col("l_orderkey")).otherwise(F.col("l_orderkey")).alias("l_orderkey"),
         "l_linenumber",
         (F.col("l_quantity") + 1 + F.col("turn")).alias("l_quantity"),
         F.when(m != 1, F.col("l_extendedprice")).alias("l_extendedprice"),
@@ -450,7 +450,7 @@ ORACLES = {
     "apply_composite": """
         WITH r AS (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity, max(l_extendedprice) AS l_extendedprice, (l_orderkey + l_linenumber) % 6 AS m FROM lineitem GROUP BY 1, 2)
         SELECT l_orderkey, l_linenumber, l_quantity + CASE m WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS l_quantity, CASE WHEN m <> 1 THEN l_extendedprice END AS l_extendedprice FROM r WHERE m <> 0
-        UNION ALL SELECT -l_orderkey, l_linenumber, l_quantity + 1, l_extendedprice FROM r WHERE m = 2""",
+        UNION ALL SELECT -1 - l_orderkey, l_linenumber, l_quantity + 1, l_extendedprice FROM r WHERE m = 2""",
     "full_dump_guards": f"""
         SELECT * FROM (SELECT event_id AS pos, '{CUSTOMER}' AS table_name, CASE WHEN {_K} = 7 THEN 'TRUNCATED' WHEN event_type <> 'signup' AND {_K} % 10 = 1 THEN 'KEY_CHANGED'
             WHEN {_K} % 25 = 3 THEN 'SHORT_TUPLE' END AS code FROM events WHERE event_type <> 'view') AS x WHERE code IS NOT NULL""",
