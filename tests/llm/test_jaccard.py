@@ -63,6 +63,20 @@ def test_against_all_pairs(spark, together, paired, monkeypatch):
     assert Counter((r.doc_id, r.class_id, r.n_links) for r in got.collect()) == expected
 
 
+@pytest.mark.parametrize("edges", [10**6, 40])
+def test_components(spark, edges, monkeypatch):
+    monkeypatch.setattr(jaccard, "EDGES", edges)
+    rng = random.Random(1)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(400, 400 + k) for k in range(1, 40)]
+    name = lambda k: k.to_bytes(16, "big")
+    label = {k: k for p in pairs for k in p}
+    while any(label[a] != label[b] for a, b in pairs):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    got = jaccard.components(spark.createDataFrame([(name(a), name(b)) for a, b in pairs if a != b], "a binary, b binary"))
+    assert {(bytes(r.node), bytes(r.component)) for r in got.collect()} == {(name(k), name(c)) for k, c in label.items() if any(k in p and p[0] != p[1] for p in pairs)}
+
+
 def test_prefix_is_shortened_to_the_target():
     assert jaccard.prefix_length(0.8, 24, 8, 0.9999) == 5
     assert jaccard.prefix_length(0.8, 24, 8, 0.5) == 8

@@ -49,6 +49,7 @@ FLOOR = 2
 TOGETHER = 1024
 SHINGLES = 1_000_000
 PAIRED = 16
+EDGES = 1_000_000
 LAST = (1 << 63) - 1
 SET_SCHEMA = "doc_id long, doc_key long, node binary, n long, signature binary"
 STEP_SCHEMA = "a binary, b binary, tree int, path binary, part int, last boolean"
@@ -205,10 +206,15 @@ def _contract(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its least node) for all nodes of edges (a, b).
 
-    In each round a node takes the least label of its neighbours, and all that had its label take the least of what
-    they took, so whole groups merge. Nodes with many edges and labels of many nodes are joined by ``join_counted``.
+    Edges are contracted in tasks of up to ``EDGES``; where one task has seen all of them that is the answer. Else, in
+    each round a node takes the least label of its neighbours, and all that had its label take the least of what they
+    took, so whole groups merge. Nodes with many edges and labels of many nodes are joined by ``join_counted``.
     """
-    edges = _contract(edges)
+    edges = saved(edges)
+    tasks = max(1, -(-edges.count() // EDGES))
+    edges = saved(_contract(edges.coalesce(tasks)))
+    if tasks == 1:
+        return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
     both = saved(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     degrees = saved(both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n"), F.least(F.col("a"), F.min("b")).alias("component")))
     labels, (n_edges, n_nodes) = degrees.select("node", "component"), degrees.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
