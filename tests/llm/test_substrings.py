@@ -117,9 +117,16 @@ def test_windows_that_a_polynomial_hash_confuses(spark):
 
 
 def test_recurring_windows_whose_hashes_collide(monkeypatch):
-    monkeypatch.setattr(phrase_dedup.textnp, "gram_hashes", lambda words, n: np.zeros(len(words) - n + 1, np.uint64))
+    monkeypatch.setattr(phrase_dedup.textnp, "gram_hashes", lambda words, n, skip=0: np.zeros(len(words) - (n - 1) * (1 + skip), np.uint64))
     words = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3])
-    assert phrase_dedup.recurring(words, np.arange(7), 3).tolist() == [0]
+    assert phrase_dedup.recurring(words, np.arange(7), 3, 1).tolist() == [0]
+    assert phrase_dedup.textnp.gram_numbers(words, 3).tolist() == [0, 2, 4, 1, 3, 5, 0]
+
+
+@pytest.mark.parametrize("window", [20, 7, 1])
+def test_phrases_of_any_window(spark, window):
+    rows = corpus(6)[:30]
+    same(phrase_dedup.dedup(spark.createDataFrame(rows, COLUMNS), window=window, gram=1), brute_words(rows, window))
 
 
 def test_empty_table(spark):

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 
 from . import textnp, windows
 
+PHRASE = 5
+BREAK = (1 << 31) - 1  # a symbol that no phrase has
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -47,46 +49,64 @@ def word_content(column) -> tuple[bytes, np.ndarray]:
     return b"".join(parts), np.concatenate(cuts)
 
 
-def recurring(words: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
-    """Places, one of each, at which windows of word numbers begin that begin at several places of ``at``."""
-    grams = textnp.gram_hashes(textnp.mix(words.astype(np.uint64) + np.uint64(1)), window)[at]
+def recurring(grams: np.ndarray, at: np.ndarray, reach: int, step: int) -> np.ndarray:
+    """Places, one of each, at which windows begin that begin at several places of ``at``.
+
+    A window is ``reach`` phrases, each ``step`` words behind the one before.
+    """
+    names = textnp.gram_hashes(textnp.mix(grams.astype(np.uint64) + np.uint64(1)), reach, step - 1)[at]
     while True:
-        order = np.argsort(grams, kind="stable")
-        ranked, place = grams[order], at[order]
+        order = np.argsort(names, kind="stable")
+        ranked, place = names[order], at[order]
         starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
         times = np.diff(np.r_[starts, len(ranked)])
         leader = np.repeat(place[starts], times)
-        if all((words[place + k] == words[leader + k]).all() for k in range(window)):
+        if all((grams[place + k * step] == grams[leader + k * step]).all() for k in range(reach)):
             return place[starts[times > 1]]
-        grams = textnp.gram_numbers(words, window)[at]  # two windows share a hash: number them exactly
+        _, names = np.unique(np.stack([grams[at + k * step] for k in range(reach)], axis=1), axis=0, return_inverse=True)  # two windows share a hash
 
 
 def judge(raw: bytes, begin: np.ndarray, end: np.ndarray, counts: np.ndarray, docs: np.ndarray, window: int) -> np.ndarray:
-    """For each window of each piece whether it stands earlier. Pieces come by document and place."""
+    """For each window of each piece whether it stands earlier. Pieces come by document and place.
+
+    The automaton's symbols are phrases of ``step`` words, which divides the window, so that it has a fifth of the
+    states that words would give. A text is streamed once for each place in a phrase at which a window may begin.
+    """
     found = np.zeros(int(counts.sum()), bool)
     if not len(found):
         return found
+    step = max(k for k in range(1, PHRASE + 1) if window % k == 0)
+    reach = window // step
     joined = np.frombuffer(raw, np.uint8)
     bounds = np.r_[0, np.flatnonzero(joined == 0x20) + 1]
     words, _ = textnp.word_numbers(joined, bounds)
+    grams = textnp.gram_numbers(words, step)
     lo, hi = np.searchsorted(bounds, begin), np.searchsorted(bounds, end)
-    listed, base = words.tolist(), (np.cumsum(counts) - counts).tolist()
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for k, s in enumerate(recurring(words, windows.spread(lo, counts), window).tolist()):
-        automaton.add_word(tuple(listed[s : s + window]), k)
-    if not len(automaton):
+    starts = windows.spread(lo, counts)
+    window_at = np.zeros(len(words), np.int64)
+    window_at[starts] = np.arange(len(found))
+    confirmed = recurring(grams, starts, reach, step)
+    if not len(confirmed):
         return found
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    for k, phrases in enumerate(grams[confirmed[:, None] + step * np.arange(reach)].tolist()):
+        automaton.add_word(tuple(phrases), k)
     automaton.make_automaton()
-    seen = bytearray(len(automaton))
-    hits = []
-    for a, b, first in zip(lo.tolist(), hi.tolist(), base, strict=True):
-        first += 1 - window
-        for at, k in automaton.iter(tuple(listed[a:b])):
-            if seen[k]:
-                hits.append(first + at)
-            else:
-                seen[k] = 1
-    found[hits] = True
+    which, where = [], []
+    for shift in range(step):
+        length = np.maximum(0, -(-(hi - lo - step + 1 - shift) // step))
+        piece = np.repeat(np.arange(len(lo)), length)
+        place = lo[piece] + shift + step * windows.spread(np.zeros(len(lo), np.int64), length)
+        ends = np.cumsum(length)
+        stream = np.insert(grams[place], ends, BREAK)  # no match goes over the end of a piece
+        place = np.insert(place, ends, 0)
+        hits = np.array(list(automaton.iter(tuple(stream.tolist()))), np.int64).reshape(-1, 2)
+        which.append(hits[:, 1])
+        where.append(window_at[place[hits[:, 0] - reach + 1]])
+    which, where = np.concatenate(which), np.concatenate(where)
+    first = np.full(len(confirmed), len(found))
+    np.minimum.at(first, which, where)
+    found[where[where != first[which]]] = True
     return found
 
 

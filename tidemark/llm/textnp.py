@@ -144,7 +144,15 @@ def gram_hashes(hashes: np.ndarray, n: int, skip: int = 0) -> np.ndarray:
 
 
 def gram_numbers(numbers: np.ndarray, n: int) -> np.ndarray:
-    """A number for the n numbers that start at each position, equal exactly for equal ones."""
+    """A number for the n numbers that start at each position, equal exactly for equal ones.
+
+    Hashes number them, and all that share one are compared; should two differ, they are numbered pair by pair.
+    """
+    hashes = gram_hashes(mix(numbers.astype(np.uint64) + np.uint64(1)), n)
+    _, first, out = np.unique(hashes, return_index=True, return_inverse=True)
+    leader = first[out]
+    if all((numbers[k : k + len(out)] == numbers[leader + k]).all() for k in range(n)):
+        return out
     out, most = numbers, int(numbers.max(initial=0)) + 1
     for k in range(1, n):
         _, out = np.unique(out[:-1] * most + numbers[k:], return_inverse=True)
