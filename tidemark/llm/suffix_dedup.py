@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from . import textnp, windows
 
-BATCH = 1 << 18
+BATCH = 1 << 17
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -117,6 +117,7 @@ def judge(raw: bytes, begin: np.ndarray, end: np.ndarray, counts: np.ndarray, do
     """For each string of each piece whether a piece of a smaller document has it. Pieces come by document."""
     bounds, owner = zip(begin.tolist(), end.tolist(), strict=True), {}
     first = np.array([owner.setdefault(raw[a:b], k) for k, (a, b) in enumerate(bounds)], np.int64)
+    del owner, bounds
     start = np.cumsum(counts) - counts
     found = np.ones(int(counts.sum()), bool)
     mine, text = np.flatnonzero(first == np.arange(len(first))), np.frombuffer(raw, np.uint8)
