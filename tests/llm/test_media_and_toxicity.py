@@ -152,3 +152,27 @@ def test_sample_bounds_rows_not_only_labels(spark):
     docs = spark.createDataFrame([(i % 4, f"t{i}") for i in range(100)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1) for i in range(4)], "doc_id long, toxic int")
     assert toxicity.training_rows(docs, labels, "toxic", F.lit(True), 2).count() == 2
+
+
+@pytest.mark.parametrize("shape", [(3, 64), (8, 9), (17, 31)])
+def test_feature_against_a_sum_over_pixels(shape):
+    """The hash from cell means summed pixel by pixel, each weighed by the part of it that a cell covers."""
+    image = np.random.default_rng(5).integers(0, 256, shape, dtype=np.uint8)
+    means = np.zeros((8, 9))
+    for i in range(8):
+        for j in range(9):
+            top, bottom, left, right = i * shape[0] / 8, (i + 1) * shape[0] / 8, j * shape[1] / 9, (j + 1) * shape[1] / 9
+            total = 0.0
+            for y in range(shape[0]):
+                for x in range(shape[1]):
+                    total += float(image[y, x]) * max(0, min(bottom, y + 1) - max(top, y)) * max(0, min(right, x + 1) - max(left, x))
+            means[i, j] = round(total / ((bottom - top) * (right - left)), 6)
+    bits = "".join(str(int(means[i, j] < means[i, j + 1])) for i in range(8) for j in range(8))
+    assert media.dhash(image) == f"{int(bits, 2):016x}"
+
+
+def test_format_is_the_callers():
+    raw = np.arange(40_000, dtype=np.uint8)
+    assert media.store_bytes(raw)[:2] == b"BM"
+    assert media.store_bytes(raw, 1 << 30)[:2] == b"P5"
+    assert media.store_bytes(raw[:5], 0)[:2] == b"BM"

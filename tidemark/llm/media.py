@@ -175,19 +175,19 @@ def payload_image(raw: np.ndarray) -> np.ndarray:
     return out.reshape(-1, WIDTH)
 
 
-def store_bytes(raw: np.ndarray) -> bytes:
-    """PGM for short payloads, for its small header; BMP, with rows at fixed offsets, from BMP_FROM bytes on."""
+def store_bytes(raw: np.ndarray, bmp_from: int = BMP_FROM) -> bytes:
+    """PGM for short payloads, for its small header; BMP, with rows at fixed offsets, from ``bmp_from`` bytes on."""
     image = payload_image(raw)
-    return encode_pgm(image) if image.size < BMP_FROM else encode_bmp(image)
+    return encode_pgm(image) if image.size < bmp_from else encode_bmp(image)
 
 
-def store(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media of each document."""
+def store(docs: DataFrame, bmp_from: int = BMP_FROM) -> DataFrame:
+    """doc_id, n_bytes and media of each document; bmp_from: 0 for BMP alone, a very large one for PGM alone."""
 
     def run(batches):
         for batch in batches:
             raw, at = textnp.utf8(batch.column("text"))
-            media = [store_bytes(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            media = [store_bytes(raw[a:b], bmp_from) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(media, pa.large_binary()).cast(pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")

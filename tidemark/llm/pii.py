@@ -5,10 +5,13 @@ get equal pseudonyms in all documents, different values different ones, and the
 
 - cards (13 to 19 digits, Luhn): the first digit and the separators stay, the check digit is made anew;
 - telephone numbers of ten digits, with or without +1: area and exchange keep to 2-9 first digits where they had them;
-- IPv4 addresses; dates (1900-01-01 to 2099-08-05) as 2024-12-31, 31.12.2024, 12/31/2024 or 31/12/2024;
-- social security numbers with valid area, group and serial; IBANs of digits (mod 97, check digits made anew).
+  other numbers of 8 to 15 digits behind a +: the first two digits stay;
+- IPv4 addresses; IPv6 addresses, the digits of each group staying as many;
+- dates (1900-01-01 to 2099-08-05) as 2024-12-31, 31.12.2024, 12/31/2024 or 31/12/2024. A day has one pseudonym in all
+  formats but one: a date that can only be read as dd/MM goes on through the permutation until it is such a date again;
+- social security numbers with valid area, group and serial; IBANs (mod 97): letters stay, check digits are made anew.
 
-Mail addresses, passwords, tokens and access keys have no number to permute: they become keyed hashes of the same
+Mail addresses, passwords, tokens and access keys have no number to permute: they become keyed hashes (HMAC) of the same
 shape, which link equal values and can't be undone. A Feistel round adds to one half, modulo its size, the SHA-256 of
 key, kind, round and the other half; halves of different sizes are allowed, so any domain of size a * b is permuted.
 
@@ -16,11 +19,12 @@ Numbers that stand side by side, a space or hyphen between them, are one run: in
 tried (``parts``), so a card keeps being found beside a quantity, an expiry date or another card.
 
 Cases: null text is empty; a null doc_id stays null; repeated rows are treated each; an empty table gives an empty
-result; only doc_id and text are read. Numbers that fail validation stay as they are.
+result; only doc_id and text are read. Numbers that fail validation stay as they are. An empty key is an error.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -29,18 +33,22 @@ from pyspark.sql import functions as F
 from .base import text_or_empty
 
 ROUNDS = 10
+WALK = 100  # a walk through the dates that doesn't end in so many steps has a chance of 10^-40
 DAYS = 270  # dates are DAYS * DAYS days from 1900-01-01
 # The shapes that are looked for, in order.
 SHAPES = {
-    "password": r"(?<=\bpassword=)[^\s\"']{6,}",
-    "token": r"(?<=\btoken = \")[A-Za-z0-9_-]{16,}(?=\")",
+    "password": r"(?<=\b(?:[Pp]assword|PASSWORD|[Pp]asswd|PASSWD|pwd|PWD)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[^\s\"',;]{6,}",
+    "token": r"(?<=\b(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_-]{16,}",
     "access_key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
     "email": r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}",
+    "iban_letters": r"\b[A-Z]{2}\d{2}(?=(?: ?\d{4}){0,6} ?\d{0,3}[A-Z])(?: ?(?!\d{4} ?[A-Z]{2}\d{2})[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?\d{4}){2,6}(?: ?\d{1,4})?\b",
     "date": r"(?<![\d.-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d-])",
+    "ip6": r"(?<![0-9A-Za-z:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d-])(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d-])",
+    "abroad": r"(?<![\d+])\+[2-9]\d{0,2}(?:[ -]?\(?\d{1,4}\)?){2,6}(?![\d-])",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
 }
 # What starts with digits and goes on with other signs than a run has: a run ends before it.
@@ -145,21 +153,36 @@ def _day(m: Column, form: str) -> Column:
     return F.datediff(F.try_to_timestamp(m, F.lit(form)).cast("date"), F.lit("1900-01-01").cast("date"))
 
 
+def _as_day(number: Column) -> Column:
+    return F.date_add(F.lit("1900-01-01").cast("date"), number.cast("int"))
+
+
 def _date(m: Column, key: str, inverse: bool) -> Column:
+    def moved(day: Column) -> Column:
+        return permute(F.floor(day / DAYS), day % DAYS, F.lit(DAYS), F.lit(DAYS), key, "date", lambda l, r: l * DAYS + r, inverse)
+
+    def walked(day: Column) -> Column:
+        """The next day of the permutation whose number in its month is no month; three in five are."""
+        ends = lambda d: F.dayofmonth(_as_day(d)) > 12
+        return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), moved(day), lambda d, _: F.when(ends(d), d).otherwise(moved(d)))
+
     out = F.lit(None).cast("string")
-    for form in reversed(DATE_FORMATS):
-        day = _day(m, form)
-        text = lambda l, r, form=form: F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), (l * DAYS + r).cast("int")), form)
-        ok = (day >= 0) & (day < DAYS * DAYS)
-        out = F.when(ok, permute(F.floor(day / DAYS), day % DAYS, F.lit(DAYS), F.lit(DAYS), key, f"date{form}", text, inverse)).otherwise(out)
+    for form in DATE_FORMATS:
+        day = _dates(m, form)
+        new = let(day, walked if form == "dd/MM/yyyy" else moved)
+        out = F.when(day.isNotNull(), F.date_format(_as_day(new), form)).otherwise(out)
     return out
 
 
+def _dates(m: Column, form: str) -> Column:
+    """The day that is meant, null outside the domain. With slashes the month is first wherever that is a date."""
+    day = _day(m, form)
+    read = day.between(0, DAYS * DAYS - 1)
+    return F.when(read & _day(m, "MM/dd/yyyy").isNull() if form == "dd/MM/yyyy" else read, day)
+
+
 def _is_date(m: Column) -> Column:
-    found = F.lit(False)
-    for form in DATE_FORMATS:
-        found = found | F.coalesce(_day(m, form).between(0, DAYS * DAYS - 1), F.lit(False))
-    return found
+    return F.coalesce(*[_dates(m, form) for form in DATE_FORMATS]).isNotNull()
 
 
 def _ssn(m: Column, key: str, inverse: bool) -> Column:
@@ -175,24 +198,59 @@ def _ssn(m: Column, key: str, inverse: bool) -> Column:
 
 
 def _iban_rest(country: Column, check: str | Column, account: Column) -> Column:
-    letter = lambda i: (F.ascii(F.substr(country, F.lit(i), F.lit(1))) - 55).cast("string")
-    number = F.concat(account, letter(1), letter(2), F.lit(check) if isinstance(check, str) else check)
-    return number.cast("decimal(38,0)") % 97
+    """The number mod 97, letters as 10 to 35, sign by sign."""
+    signs = F.split(F.concat(account, country, F.lit(check) if isinstance(check, str) else check), "")
+
+    def add(rest: Column, sign: Column) -> Column:
+        digit = sign.rlike("[0-9]")
+        return (rest * F.when(digit, 10).otherwise(100) + F.when(digit, F.ascii(sign) - 48).otherwise(F.ascii(sign) - 55)) % 97
+
+    return F.aggregate(F.filter(signs, lambda x: x != ""), F.lit(0), add)
 
 
 def _iban(m: Column, key: str, inverse: bool) -> Column:
-    country = part(m, 1, 2)
+    country, plain = part(m, 1, 2), F.replace(m, F.lit(" "), F.lit(""))
 
     def make(account: Column) -> Column:
         return F.concat(F.lpad((98 - _iban_rest(country, "00", account)).cast("int").cast("string"), 2, "0"), account)
 
-    new = let(permute_digits(F.substr(digits(m), F.lit(3)), key, "iban", inverse), make)
-    return F.concat(country, refill(F.substr(m, F.lit(3)), new))
+    account = F.substr(plain, F.lit(5))
+    number = permute_digits(digits(account), key, "iban", inverse)
+    new = let(let(number, lambda d: refill(account, d)), make)
+    return F.concat(country, refill(F.substr(m, F.lit(3)), let(new, digits)))
+
+
+def _abroad(m: Column, key: str, inverse: bool) -> Column:
+    return refill(m, let(digits(m), lambda d: F.concat(part(d, 1, 2), permute_digits(F.substr(d, F.lit(3)), key, "abroad", inverse))))
+
+
+def _ip6(m: Column, key: str, inverse: bool) -> Column:
+    """Groups two by two, a last one by itself; each keeps how many digits it has, and the address its case."""
+    groups = F.split(m, ":")
+    some = F.filter(groups, lambda g: g != "")
+    size = lambda g: F.when(F.length(g) == 0, 1).otherwise(F.pow(F.lit(16), F.length(g)).cast("long"))
+    value = lambda g: F.coalesce(F.conv(F.when(g != "", g), 16, 10).cast("long"), F.lit(0))
+
+    def pair(i: Column) -> Column:
+        a, b = F.get(some, 2 * i), F.coalesce(F.get(some, 2 * i + 1), F.lit(""))
+        text = lambda l, r: F.array(F.lpad(F.hex(l), F.length(a), F.lit("0")), F.lpad(F.hex(r), F.length(b), F.lit("0")))
+        return permute(value(a), value(b), size(a), size(b), key, "ip6", text, inverse)
+
+    new = F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(some) - 1) / 2).cast("int")), pair))
+
+    def place(state: Column, group: Column) -> Column:
+        own = F.when(group == "", "").otherwise(F.get(new, state["n"]))
+        return F.struct(F.concat(state["text"], F.lit(":"), own).alias("text"), (state["n"] + F.when(group == "", 0).otherwise(1)).alias("n"))
+
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"))
+    return let(F.aggregate(groups, start, place, lambda s: F.substr(s["text"], F.lit(2))), lambda t: F.when(m.rlike("[A-F]"), t).otherwise(F.lower(t)))
 
 
 def _letters(m: Column, key: str, kind: str) -> Column:
-    """128 hexadecimal digits of a keyed hash."""
-    return F.concat(*[F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), F.lit(str(k)), m), 256) for k in (1, 2)])
+    """128 hexadecimal digits of two HMACs with SHA-256."""
+    inner, outer = (F.lit(bytes(x ^ c for x in hashlib.sha256(key.encode()).digest().ljust(64, b"\0"))) for c in (0x36, 0x5C))
+    mac = lambda text: F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, text.cast("binary")), 256))), 256)
+    return F.concat(*[mac(F.concat(F.lit(f"{kind}{k}|"), m)) for k in (1, 2)])
 
 
 def _stretch(text: Column, n: Column) -> Column:
@@ -218,15 +276,18 @@ def kind_of(m: Column) -> Column:
     whole = lambda name: m.rlike(f"^(?:{SHAPES[name]})$")
     d = digits(m)
     n = F.length(d)
-    account = F.substr(d, F.lit(3))
+    account = F.substr(F.replace(m, F.lit(" "), F.lit("")), F.lit(5))
+    iban = F.when(F.length(account).between(8, 30) & (n >= 4), F.when(_iban_rest(part(m, 1, 2), part(m, 3, 2), account) == 1, "iban"))
     return (
         F.when(m.contains("@") & whole("email"), "email")
         .when(whole("access_key"), "access_key")
-        .when(whole("iban"), F.when((n <= 30) & (_iban_rest(part(m, 1, 2), part(d, 1, 2), account) == 1), "iban"))
+        .when(whole("iban") | whole("iban_letters"), iban)
+        .when(whole("ip6"), F.when(F.size(F.filter(F.split(m, ":"), lambda g: g != "")) <= 8, "ip6"))
         .when(whole("date"), F.when(_is_date(m), "date"))
         .when(whole("ip"), F.when(F.forall(F.split(m, r"\."), lambda x: (x.cast("int") <= 255) & ~x.rlike("^0[0-9]")), "ip"))
         .when(whole("ssn"), F.when(~m.rlike("^(000|666|9)|-00-|-0000$"), "ssn"))
         .when(whole("phone"), "phone")
+        .when(whole("abroad"), F.when(n.between(8, 15), "abroad"))
         .when(whole("card"), F.when(luhn_sum(d) % 10 == 0, "card"))
         .otherwise("secret")
     )
@@ -295,7 +356,7 @@ def parts(m: Column) -> Column:
 def pseudonym(m: Column, kind: Column, key: str, inverse: bool = False) -> Column:
     """The text that takes a found text's place; ``inverse`` undoes permutations and leaves hashes."""
     out = F.when(kind.isNull(), m)
-    for name, make in (("card", _card), ("phone", _phone), ("ip", _ip), ("date", _date), ("ssn", _ssn), ("iban", _iban)):
+    for name, make in (("card", _card), ("phone", _phone), ("ip", _ip), ("date", _date), ("ssn", _ssn), ("iban", _iban), ("abroad", _abroad), ("ip6", _ip6)):
         out = out.when(kind == name, make(m, key, inverse))
     if inverse:
         return out.otherwise(m)
@@ -304,8 +365,10 @@ def pseudonym(m: Column, kind: Column, key: str, inverse: bool = False) -> Colum
 
 def pseudonymise(docs: DataFrame, key: str, inverse: bool = False) -> DataFrame:
     """doc_id, n_found, a count for each kind, and the text with pseudonyms, of each row."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
     rows = docs.select("doc_id", text_or_empty().alias("text"))
-    some = F.col("text").rlike("[0-9@=]|AKIA|ASIA")
+    some = F.col("text").rlike("[0-9@=:]|AKIA|ASIA")
     rows = rows.withColumn("found", F.when(some, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
     one = lambda m: F.array(F.struct(m.alias("m"), kind_of(m).alias("kind")))
     is_run = lambda m: m.rlike(RUN) & ~m.rlike(f"^(?:{SHAPES['date']}|{SHAPES['ssn']}|{SHAPES['phone']})$")
@@ -315,5 +378,5 @@ def pseudonymise(docs: DataFrame, key: str, inverse: bool = False) -> DataFrame:
     text = F.when(F.size("found") > 0, text).otherwise(F.col("text"))
     found = F.flatten("found")
     count = lambda name: F.size(F.filter(found, lambda x: x["kind"] == name))
-    names = ("card", "phone", "ip", "date", "ssn", "iban", "email", "access_key", "secret")
+    names = ("card", "phone", "abroad", "ip", "ip6", "date", "ssn", "iban", "email", "access_key", "secret")
     return rows.select("doc_id", F.size(F.filter(found, lambda x: x["kind"].isNotNull())).alias("n_found"), *[count(n).alias(f"n_{n}") for n in names], text.alias("text"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib.util
 import os
+import secrets
 
 from .base import read
 
@@ -41,7 +42,9 @@ def op3_suffix_dedup(spark, sf_dir):
 def op4_pii(spark, sf_dir):
     from . import pii
 
-    key = spark.conf.get("spark.tidemark.pii.key", None) or "key-of-the-registered-query"
+    key = spark.conf.get("spark.tidemark.pii.key", None)
+    if not key:  # nobody has chosen one: a random one for this session, so what it makes can't be undone afterwards
+        spark.conf.set("spark.tidemark.pii.key", key := secrets.token_hex(32))
     return pii.pseudonymise(read(spark, sf_dir), key)
 
 
