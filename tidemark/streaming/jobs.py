@@ -69,23 +69,49 @@ class ReconcileStream:
 
 
 class MirrorStream:
-    """A mirror table kept by last write wins: each batch is collapsed by key and the mirror's next version written."""
+    """A mirror table kept by last write wins, in buckets by hash of the key.
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    A batch is collapsed by key, and only the buckets that its keys are in get a new version; a list of them says which
+    version of a bucket is the newest. So the work of a batch goes with its keys, up to the number of buckets.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 256):
+        self.spark, self.folder, self.buckets = spark, folder, buckets
 
     def start(self, stream: DataFrame, key: str = "k", order: str = "pos") -> StreamingQuery:
+        bucket = F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int").alias("bucket")
+
         def batch(df: DataFrame, epoch: int) -> None:
-            base = self.version(epoch - 1)
-            base = base if base is not None else df.sparkSession.createDataFrame([], f"{key} long, value double")
-            apply.mirror(base, apply.without_controls(df), key, order).write.mode("overwrite").parquet(f"{self.folder}/mirror/epoch={epoch}")
+            df = apply.without_controls(df).persist()
+            try:
+                touched = sorted(r.bucket for r in df.select(bucket).distinct().collect())  # no more than there are buckets
+                base = self.version(epoch - 1, touched)
+                base = base if base is not None else df.sparkSession.createDataFrame([], f"{key} long, value double")
+                rows = apply.mirror(base, df, key, order).select("*", bucket)
+                rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/mirror/epoch={epoch}")
+                df.sparkSession.createDataFrame([(b,) for b in touched], "bucket int").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/touched/epoch={epoch}")
+            finally:
+                df.unpersist()
 
         return stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{self.folder}/checkpoint").trigger(availableNow=True).start()
 
-    def version(self, upto: int | None = None) -> DataFrame | None:
-        """The newest complete version, or the newest up to a number."""
-        found = [e for e in _epochs(self.spark, f"{self.folder}/mirror") if upto is None or e <= upto]
-        return self.spark.read.parquet(f"{self.folder}/mirror/epoch={found[-1]}") if found else None
+    def version(self, upto: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+        """The newest complete version, or the newest up to a number, of all buckets or of some."""
+        found = [e for e in _epochs(self.spark, f"{self.folder}/touched") if upto is None or e <= upto]
+        if not found:
+            return None
+        paths = [f"{self.folder}/touched/epoch={e}" for e in found]
+        lists = self.spark.read.option("basePath", f"{self.folder}/touched").parquet(*paths)
+        newest = lists.groupBy("bucket").agg(F.max("epoch").alias("epoch"))
+        newest = newest if buckets is None else newest.filter(F.col("bucket").isin(buckets))
+        by_epoch = {r.epoch: r.buckets for r in newest.groupBy("epoch").agg(F.collect_list("bucket").alias("buckets")).collect()}
+        jvm, out = self.spark._jvm, []
+        for epoch, own in by_epoch.items():
+            for b in own:
+                path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/mirror/epoch={epoch}/bucket={b}")
+                if path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):  # a bucket may be empty
+                    out.append(path.toString())
+        return self.spark.read.parquet(*out) if out else None
 
 
 def fan_out(df: DataFrame, sinks: list) -> None:
