@@ -21,15 +21,17 @@ def _epochs(spark: SparkSession, folder: str) -> list[int]:
 
 
 def _before(spark: SparkSession, folder: str, epoch: int) -> DataFrame | None:
-    paths = [f"{folder}/epoch={e}" for e in _epochs(spark, folder) if e < epoch]
-    return spark.read.parquet(*paths) if paths else None
+    """What the last batch before this one wrote."""
+    found = [e for e in _epochs(spark, folder) if e < epoch]
+    return spark.read.parquet(f"{folder}/epoch={found[-1]}") if found else None
 
 
 class ReconcileStream:
     """The reconciler over a streamed log, in log order from batch to batch.
 
-    chunk: k, value, ordinal, chunk_id, lo, hi. A batch writes its events and the rows of windows that closed in it;
-    keys that an open window has seen change wait under ``touched``.
+    chunk: k, value, ordinal, chunk_id, lo, hi. A batch writes its events and the rows of windows that closed in it.
+    Keys that an open window has seen change are carried from batch to batch under ``touched`` until it closes, so a
+    batch reads what the one before it left and the chunks of windows that are open or close in it.
     """
 
     def __init__(self, chunk: DataFrame, table: str, folder: str):
@@ -49,16 +51,19 @@ class ReconcileStream:
             seen = _before(spark, f"{self.folder}/progress", epoch)
             last = seen.agg(F.max("top")).first()[0] if seen is not None else -1
             own = log.filter(F.col("table_name") == self.table)
-            inside = (own["k"] == self.chunk["k"]) & (own["pos"] > self.chunk["lo"]) & (own["pos"] < self.chunk["hi"])
-            touched = own.join(self.chunk, inside).select(self.chunk["chunk_id"], self.chunk["k"], self.chunk["hi"]).distinct()
-            touched.write.mode("overwrite").parquet(f"{self.folder}/touched/epoch={epoch}")
-            earlier = _before(spark, f"{self.folder}/touched", epoch + 1).filter(F.col("hi") > last)
-            closing = self.chunk.filter((F.col("hi") > last) & (F.col("hi") <= top))
-            left = closing.join(earlier.select("chunk_id", "k").distinct(), ["chunk_id", "k"], "left_anti")
+            chunk = self.chunk.filter((F.col("hi") > last) & (F.col("lo") < top))
+            inside = (own["k"] == chunk["k"]) & (own["pos"] > chunk["lo"]) & (own["pos"] < chunk["hi"])
+            touched = own.join(chunk, inside).select(chunk["chunk_id"], chunk["k"], chunk["hi"])
+            carried = _before(spark, f"{self.folder}/touched", epoch)
+            touched = (touched if carried is None else touched.unionByName(carried)).distinct().persist()
+            touched.filter(F.col("hi") > top).write.mode("overwrite").parquet(f"{self.folder}/touched/epoch={epoch}")
+            closing = chunk.filter(F.col("hi") <= top)
+            left = closing.join(touched.select("chunk_id", "k"), ["chunk_id", "k"], "left_anti")
             none = own.filter(F.lit(False))
             live = reconcile.emitted(closing.filter(F.lit(False)), log, self.table)
             rows = reconcile.emitted(left, none, self.table)
             live.unionByName(rows).write.mode("overwrite").parquet(f"{self.folder}/emitted/epoch={epoch}")
+            touched.unpersist()
             spark.createDataFrame([(top,)], "top long").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/progress/epoch={epoch}")
         finally:
             log.unpersist()
