@@ -84,7 +84,19 @@ def op10_media(spark, sf_dir):
     return media.digests(media.store(read(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_suffix_dedup, op4_pii, op5_phrase_dedup, op6_exact_dedup, op7_mixing, op8_jaccard_join, op9_token_counts, op10_media)}
+def op12_filter_audit(spark, sf_dir):
+    from . import filter_audit
+
+    return filter_audit.audit(filter_audit.counted(filter_audit.flagged(read(spark, sf_dir), read(spark, sf_dir, "labels"))))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_bpe, op2_toxicity, op3_suffix_dedup, op4_pii, op5_phrase_dedup, op6_exact_dedup, op7_mixing, op8_jaccard_join, op9_token_counts, op10_media,
+        op12_filter_audit,
+    )
+}
 
 ORACLES = {
     "op3_suffix_dedup": """
@@ -120,6 +132,36 @@ ORACLES = {
         SELECT d.doc_id, coalesce(m.class_id, d.doc_id) AS class_id, CASE WHEN n.doc IS NULL THEN 0 ELSE coalesce(l.links, 0) + n.copies - 1 END AS n_links, coalesce(n.copies, 1) AS copies
         FROM d LEFT JOIN n ON n.t = array_to_string(d.w, ' ') AND len(d.w) > 0 LEFT JOIN m ON m.doc = n.doc LEFT JOIN l ON l.doc = n.doc
     """,
+    "op12_filter_audit": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        f AS (
+            SELECT part, doc_id, CASE WHEN len(w) < 50 THEN 1 ELSE 0 END
+                + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+                + CASE WHEN 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * len(t) THEN 4 ELSE 0 END
+                + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+                + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask FROM d),
+        c AS (
+            SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS good,
+                count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS toxic FROM f GROUP BY part, mask),
+        o(filter_order, step, before, bit) AS (
+            SELECT '', 0, 0, 0 UNION ALL
+            SELECT filter_order || l, step + 1, before + bit, b FROM o, (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS z(l, b) WHERE NOT contains(filter_order, l)),
+        s AS (
+            SELECT e.filter_order, p.step, p.before, p.bit FROM (SELECT filter_order FROM o WHERE step = 5) AS e
+            JOIN o AS p ON p.step > 0 AND starts_with(e.filter_order, p.filter_order)),
+        r AS (
+            SELECT part, filter_order, step, bit,
+                CAST(coalesce(sum(n) FILTER (WHERE mask & (before + bit) = 0), 0) AS BIGINT) AS kept,
+                CAST(coalesce(sum(n) FILTER (WHERE mask & before = 0 AND mask & bit <> 0), 0) AS BIGINT) AS removed,
+                CAST(coalesce(sum(n) FILTER (WHERE mask & before <> 0 AND mask & bit <> 0), 0) AS BIGINT) AS redundant,
+                CAST(coalesce(sum(n) FILTER (WHERE mask = bit), 0) AS BIGINT) AS unique_fails,
+                CAST(coalesce(sum(good) FILTER (WHERE mask & before = 0 AND mask & bit <> 0), 0) AS BIGINT) AS good_lost,
+                CAST(coalesce(sum(toxic) FILTER (WHERE mask & before = 0 AND mask & bit <> 0), 0) AS BIGINT) AS toxic_lost
+            FROM c, s GROUP BY part, filter_order, step, bit)
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+            CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r
+    """,
     "op6_exact_dedup": """
         WITH t AS (
             SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h FROM documents
