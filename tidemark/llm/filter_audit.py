@@ -86,10 +86,10 @@ def left_counted(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """rows with ``_first`` of their text's group, null for a text that stands alone; hot groups are broadcast."""
     total = rows.count()
     hot = F.col("_rows") * SALTS > total  # fewer than SALTS groups at any size
-    by_hot = rows.join(F.broadcast(groups.filter(hot).select("_text", F.col("_first").alias("_hot"))), "_text", "left")
-    rest = groups.filter(~hot).select("_text", "_first")
-    key = F.when(F.col("_hot").isNull(), F.col("_text"))
-    return by_hot.withColumn("_text", key).join(rest, "_text", "left").withColumn("_first", F.coalesce("_hot", "_first")).drop("_hot", "_text")
+    of_hot, rest = (groups.filter(c).select("_text", "_first") for c in (hot, ~hot))
+    of_hot = F.broadcast(of_hot)
+    found = rows.join(of_hot, "_text")
+    return found.unionByName(rows.join(of_hot, "_text", "left_anti").join(rest, "_text", "left")).drop("_text")
 
 
 def counted(rows: DataFrame) -> DataFrame:

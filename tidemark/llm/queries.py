@@ -8,6 +8,9 @@ import secrets
 
 from .base import read
 
+# Fixed value: the pattern that the rank files of the public vocabularies go with.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 
 def tokenizer_path(name: str) -> str:
     """Place of a public vocabulary file: $TOKENIZER_DIR, or the installed package of vocabularies."""
@@ -90,11 +93,17 @@ def op12_filter_audit(spark, sf_dir):
     return filter_audit.audit(filter_audit.counted(filter_audit.flagged(read(spark, sf_dir), read(spark, sf_dir, "labels"))))
 
 
+def op13_byte_bpe(spark, sf_dir):
+    from . import byte_bpe
+
+    return byte_bpe.digests(read(spark, sf_dir), tokenizer_path("byte_bpe_multi_50k.tiktoken"), BYTE_LEVEL_PATTERN)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_bpe, op2_toxicity, op3_suffix_dedup, op4_pii, op5_phrase_dedup, op6_exact_dedup, op7_mixing, op8_jaccard_join, op9_token_counts, op10_media,
-        op12_filter_audit,
+        op12_filter_audit, op13_byte_bpe,
     )
 }
 
