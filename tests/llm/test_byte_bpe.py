@@ -32,12 +32,12 @@ def test_digests(spark, library):
 
 
 def test_every_code_point_behind_and_before_others(library):
-    """The library's tables decide what a letter is: all code points in six places, cut and encoded as it does."""
+    """The library's tables decide what a letter is: all planes with assigned characters, cut and encoded as it does."""
     codec = byte_bpe.Codec(PATH, queries.BYTE_LEVEL_PATTERN, byte_bpe.tiktoken_classes())
-    for form in ("a%s1", "1%sa", " %s!"):
-        for lo in range(0, len(classes.POINTS), 50_000):
-            text = "\n;\n".join(form % c for c in classes.POINTS[lo : lo + 50_000])
-            assert codec.encode(text) == library.encode_ordinary(text), (form, lo)
+    points = [c for c in classes.POINTS if c < "\U00040000" or "\U000e0000" <= c < "\U000e1000"]
+    for lo in range(0, len(points), 20_000):
+        text = "\n;\n".join(f"a{c}1{c}a !{c}" for c in points[lo : lo + 20_000])
+        assert codec.encode(text) == library.encode_ordinary(text), lo
 
 
 def test_pieces_without_bounds(monkeypatch):

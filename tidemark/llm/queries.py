@@ -87,6 +87,12 @@ def op10_media(spark, sf_dir):
     return media.digests(media.store(read(spark, sf_dir)))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    from . import hard_negatives
+
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings"))
+
+
 def op12_filter_audit(spark, sf_dir):
     from . import filter_audit
 
@@ -103,7 +109,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_bpe, op2_toxicity, op3_suffix_dedup, op4_pii, op5_phrase_dedup, op6_exact_dedup, op7_mixing, op8_jaccard_join, op9_token_counts, op10_media,
-        op12_filter_audit, op13_byte_bpe,
+        op11_hard_negatives, op12_filter_audit, op13_byte_bpe,
     )
 }
 
@@ -141,6 +147,21 @@ ORACLES = {
         SELECT d.doc_id, coalesce(m.class_id, d.doc_id) AS class_id, CASE WHEN n.doc IS NULL THEN 0 ELSE coalesce(l.links, 0) + n.copies - 1 END AS n_links, coalesce(n.copies, 1) AS copies
         FROM d LEFT JOIN n ON n.t = array_to_string(d.w, ' ') AND len(d.w) > 0 LEFT JOIN m ON m.doc = n.doc LEFT JOIN l ON l.doc = n.doc
     """,
+    "op11_hard_negatives": """
+        WITH e AS (
+            SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        p AS (
+            SELECT a.r, a.vec_id AS anchor_id, a.label, a.v, b.r AS q, b.vec_id AS positive_id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS positive_score
+            FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.label = b.label AND a.r <> b.r
+            QUALIFY row_number() OVER (PARTITION BY a.r ORDER BY positive_score DESC, b.vec_id NULLS LAST) <= 5),
+        n AS (
+            SELECT p.r, q, anchor_id, positive_id, positive_score, e.vec_id AS negative_id, CAST(list_dot_product(p.v, e.v) AS BIGINT) AS negative_score FROM p JOIN e ON p.label <> e.label),
+        x AS (
+            SELECT *, row_number() OVER (PARTITION BY r, q ORDER BY negative_score DESC, negative_id NULLS LAST) AS rank FROM n
+            WHERE 50 * positive_score <= 100 * negative_score AND 100 * negative_score <= 95 * positive_score)
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM x WHERE rank <= 3
+    """,
     "op12_filter_audit": r"""
         WITH RECURSIVE d AS (
             SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
