@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe, merges, queries, token_counts
+from tidemark.llm import bpe, classes, merges, queries, token_counts
 
 COLUMNS = "doc_id long, text string, ids string, leaf long"
 
@@ -50,6 +50,16 @@ def test_counts(table):
         assert tuple(got[i]) == (i, len((text or "").encode()), n, n > 100), repr(text)[:80]
 
 
+def test_counts_of_every_code_point():
+    """The library's tables decide what a letter is: all planes with assigned characters, behind and before others."""
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    library, counter = Tokenizer.from_file(path), token_counts.Counter(path, token_counts.library_classes())
+    points = [c for c in classes.POINTS if c < "\U00040000" or "\U000e0000" <= c < "\U000e1000"]
+    some = [f"a{c}1{c}a !{c}" for c in points]
+    assert counter.count(some) == [len(e.ids) for e in library.encode_batch(some, add_special_tokens=False)]
+    assert counter.count(["\U00032a88\u8eaa"]) == [7]
+
+
 def test_ids_round_trip(spark):
     path = queries.tokenizer_path("word_bpe_49k.json")
     rows = spark.createDataFrame([(1, "Hello, wörld!"), (None, None)], "doc_id long, text string")

@@ -1,6 +1,6 @@
 """Token counts of a byte-level BPE vocabulary, by rank-synchronous merging of ragged numpy arrays.
 
-Texts are cut into pre-tokens by the vocabulary's pattern. The distinct pre-tokens of a batch that the task has not
+Texts are cut into pre-tokens by the vocabulary's pattern, with the character classes of the library (``classes``). The distinct pre-tokens of a batch that the task has not
 met before are held as one ragged array and merged together (``MergeTable.encode``); the symbols that survive are
 counted. Pre-tokens of over ``merges.LEAF`` bytes are merged as trees of leaves. A special token's string inside a
 text is one token, as by default in the library.
@@ -11,24 +11,39 @@ gives an empty result; only doc_id and text are read.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tokenizers import Regex, pre_tokenizers
+
 from . import merges, textnp
+from .classes import Cutter, stand_ins
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 MEMORY = 400_000
 
 
+@cache
+def library_classes() -> dict[int, str]:
+    """Where the tokenizers library's classes differ."""
+
+    def members(pattern: str, text: str) -> str:
+        return "".join(part for part, _ in pre_tokenizers.Split(Regex(f"{pattern}+"), "removed", invert=True).pre_tokenize_str(text))
+
+    return stand_ins(members)
+
+
 class Counter:
     """Counts tokens of texts; remembers the counts of up to ``MEMORY`` distinct pre-tokens."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, instead: dict[int, str]):
         self.table = merges.MergeTable(path)
-        self.find = regex.compile(PATTERN).findall
+        self.find = Cutter(PATTERN, instead)
         specials = sorted(self.table.special, key=len, reverse=True)
         self.split = regex.compile("|".join(map(regex.escape, specials))).split if specials else lambda t: [t]
         self.marks = specials
@@ -67,11 +82,24 @@ class Counter:
         return [sum(map(size, row)) + more for row, more in zip(rows, extra, strict=True)]
 
 
+_counters: dict[str, Counter] = {}
+
+
+def _counter(path: str, instead: dict[int, str]) -> Counter:
+    """One for each worker, without what another task has remembered."""
+    if path not in _counters:
+        _counters[path] = Counter(path, instead)
+    _counters[path].known.clear()
+    return _counters[path]
+
+
 def counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) for each row."""
 
+    instead = library_classes()
+
     def run(batches):
-        counter = Counter(path)
+        counter = _counter(path, instead)
         for batch in batches:
             ids, column = batch.column("doc_id"), batch.column("text")
             _, at = textnp.utf8(column)
