@@ -35,12 +35,16 @@ from .base import text_or_empty
 ROUNDS = 10
 WALK = 100  # a walk through the dates that doesn't end in so many steps has a chance of 10^-40
 DAYS = 270  # dates are DAYS * DAYS days from 1900-01-01
+# Loops over groups of several signs are possessive: Java's matcher runs those as a loop and any other by recursion, which
+# overflows on long texts. Each round ends where the whole could end, so nothing has to be given back.
+_LABELS = r"[A-Za-z0-9-]++\."
+_DOMAIN = rf"(?:(?:{_LABELS}(?![A-Za-z]{{2}}))*+{_LABELS}(?=[A-Za-z]{{2}}))++[A-Za-z]{{2,24}}"  # up to the last dot before two letters
 # The shapes that are looked for, in order.
 SHAPES = {
     "password": r"(?<=\b(?:[Pp]assword|PASSWORD|[Pp]asswd|PASSWD|pwd|PWD)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[^\s\"',;]{6,}",
     "token": r"(?<=\b(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_-]{16,}",
     "access_key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
-    "email": r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}",
+    "email": rf"[A-Za-z0-9._%+-]{{1,64}}@{_DOMAIN}",
     "iban_letters": r"\b[A-Z]{2}\d{2}(?=(?: ?\d{4}){0,6} ?\d{0,3}[A-Z])(?: ?(?!\d{4} ?[A-Z]{2}\d{2})[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?\d{4}){2,6}(?: ?\d{1,4})?\b",
     "date": r"(?<![\d.-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d-])",
@@ -53,10 +57,13 @@ SHAPES = {
 }
 # What starts with digits and goes on with other signs than a run has: a run ends before it.
 _OTHER = r"(?!\d{2}[./]\d{2}[./]\d{4}|(?:\d{1,3}\.){3}\d|\d{3}(?:[ -]\d{3}\.|\.\d{3}[ .-])\d{4}|[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+\.)"
-_GROUPS = rf"\d+(?:[ -]{_OTHER}\d+)*"
-RUNS = {"iban": rf"\b[A-Z]{{2}}(?=\d{{2}}(?: ?\d{{4}}){{2}}){_GROUPS}\b", "card": rf"(?<![\d-])(?=\d(?:[ -]?\d){{12}}){_GROUPS}(?![\d-])"}
+_CHAIN = rf"\d++(?:-{_OTHER}\d++)*+(?!-)"  # groups with hyphens between them: a run may not end before a hyphen
+RUNS = {
+    "iban": rf"\b[A-Z]{{2}}(?=\d{{2}}(?: ?\d{{4}}){{2}})\d++\b(?:[ -]{_OTHER}\d++\b)*+",
+    "card": rf"(?<![\d-])(?=\d(?:[ -]?\d){{12}}){_CHAIN}(?: {_OTHER}{_CHAIN})*+",
+}
 ANY = "|".join({**SHAPES, **RUNS}.values())
-RUN = r"^(?:[A-Z]{2})?\d+(?:[ -]\d+)*$"
+RUN = r"^(?:[A-Z]{2})?\d++(?:[ -]\d++)*+$"
 LONGEST = 36  # signs and groups behind the first one of a card of 19 groups
 SECRETS = ("password", "token", "access_key")
 DATE_FORMATS = ("yyyy-MM-dd", "dd.MM.yyyy", "MM/dd/yyyy", "dd/MM/yyyy")
