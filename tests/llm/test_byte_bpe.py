@@ -69,7 +69,7 @@ def test_utf8_machine():
     odd = [0x00, 0x7F, 0x80, 0x9F, 0xA0, 0xBF, 0xC0, 0xC1, 0xC2, 0xDF, 0xE0, 0xED, 0xEF, 0xF0, 0xF1, 0xF4, 0xF5, 0xFF]
     for _ in range(20_000):
         raw = bytes(rng.choice(odd) if rng.random() < 0.8 else rng.randrange(256) for _ in range(rng.randint(0, 8)))
-        assert machine.decode(by_byte[b] for b in raw) == raw.decode("utf-8", "replace")
+        assert machine.decode([by_byte[b] for b in raw]) == raw.decode("utf-8", "replace")
     out = []
     assert machine.push(b"", [by_byte[b] for b in "é".encode()[:1]], out) == "é".encode()[:1]
     assert "".join(out) == ""

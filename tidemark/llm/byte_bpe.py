@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding of rank files, by transducers (see ``transducer``).
 
 A text is cut by a pattern as the library cuts it (see ``classes``); each match is read by the encoding transducer, and
-the tokens of up to ``MEMORY`` distinct matches are remembered by a task. Tokens are decoded one after another by the
+the tokens of up to ``MEMORY`` distinct matches are remembered by a worker. Tokens are decoded one after another by the
 UTF-8 machine. Both go through a text in slices, so a task holds a text and no more than a slice of its tokens.
 
 Cases: a null text is empty (no tokens, empty decoding); a null doc_id stays null; repeated rows are encoded each; an
@@ -11,6 +11,7 @@ of special tokens are ordinary text.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 from functools import cache
@@ -42,34 +43,44 @@ def tiktoken_classes() -> dict[int, str]:
     return stand_ins(members)
 
 
+class _Known(dict):
+    """Tokens of matches, encoded when they are first asked for; long ones aren't remembered."""
+
+    def __init__(self, transducer: Transducer):
+        super().__init__()
+        self.transducer = transducer
+
+    def __missing__(self, piece: str) -> list[int]:
+        ids = self.transducer.encode(piece.encode())
+        if len(piece) <= LONG:
+            self[piece] = ids
+        return ids
+
+
 class Codec:
     def __init__(self, path: str, pattern: str, instead: dict[int, str]):
         self.transducer = Transducer(load_ranks(path))
         self.machine = Utf8Machine(self.transducer.bytes_of)
         self.cut = Cutter(pattern, instead)
-        self.known: dict[str, list[int]] = {}
-
-    def _match(self, piece: str) -> list[int]:
-        ids = self.known.get(piece)
-        if ids is None:
-            ids = self.transducer.encode(piece.encode())
-            if len(piece) <= LONG:
-                if len(self.known) >= MEMORY:
-                    self.known.clear()
-                self.known[piece] = ids
-        return ids
+        self.known = _Known(self.transducer)
 
     def slices(self, text: str) -> Iterator[list[int]]:
         """The text's tokens, some at a time."""
         pieces = iter(self.cut(text))
         while part := list(islice(pieces, SLICE_MATCHES)):
             at = 0
-            for k, piece in enumerate(part):
-                if len(piece) > SLICE:
-                    yield list(chain.from_iterable(map(self._match, part[at:k])))
-                    yield from self.transducer.stream(piece.encode())
-                    at = k + 1
-            yield list(chain.from_iterable(map(self._match, part[at:])))
+            if max(map(len, part)) > SLICE:
+                for k, piece in enumerate(part):
+                    if len(piece) > SLICE:
+                        yield self._all(part[at:k])
+                        yield from self.transducer.stream(piece.encode())
+                        at = k + 1
+            yield self._all(part[at:])
+
+    def _all(self, pieces: list[str]) -> list[int]:
+        if len(self.known) > MEMORY:
+            self.known.clear()
+        return list(chain.from_iterable(map(self.known.__getitem__, pieces)))
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(self.slices(text)))
@@ -93,10 +104,9 @@ _codecs: dict[tuple[str, str], Codec] = {}
 
 
 def _codec(path: str, pattern: str, instead: dict[int, str]) -> Codec:
-    """One for each worker, without what another task has remembered."""
+    """One for each worker; what its tasks remember is bounded."""
     if (path, pattern) not in _codecs:
         _codecs[path, pattern] = Codec(path, pattern, instead)
-    _codecs[path, pattern].known.clear()
     return _codecs[path, pattern]
 
 
@@ -107,11 +117,13 @@ def _by_batch(docs: DataFrame, path: str, pattern: str, schema: str, run) -> Dat
 
     def go(batches):
         codec = _codec(path, pattern, instead)
+        gc.disable()  # states and memories are many and hold no cycles
         for batch in batches:
             ids, column = batch.column("doc_id"), batch.column("text")
             for lo, hi in textnp.slices(textnp.utf8(column)[1], 1 << 20):
                 got = run(codec, [t or "" for t in column.slice(lo, hi - lo).to_pylist()])
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).cast(pa.int64()), *got], names=names)
+        gc.enable()
 
     return docs.select("doc_id", "text").mapInArrow(go, schema)
 
@@ -125,7 +137,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and decoded of each row of (doc_id, ids); null ids decode to an empty text."""
 
     def run(batches):
-        codec = _codec(path, pattern, {})
+        codec = _codec(path, pattern, tiktoken_classes())
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([codec.decode(x or []) for x in batch.column("ids").to_pylist()], pa.string())], names=["doc_id", "decoded"])
 

@@ -14,10 +14,14 @@ are made when a text first needs them, and forgotten all together when there are
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
+from contextlib import suppress
 
 STATES = 200_000
 SLICE = 1 << 16
+NEVER = 1 << 40
+NONE: tuple[int, ...] = ()
+TWO = "the ranks aren't those of merges: a prefix has no or several encodings"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -30,8 +34,8 @@ def merged(raw: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     """raw by its merges, lowest rank first and from the left: for a pair of tokens, which is short."""
     parts = [raw[i : i + 1] for i in range(len(raw))]
     while len(parts) > 1:
-        best, at = min((ranks.get(parts[i] + parts[i + 1], len(ranks) + len(raw)), i) for i in range(len(parts) - 1))
-        if parts[at] + parts[at + 1] not in ranks:
+        best, at = min((ranks.get(parts[i] + parts[i + 1], NEVER), i) for i in range(len(parts) - 1))
+        if best == NEVER:
             break
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
     return parts
@@ -45,78 +49,128 @@ class Transducer:
         self.bytes_of = {r: t for t, r in ranks.items()}
         if len(self.bytes_of) != len(ranks) or not all(bytes([b]) in ranks for b in range(256)):
             raise ValueError("ranks must differ and hold all bytes")
-        self.child: dict[tuple[int, int], int] = {}
-        self.token_at: list[int] = [-1]  # of each node of the trie
-        self.inner: list[bool] = [False]
+        # trie: node << 8 | byte -> its child; the token of a node, -1 where none ends; whether tokens go on behind it
+        self.child: dict[int, int] = {}
+        self.token_at, self.inner = [-1], [False]
         for token, rank in ranks.items():
             node = 0
             for b in token:
                 self.inner[node] = True
-                below = self.child.get((node, b))
+                below = self.child.get(node << 8 | b)
                 if below is None:
-                    below = self.child[node, b] = len(self.token_at)
+                    below = self.child[node << 8 | b] = len(self.token_at)
                     self.token_at.append(-1)
                     self.inner.append(False)
                 node = below
             self.token_at[node] = rank
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.edges: dict[int, tuple[tuple, tuple] | None] = {}
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self.rests: list[tuple[int, ...]] = []
-        self.fits.clear()
-        self._state(-1, ((0, ()),))  # state 0: nothing is read
-
-    def _state(self, last: int, hypotheses: tuple) -> int:
-        """last: the last token emitted. hypotheses: node since the last token's end, tokens that are held back."""
-        key = (last, hypotheses)
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.fits: dict[int, bool] = {}
+        self._state((-1, ((0, ()),)))  # state 0: nothing is read
+
+    def _state(self, key: tuple) -> int:
+        """key: the last token emitted, and each hypothesis: node since its last token's end, tokens held back. The one
+        at the root, where a token has just ended, is the last."""
         at = self.number.get(key)
         if at is None:
             at = self.number[key] = len(self.states)
             self.states.append(key)
-            self.moves.append({})
-            self.rests.append(next(held for node, held in hypotheses if node == 0))
         return at
 
-    def _may_follow(self, last: int, token: int) -> bool:
-        known = self.fits.get((last, token))
-        if known is None:
-            tokens = [self.bytes_of[t] for t in (last, token) if t >= 0]
-            known = self.fits[last, token] = merged(b"".join(tokens), self.ranks) == tokens
-        return known
+    def _spines(self, token: int) -> tuple[tuple, tuple] | None:
+        """(rank, bytes) of what stands at a token's right and at its left end while it is merged, from a byte to the
+        whole token; None for a token that merges don't reach or that comes before its parts."""
+        if token not in self.edges:
+            whole = self.bytes_of[token]
+            parts, last = [whole[i : i + 1] for i in range(len(whole))], [-1, -1]
+            right, left = [(-1, parts[-1])], [(-1, parts[0])]
+            good = True
+            while len(parts) > 1:
+                rank, at = min((self.ranks.get(parts[i] + parts[i + 1], NEVER), i) for i in range(len(parts) - 1))
+                if rank == NEVER:
+                    good = False
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                for side, spine, edge in ((0, right, parts[-1]), (1, left, parts[0])):
+                    if edge != spine[-1][1]:
+                        good = good and rank > last[side]
+                        last[side] = rank
+                        spine.append((rank, edge))
+            self.edges[token] = (tuple(right), tuple(left)) if good else None
+        return self.edges[token]
+
+    def _may_follow(self, first: int, second: int) -> bool:
+        """Whether two tokens encode to themselves: no merge crosses their border while each of them comes about.
+
+        What stands on both sides of the border changes at known ranks; a pair of them that is a token of rank r merges
+        if both stand there before r or any of their own merges takes one away. Of equal ranks the left one is first.
+        """
+        a, b = (self._spines(first) if first >= 0 else ()), self._spines(second)
+        if a is None or b is None:
+            tokens = [self.bytes_of[t] for t in (first, second) if t >= 0]
+            return merged(b"".join(tokens), self.ranks) == tokens
+        if not a:
+            return True
+        (right, _), (_, left), i, j = a, b, 0, 0
+        while True:
+            ends_left = right[i + 1][0] if i + 1 < len(right) else NEVER
+            ends_right = left[j + 1][0] if j + 1 < len(left) else NEVER
+            rank = self.ranks.get(right[i][1] + left[j][1])
+            if rank is not None and rank < ends_left and rank <= ends_right:
+                return False
+            if ends_left == ends_right == NEVER:
+                return True
+            if ends_left <= ends_right:
+                i += 1
+            else:
+                j += 1
 
     def _make(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """The state after a byte and what is emitted on the way."""
         last, hypotheses = self.states[state]
-        new, ended = [], []
+        child, inner, token_at, fits = self.child, self.inner, self.token_at, self.fits
+        new, ended = [], None
         for node, held in hypotheses:
-            below = self.child.get((node, byte))
+            below = child.get(node << 8 | byte)
             if below is None:
                 continue
-            if self.inner[below]:
+            if inner[below]:
                 new.append((below, held))
-            token = self.token_at[below]
-            if token >= 0 and self._may_follow(held[-1] if held else last, token):
-                ended.append((0, (*held, token)))
-        if len(ended) != 1:
-            raise ValueError("the ranks aren't those of merges: a prefix has no or several encodings")
-        new += ended
-        first, same = new[0][1], 0
-        while all(len(held) > same and held[same] == first[same] for _, held in new if same < len(first)) and same < len(first):
-            same += 1
-        out = first[:same]
-        move = self._state(out[-1] if out else last, tuple((node, held[same:]) for node, held in new)), out
-        self.moves[state][byte] = move
+            token = token_at[below]
+            if token >= 0:
+                before = held[-1] if held else last
+                fit = fits.get(before << 20 | token)
+                if fit is None:
+                    fit = fits[before << 20 | token] = self._may_follow(before, token)
+                if fit:
+                    if ended is not None:
+                        raise ValueError(TWO)
+                    ended = (*held, token)
+        if ended is None:
+            raise ValueError(TWO)
+        new.append((0, ended))
+        same = min([len(held) for _, held in new])  # mostly 0: the oldest hypothesis holds nothing back
+        if same:
+            while any([held[:same] != ended[:same] for _, held in new]):
+                same -= 1
+            if same:
+                new = [(node, held[same:]) for node, held in new]
+                last = ended[same - 1]
+        key = last, tuple(new)
+        after = self.number.get(key)
+        move = self.moves[state << 8 | byte] = (self._state(key) if after is None else after), ended[:same] if same else NONE
         return move
 
     def push(self, state: int, raw: bytes, out: list[int]) -> int:
         """Reads bytes from a state on, adds to ``out`` what is sure, and gives the state after them."""
-        moves = self.moves
+        get = self.moves.get
         for byte in raw:
-            move = moves[state].get(byte)
+            move = get(state << 8 | byte)
             if move is None:
                 move = self._make(state, byte)
             state, sure = move
@@ -131,18 +185,41 @@ class Transducer:
             if len(self.states) > self.most:  # all are forgotten but the one that goes on
                 key = self.states[state]
                 self.forget()
-                state = self._state(*key)
+                state = self._state(key)
             out: list[int] = []
             state = self.push(state, piece[lo : lo + SLICE], out)
             yield out
-        yield list(self.rests[state])
+        yield list(self.states[state][1][-1][1])
 
     def encode(self, piece: bytes) -> list[int]:
         """Tokens of a piece. A token that merges don't reach is itself as a whole piece, as in the library."""
-        out = [t for part in self.stream(piece) for t in part]
+        out: list[int] = []
+        if len(piece) > SLICE or len(self.states) > self.most:
+            for part in self.stream(piece):
+                out += part
+        else:
+            out += self.states[self.push(0, piece, out)][1][-1][1]
         return [self.ranks[piece]] if len(out) > 1 and piece in self.ranks else out
 
 
+class _Whole(dict):
+    """Texts of tokens that begin and end between characters; a KeyError for others."""
+
+    def __init__(self, machine: Utf8Machine):
+        super().__init__()
+        self.machine = machine
+
+    def __missing__(self, token: int) -> str:
+        text, state = [], b""
+        for byte in self.machine.bytes_of[token]:
+            got, state = self.machine.step(state, byte)
+            text.append(got)
+        if state:
+            raise KeyError(token)
+        self[token] = "".join(text)
+        return self[token]
+
+
 class Utf8Machine:
     """Decodes bytes as they come. A state is the bytes of a character that isn't complete; what can't become one is
     given out as U+FFFD, as long as it could have, as Python and WHATWG do."""
@@ -150,6 +227,7 @@ class Utf8Machine:
     def __init__(self, bytes_of: dict[int, bytes]):
         self.bytes_of = bytes_of
         self.known: dict[bytes, dict[int, tuple[str, bytes]]] = {b"": {}}
+        self.whole = _Whole(self)
 
     @staticmethod
     def _second(lead: int) -> range:
@@ -167,7 +245,11 @@ class Utf8Machine:
         text, state = self.step(b"", byte)
         return "�" + text, state
 
-    def push(self, state: bytes, tokens: Iterable[int], out: list[str]) -> bytes:
+    def push(self, state: bytes, tokens: Sequence[int], out: list[str]) -> bytes:
+        if not state:
+            with suppress(KeyError):  # no token ends inside a character: one step for all
+                out.append("".join(map(self.whole.__getitem__, tokens)))
+                return state
         known = self.known.setdefault(state, {})
         for token in tokens:
             move = known.get(token)
@@ -183,7 +265,7 @@ class Utf8Machine:
                 known = self.known.setdefault(state, {})
         return state
 
-    def decode(self, tokens: Iterable[int]) -> str:
+    def decode(self, tokens: Sequence[int]) -> str:
         out: list[str] = []
         if self.push(b"", tokens, out):
             out.append("�")
