@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PLAN_MODULES = ("snapshot", "streams", "types", "state", "messages")
+PLAN_MODULES = ("snapshot", "streams", "types", "state", "messages", "flows")
 
 
 def _collect(kind: str) -> dict:

@@ -92,3 +92,34 @@ def needs_full_dump(rows: DataFrame) -> DataFrame:
         .when(F.col("n_columns") < F.col("table_columns"), "SHORT_TUPLE")
     )
     return rows.filter("captured").withColumn("code", code).filter("code IS NOT NULL").select("pos", "table_name", "code")
+
+
+SEGMENT = 65_536
+
+
+def transaction_segments(log: DataFrame, positions: int = SEGMENT) -> DataFrame:
+    """tx, segment, first_pos, last_pos, n_events, ops: stretches of transactions, of at most ``positions`` positions.
+
+    A position has one event, so no row holds more than that of a transaction, however many events it has, and a large
+    one is spread over many tasks. What is between its segments is told by their numbers and counts.
+    """
+    rows = log.groupBy("tx", F.call_function("div", "pos", F.lit(positions)).alias("segment"))
+    events = F.array_sort(F.collect_list(F.struct("pos", "op")))
+    found = rows.agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count("*").alias("n_events"), events.alias("events"))
+    return found.withColumn("ops", F.array_join(F.transform("events", lambda x: x["op"]), ",")).drop("events")
+
+
+def transactions(segments: DataFrame) -> DataFrame:
+    """tx, commit_pos, n_events and ops of whole transactions: a few segments each, one text as long as the result is."""
+    parts = F.array_sort(F.collect_list(F.struct("segment", "ops")))
+    rows = segments.groupBy("tx").agg(F.max("last_pos").alias("commit_pos"), F.sum("n_events").cast("int").alias("n_events"), parts.alias("parts"))
+    return rows.select("tx", "commit_pos", "n_events", F.array_join(F.transform("parts", lambda x: x["ops"]), ",").alias("ops"))
+
+
+def numbered_in_transactions(log: DataFrame, positions: int = SEGMENT) -> DataFrame:
+    """log with ``tx_seq``, the event's number in its transaction from 1: counts of the segments before, and a window in each."""
+    segment = F.call_function("div", "pos", F.lit(positions))
+    counts = log.groupBy("tx", segment.alias("_segment")).agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy("tx").orderBy("_segment").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    at = F.row_number().over(W.partitionBy("tx", "_segment").orderBy("pos"))
+    return log.withColumn("_segment", segment).join(before, ["tx", "_segment"]).withColumn("tx_seq", F.col("_before") + at).drop("_segment", "_before")

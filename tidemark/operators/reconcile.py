@@ -30,8 +30,23 @@ def _inside(log: DataFrame, chunk: DataFrame, table: str):
 
 
 def survivors(chunk: DataFrame, log: DataFrame, table: str) -> DataFrame:
-    """chunk (k, value, ordinal, chunk_id, lo, hi) without rows that a log event in the window supersedes."""
-    return chunk.join(log.filter(F.col("table_name") == table), _inside(log, chunk, table), "left_anti")
+    """chunk (k, value, ordinal, chunk_id, lo, hi) without rows that a log event in the window supersedes.
+
+    Windows are sorted into classes by the power of two of their length, and each class has bins of half that power. A
+    window then ends in another bin than it begins in, so the first and the last position of a key's events in each bin
+    tell all: in the first bin the last one, in the last bin the first one, between them any. Events are reduced to
+    that before their shuffle, so a key with a third of the log is as many small rows as it has bins, in as many tasks.
+    """
+    length = F.col("hi") - F.col("lo")
+    sized = chunk.select("k", "lo", "hi", (F.length(F.bin(length)) - 1).alias("_class")).filter(length >= 2)
+    classes = sorted(r[0] for r in sized.select("_class").distinct().collect())  # 62 at most
+    if not classes:
+        return chunk
+    own = log.filter(F.col("table_name") == table).select("k", "pos", F.explode(F.array(*map(F.lit, classes))).alias("_class"))
+    bins = own.groupBy("k", "_class", F.expr("shiftright(pos, _class - 1)").alias("_bin")).agg(F.min("pos").alias("_first"), F.max("pos").alias("_last"))
+    probes = sized.distinct().withColumn("_bin", F.explode(F.expr("sequence(shiftright(lo, _class - 1), shiftright(hi, _class - 1))")))  # five at most
+    gone = probes.join(bins, ["k", "_class", "_bin"]).filter((F.col("_last") > F.col("lo")) & (F.col("_first") < F.col("hi"))).select("k", "lo", "hi").distinct()
+    return chunk.join(gone, ["k", "lo", "hi"], "left_anti").select(*chunk.columns)
 
 
 def collisions(chunk: DataFrame, log: DataFrame, table: str) -> DataFrame:

@@ -213,9 +213,7 @@ def pk_update_violations(spark, sf_dir):
 
 def tx_assembly(spark, sf_dir):
     """One row for each committed transaction, its events in log order."""
-    log = base.log(spark, sf_dir)
-    rows = log.groupBy("tx").agg(F.array_sort(F.collect_list(F.struct("pos", "op"))).alias("events"), F.max("pos").alias("commit_pos"))
-    return rows.select("tx", "commit_pos", F.size("events").alias("n_events"), F.array_join(F.transform("events", lambda x: x["op"]), ",").alias("ops"))
+    return apply.transactions(apply.transaction_segments(base.log(spark, sf_dir)))
 
 
 def event_summary_by_table(spark, sf_dir):

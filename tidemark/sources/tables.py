@@ -83,10 +83,14 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     so that all chunks see changes in their windows; views are changes of another table. Five events are a
     transaction.
     """
+    return as_changes(spark, sf_dir, read(spark, sf_dir, "events"))
+
+
+def as_changes(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:
+    """Rows of events as changes of a log (``change_log``)."""
     n = read(spark, sf_dir, "customer").count()
-    e = read(spark, sf_dir, "events")
     op = operation(F.col("event_type"))
-    return e.select(
+    return events.select(
         (F.col("event_id") * 2).alias("pos"),
         F.when(F.col("event_type") == "view", ORDERS).otherwise(CUSTOMER).alias("table_name"),
         (F.col("event_id") * STRIDE % n).alias("k"),
