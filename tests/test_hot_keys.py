@@ -1,10 +1,14 @@
 """Hot keys and large transactions: results as by hand, and no task that gathers one of them."""
 
+import itertools
 import random
 
+import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import apply, reconcile
+from tidemark.operators import apply, folds, reconcile
 
 LOG = "pos long, table_name string, k long, op string, value double"
 CHUNK = "k long, value double, ordinal long, chunk_id long, lo long, hi long, note string"
@@ -51,3 +55,61 @@ def test_a_transaction_of_a_million_rows(spark):
     assert big.ops.count("INSERT") == sum(p % 3 == 0 for p in range(1_000_000) if p % 100_000 != 5)
     numbers = apply.numbered_in_transactions(log).filter("tx = -1").agg(F.min("tx_seq"), F.max("tx_seq"), F.count_distinct("tx_seq")).first()
     assert tuple(numbers) == (1, 999_990, 999_990)
+
+
+def plain_flush(times, most, age):
+    out, count, first = [], 0, None
+    for t in times:
+        first = t if not count else first
+        count += 1
+        out.append(count == most or t - first >= age)
+        count = 0 if out[-1] else count
+    return out
+
+
+def plain_beats(times, interval):
+    out, last = [], None
+    for t in times:
+        out.append(last is None or t < last or t - last >= interval)
+        last = t if out[-1] else last
+    return out
+
+
+@pytest.mark.parametrize("steps", [[0, 1, 2, 40], [-30, -1, 0, 1, 2, 40], [1]])
+def test_folds_of_one_stream_in_many_tasks(spark, steps, request):
+    """A stream with most of the events, and small ones beside it: parts are folded by themselves and put together."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with parts of a size worth a task
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    rng, rows, t = random.Random(len(steps)), [], 0
+    for i in range(6000):
+        t += rng.choice(steps)
+        rows.append(("big" if i % 10 else f"s{i % 70}", i, t))
+    df = spark.createDataFrame(rows, "s string, seq long, t long").withColumn("ts", F.timestamp_micros(1_700_000_000_000_000 + F.col("t") * 1_000_000)).repartition(3)
+    flushed = folds.flush_points(df, "s", "seq", "ts", 100, pd.Timedelta("300s"))
+    beats = folds.due_beats(df, "s", "seq", "ts", pd.Timedelta("75s"))
+    assert flushed.filter("s = 'big'").select(F.spark_partition_id()).distinct().count() > 1
+    by_stream = {}
+    for s, seq, t in rows:
+        by_stream.setdefault(s, []).append((seq, t))
+    for found, name, plain in ((flushed, "flush", lambda x: plain_flush(x, 100, 300)), (beats, "due", lambda x: plain_beats(x, 75))):
+        got = {(r.s, r.seq): r[name] for r in found.collect()}
+        want = {(s, seq): hit for s, own in by_stream.items() for (seq, _), hit in zip(own, plain([t for _, t in own]), strict=True)}
+        assert got == want
+
+
+def test_parts_of_a_fold_are_as_the_whole():
+    rng = random.Random(1)
+    for _ in range(400):
+        times, t = [], 0
+        for _ in range(rng.randint(2, 120)):
+            t += rng.choice([-7, -1, 0, 1, 2, 5] if rng.random() < 0.5 else [0, 1, 30])
+            times.append(t)
+        cuts = [0, *sorted(rng.sample(range(1, len(times)), rng.randint(0, min(4, len(times) - 1)))), len(times)]
+        for fold, plain in ((folds.Flush(m := rng.choice([1, 2, 5, 9]), a := rng.choice([1, 4, 1000])), plain_flush(times, m, a)), (folds.Beat(d := rng.choice([1, 4, 1000])), plain_beats(times, d))):
+            state, places = folds.EMPTY, []
+            for lo, hi in itertools.pairwise(cuts):
+                part = np.array(times[lo:hi], np.int64)
+                after, own = fold.walk(state, part)
+                assert fold.through(state, fold.summary(part)) == after
+                state, places = after, places + [lo + p for p in own]
+            assert places == [i for i, hit in enumerate(plain) if hit]
