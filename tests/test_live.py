@@ -2,6 +2,7 @@
 
 import pytest
 from faults import FaultPlan, PlannedFault
+from pyspark.sql import functions as F
 
 from tidemark.operators.live import ControlLog, LiveDump, Pump
 from tidemark.operators.requests import Progress, Request, RuntimeState, StateError
@@ -149,3 +150,20 @@ def test_ownership_positions_and_invalidation(spark, tmp_path):
     assert not state.save_bootstrap("s", 8)
     assert state.resume_position("s") == 7
     state.claim("s")
+
+
+def test_windows_read_each_row_once(spark, tmp_path):
+    """Planned ranges of the key, on a table in its order: what the scans of all windows read is little more than the table."""
+    n, rows = 40_000, 4_000
+    spark.range(n).select(F.col("id").alias("k"), F.col("id").cast("double").alias("value")).repartitionByRange(8, "k").sortWithinPartitions("k").write.option("parquet.page.row.count.limit", 1000).parquet(str(tmp_path / "t"))
+    log, state = ControlLog(spark, f"{tmp_path}/log", "run-1"), RuntimeState(spark, f"{tmp_path}/state")
+    dump = LiveDump("s", {"t": lambda: spark.read.parquet(str(tmp_path / "t"))}, log, state, rows)
+    progress = Progress("job", "t", "").bound(str(n - 1))
+    ends = list(dump._ends("t", progress))
+    assert ends == list(range(rows - 1, n, rows))
+    read = 0
+    for before, end in zip([None, *map(str, ends)], ends, strict=False):
+        part = dump._range("t", before, end)
+        assert len(part.collect()) == rows
+        read += part._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+    assert n <= read <= 1.6 * n

@@ -53,6 +53,17 @@ def assign(df: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
     return numbered(df, list(keys), "ordinal").withColumn("ordinal", F.col("ordinal") - 1).withColumn("chunk_id", F.call_function("div", F.col("ordinal"), F.lit(size)))
 
 
+def window_ends(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """``window_end``: the last key of each window of ``rows`` rows, from one pass over the keys.
+
+    With these a dump's windows are ranges of the key, which a scan finds by the files' statistics: on a table that lies
+    in the order of its key each row is read once, however many windows there are.
+    """
+    at = numbered(df.select(key), [key], "_at")
+    last = at.groupBy(F.call_function("div", F.col("_at") - 1, F.lit(rows)).alias("_window")).agg(F.max(key).alias("window_end"))
+    return last.select("window_end")
+
+
 def boundaries(assigned: DataFrame, key: str) -> DataFrame:
     """chunk_id, n_rows, first and last key, and the exclusive start of each chunk (the last key of the one before)."""
     rows = assigned.groupBy("chunk_id").agg(F.count("*").alias("n_rows"), F.min(key).alias("first_key"), F.max(key).alias("last_key"))

@@ -1,13 +1,14 @@
 """Dumps of tables into a log that goes on: control rows in the log, windows between them, and progress that lasts.
 
-A window covers many chunks: LOW is written, the rows are read and kept, HIGH is written, and the session emits the log
+A window covers many chunks. Where windows end is planned by one pass over the keys; then, for each window, LOW is
+written, the rows of its range of keys are read and kept, HIGH is written, and the session emits the log
 up to HIGH and then the rows that no event in between has changed. Progress and the emitted position are saved after
 each window, so a run that ends anywhere goes on at the window that was under way, with new tokens.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +16,10 @@ from pyspark.sql import functions as F
 
 from tidemark.runtime import saved
 
-from . import apply, reconcile
+from . import apply, chunks, reconcile
 from .requests import Progress, Request, RuntimeState
 
-STEPS = ("bound", "begin", "low", "read", "high", "emit", "sink", "complete", "checkpoint")
+STEPS = ("bound", "plan", "begin", "low", "read", "high", "emit", "sink", "complete", "checkpoint")
 
 
 class ControlLog:
@@ -97,28 +98,34 @@ class LiveDump:
                 return 0
             progress = progress.bound(str(top))
             self.state.save_progress(progress)
+        ends = self._step("plan", lambda: self._ends(name, progress))
         windows = 0
         while not progress.completed:
-            progress = self._window(progress, name, sink)
+            progress = self._window(progress, name, next(ends), sink)
             windows += 1
         return windows
 
-    def _window(self, progress: Progress, name: str, sink: Callable[[DataFrame], None]) -> Progress:
+    def _ends(self, name: str, progress: Progress) -> Iterator[int]:
+        """Last keys of the windows to come, the bound at the end. One number a window of ``window_rows`` rows is kept."""
+        rows = self._range(name, progress.last_completed, int(progress.upper_bound))
+        found = sorted(r[0] for r in chunks.window_ends(rows, "k", self.window_rows).collect())
+        return iter([*[e for e in found if e < int(progress.upper_bound)], int(progress.upper_bound)])
+
+    def _range(self, name: str, after: str | None, upto: int) -> DataFrame:
+        rows = self.tables[name]().select("k", "value").filter(F.col("k") <= upto)
+        return rows if after is None else rows.filter(F.col("k") > int(after))
+
+    def _window(self, progress: Progress, name: str, end: int, sink: Callable[[DataFrame], None]) -> Progress:
         progress = progress.begin()
         self._step("begin", lambda: self.state.save_progress(progress))
         low = self._step("low", lambda: self.log.watermark(progress.low))
-        rows = self.tables[name]().select("k", "value").filter(F.col("k") <= int(progress.upper_bound))
-        if progress.start_after is not None:
-            rows = rows.filter(F.col("k") > int(progress.start_after))
-        part = self._step("read", lambda: saved(rows.orderBy("k").limit(self.window_rows)))
+        part = self._step("read", lambda: saved(self._range(name, progress.start_after, end)))
         high = self._step("high", lambda: self.log.watermark(progress.high))
-        n, last = part.agg(F.count("*"), F.max("k")).first()
         chunk = part.select("k", "value", F.col("k").alias("ordinal"), F.lit(0).cast("long").alias("chunk_id"), F.lit(low).cast("long").alias("lo"), F.lit(high).cast("long").alias("hi"))
         begun = self.state.resume_position(self.source_id)
         out = self._step("emit", lambda: self._emitted(chunk, name, -1 if begun is None else begun, low, high))
         self._step("sink", lambda: sink(out))
-        final = n < self.window_rows or last == int(progress.upper_bound)
-        done = progress.complete(None if last is None else str(last), final)
+        done = progress.complete(str(end), end == int(progress.upper_bound))
         self._step("checkpoint", lambda: self.state.save_checkpoint(self.source_id, high))
         self._step("complete", lambda: self.state.save_progress(done))
         return done

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import apply
+from tidemark.operators import apply, chunks, preflight
 from tidemark.operators.ordering import numbered
 from tidemark.runtime import shared_dir
 from tidemark.sources import log_source
@@ -67,9 +67,55 @@ def tx_event_numbers(spark, sf_dir):
     return apply.numbered_in_transactions(base.log(spark, sf_dir), positions=64).select("pos", "tx", "tx_seq")
 
 
-QUERIES = {f.__name__: f for f in (change_log_source, log_stream_to_sink, ndjson_sink, reconcile_state_stream, tx_event_numbers)}
+def dump_windows(spark, sf_dir):
+    """Where the windows of a dump of orders end: 1,000 rows each, planned by one pass over the keys."""
+    return chunks.window_ends(read(spark, sf_dir, "orders"), "o_orderkey", 1000)
+
+
+def source_preflight(spark, sf_dir):
+    """Findings on sources, one for each nation: settings and slots by its number, its suppliers as tables, and a
+    publication for each region of it."""
+    n = read(spark, sf_dir, "nation").withColumn("source", F.col("n_name"))
+    k = F.col("n_nationkey")
+    kind = F.when(k % 2 == 0, "mysql").otherwise("postgres").alias("kind")
+    names = F.when(k % 2 == 0, F.array(F.lit("log_bin"), F.lit("binlog_format"), F.lit("BINLOG_ROW_IMAGE"))).otherwise(F.array(F.lit("wal_level"), F.lit("server_version")))
+    value = F.when(F.col("name") == "log_bin", "on").when(F.col("name") == "binlog_format", F.when(k % 6 == 0, "STATEMENT").otherwise("ROW")).when(F.col("name") == "BINLOG_ROW_IMAGE", F.when(k % 8 == 0, "MINIMAL").otherwise("full"))
+    value = value.otherwise(F.when(k % 3 == 0, "replica").otherwise("logical"))
+    settings = n.withColumn("name", F.explode(names)).filter(~((k % 10 == 4) & (F.col("name") == "binlog_format"))).select("source", kind, "name", value.alias("value"))
+    s = F.col("s_suppkey")
+    tables = read(spark, sf_dir, "supplier").join(F.broadcast(n), F.col("s_nationkey") == k).select(
+        "source", kind, F.when(s % 11 == 0, F.concat(F.lit("a."), "s_name")).otherwise(F.col("s_name")).alias("table_name"), (s % 7).alias("key_columns"),
+        F.when(s % 3 == 0, "DEFAULT").otherwise("FULL").alias("replica_identity"), (F.col("s_acctbal") > 0).alias("published"),
+    )
+    own = n.filter(k % 2 == 1)
+    publications = own.select("source", F.concat_ws("_", F.lit("pub"), "n_regionkey").alias("publication"), F.lit(True).alias("inserts"), (k % 5 != 0).alias("updates"), (k % 7 != 0).alias("deletes"), (k % 9 != 0).alias("truncates"), (k != 11).alias("by_root"))
+    slots = own.select("source", F.lit("slot").alias("slot"), F.when(k == 13, "test_decoding").otherwise("pgoutput").alias("plugin"), "n_name", (k == 17).alias("active"), (k == 19).alias("invalid"))
+    slots = slots.select("source", "slot", "plugin", F.when(F.col("n_name").startswith("I"), "other").otherwise(F.col("n_name")).alias("database"), F.col("n_name").alias("own_database"), "active", "invalid")
+    return preflight.findings(settings, tables, publications, slots)
+
+
+QUERIES = {f.__name__: f for f in (change_log_source, log_stream_to_sink, ndjson_sink, reconcile_state_stream, tx_event_numbers, dump_windows, source_preflight)}
 
 ORACLES = {
+    "source_preflight": """
+        WITH n AS (SELECT n_name AS source, n_nationkey AS k, n_regionkey FROM nation),
+        t AS (SELECT source, k, s_suppkey AS s, s_acctbal, CASE WHEN s_suppkey % 11 = 0 THEN 'a.' || s_name ELSE s_name END AS object FROM supplier JOIN n ON s_nationkey = k),
+        f AS (
+            SELECT source, 'binlog_format' AS object, 'SETTING_MISSING' AS code FROM n WHERE k % 2 = 0 AND k % 10 = 4
+            UNION ALL SELECT source, 'binlog_format', 'SETTING_WRONG' FROM n WHERE k % 6 = 0 AND k % 10 <> 4
+            UNION ALL SELECT source, 'binlog_row_image', 'SETTING_WRONG' FROM n WHERE k % 8 = 0
+            UNION ALL SELECT source, 'wal_level', 'SETTING_WRONG' FROM n WHERE k % 2 = 1 AND k % 3 = 0
+            UNION ALL SELECT source, object, 'NO_KEY' FROM t WHERE s % 7 = 0
+            UNION ALL SELECT source, object, 'BAD_NAME' FROM t WHERE s % 11 = 0
+            UNION ALL SELECT source, object, 'REPLICA_IDENTITY' FROM t WHERE k % 2 = 1 AND s % 3 = 0
+            UNION ALL SELECT source, object, 'NOT_PUBLISHED' FROM t WHERE k % 2 = 1 AND NOT coalesce(s_acctbal > 0, false)
+            UNION ALL SELECT source, 'pub_' || n_regionkey, c FROM n, (VALUES ('NO_UPDATES', 5), ('NO_DELETES', 7), ('NO_TRUNCATES', 9)) AS z(c, m) WHERE k % 2 = 1 AND k % m = 0
+            UNION ALL SELECT source, 'pub_' || n_regionkey, 'NOT_BY_ROOT' FROM n WHERE k = 11
+            UNION ALL SELECT source, 'slot', c FROM n JOIN (VALUES ('WRONG_PLUGIN', 13), ('SLOT_IN_USE', 17), ('SLOT_INVALID', 19)) AS z(c, m) ON k = m
+            UNION ALL SELECT source, 'slot', 'WRONG_DATABASE' FROM n WHERE k % 2 = 1 AND source LIKE 'I%')
+        SELECT source, object, code FROM f
+    """,
+    "dump_windows": "SELECT max(o_orderkey) AS window_end FROM (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS w FROM orders) AS x GROUP BY w",
     "change_log_source": streams.ORACLES["resume_after_checkpoint"],
     "log_stream_to_sink": base.oracle("SELECT pos || ' ' || table_name || ' ' || k || ' ' || op AS line FROM log", "log"),
     "ndjson_sink": f"SELECT line FROM ({streams.ORACLES['ndjson_lines']}) AS x",

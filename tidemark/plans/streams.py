@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import apply, reconcile
 from tidemark.operators.ordering import numbered, running_sums
-from tidemark.sources.tables import CUSTOMER, ORDERS, read
+from tidemark.sources.tables import CUSTOMER, ORDERS, operation, read
 
 from . import base
 
@@ -305,12 +305,20 @@ def refresh_contradictions(spark, sf_dir):
 
 
 def mutation_coverage(spark, sf_dir):
-    """LOG events that came out against mutations that went in: reconciling adds rows to the log and drops none of it."""
-    log = base.log(spark, sf_dir).filter(F.col("table_name") == CUSTOMER)
-    counted = log.agg(F.count("*").alias("log_events"), F.count("op").alias("mutations"))
+    """LOG events that came out of reconciling against the mutations that the source made: none may be lost on the way."""
+    out = _emitted(spark, sf_dir).filter((F.col("origin") == "LOG") & (F.col("table_name") == CUSTOMER)).select(F.lit(1).alias("out"))
+    made = read(spark, sf_dir, "events").filter("event_type <> 'view'").select(F.lit(0).alias("out"))
+    counted = out.unionByName(made).agg(F.count_if(F.col("out") == 1).alias("log_events"), F.count_if(F.col("out") == 0).alias("mutations"))
     return counted.select("log_events", "mutations", (F.col("log_events") >= F.col("mutations")).alias("covered"))
 
 
+def mutation_coverage_by_op(spark, sf_dir):
+    """The same by operation for a sink that has lost events and has others twice: a repeat covers nothing."""
+    made = read(spark, sf_dir, "events").filter("event_type <> 'view'").groupBy(operation(F.col("event_type")).alias("op")).agg(F.count("*").alias("mutations"))
+    out = _surfaced(spark, sf_dir).groupBy("op").agg(F.count("*").alias("events"), F.count_distinct("log_pos").alias("surfaced"))
+    return made.join(out, "op", "left").select("op", "mutations", F.coalesce("events", F.lit(0)).alias("events"), F.coalesce("surfaced", F.lit(0)).alias("surfaced"), (F.coalesce("surfaced", F.lit(0)) >= F.col("mutations")).alias("covered"))
+
+
 def heartbeat_interference(spark, sf_dir):
     """Heartbeats on this run's stream that another run wrote after this run was seen."""
     e = read(spark, sf_dir, "events").filter("event_type IN ('error', 'signup')").select("event_id", (F.col("event_type") == "signup").alias("is_own"), (F.col("user_id") % 2 == 0).alias("own_stream"))
@@ -365,7 +373,7 @@ QUERIES = {
         own_run_watermarks, stale_token_drain, control_event_filter, captured_only, apply_statement_runs, apply_run_dedupe, apply_current_state,
         apply_deletes, apply_composite, full_dump_guards, ndjson_lines, mirror_customer, mirror_row_count, mirror_first_non_null, mirror_event_summary, table_mapping, build_change_events,
         pk_update_violations, tx_assembly, event_summary_by_table, event_totals, recent_events, recent_events_for_table, resume_after_checkpoint,
-        final_state_diff, ledger_match, ledger_missing, ledger_skips, refresh_contradictions, mutation_coverage, heartbeat_interference,
+        final_state_diff, ledger_match, ledger_missing, ledger_skips, refresh_contradictions, mutation_coverage, mutation_coverage_by_op, heartbeat_interference,
         tap_chunk_events, tap_chunk_summary, tap_seq_gaps, runtime_metrics, scenario_mutations,
     )
 }
@@ -489,6 +497,10 @@ ORACLES = {
     "mutation_coverage": base.oracle(
         f"""SELECT a AS log_events, b AS mutations, a >= b AS covered FROM (SELECT (SELECT count(*) FROM emitted WHERE origin = 'LOG' AND table_name = '{CUSTOMER}') AS a,
             (SELECT count(*) FROM log WHERE table_name = '{CUSTOMER}') AS b) AS x""", "emitted"),
+    "mutation_coverage_by_op": base.oracle(
+        f"""SELECT m.op, mutations, coalesce(events, 0) AS events, coalesce(surfaced, 0) AS surfaced, coalesce(surfaced, 0) >= mutations AS covered
+            FROM (SELECT op, count(*) AS mutations FROM log WHERE table_name = '{CUSTOMER}' GROUP BY op) AS m
+            LEFT JOIN (SELECT op, count(*) AS events, count(DISTINCT log_pos) AS surfaced FROM ({_SURFACED}) AS s GROUP BY op) AS x USING (op)""", "log"),
     "heartbeat_interference": """
         SELECT * FROM (SELECT event_id, CASE WHEN is_own AND NOT own_stream THEN 'OWN_RUN_ON_FOREIGN_STREAM' WHEN NOT is_own AND own_stream AND
             max(CASE WHEN is_own AND own_stream THEN 1 ELSE 0 END) OVER (ORDER BY event_id) > 0 THEN 'FOREIGN_RUN_ON_OWN_STREAM' END AS code
