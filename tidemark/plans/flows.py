@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tidemark.operators import apply, chunks, preflight
@@ -94,9 +95,42 @@ def source_preflight(spark, sf_dir):
     return preflight.findings(settings, tables, publications, slots)
 
 
-QUERIES = {f.__name__: f for f in (change_log_source, log_stream_to_sink, ndjson_sink, reconcile_state_stream, tx_event_numbers, dump_windows, source_preflight)}
+def tap_row_events(spark, sf_dir):
+    """What an observer sees of single rows, in log order: each event of the log, each row that a sink gets, a
+    checkpoint behind every hundredth event, and each event that can't be applied."""
+    log = base.log(spark, sf_dir)
+    seen = log.select("pos", F.lit(0).alias("rank"), F.lit("cdc").alias("kind"), "k")
+    wrong = streams.full_dump_guards(spark, sf_dir).select((F.col("pos") * 2).alias("pos"), F.lit(1).alias("rank"), F.lit("error").alias("kind"), F.lit(-1).cast("long").alias("k"))
+    out = streams._emitted(spark, sf_dir).select(F.col("emit_pos").alias("pos"), F.lit(2).alias("rank"), F.lit("sink.event").alias("kind"), "k")
+    flushed = numbered(log.select("pos"), ["pos"], "n").filter(F.col("n") % base.BATCH_EVENTS == 0)
+    flushed = flushed.select("pos", F.lit(3).alias("rank"), F.lit("checkpoint.advanced").alias("kind"), F.lit(-1).cast("long").alias("k"))
+    rows = seen.unionByName(wrong).unionByName(out).unionByName(flushed)
+    return numbered(rows, ["pos", "rank", "k"], "tap_seq").select("tap_seq", "kind", "pos", "k")
+
+
+def observed_counters(spark, sf_dir):
+    """Counters and a gauge of a reconciling run, taken while its rows go to the sink of lines: no second pass."""
+    rows = streams._emitted(spark, sf_dir)
+    seen = Observation("run")
+    counts = {"emitted": F.count(F.lit(1)), "log_events": F.count_if(F.col("origin") == "LOG"), "select_events": F.count_if(F.col("origin") == "SELECT"), "deletes": F.count_if(F.col("op") == "DELETE"), "position": F.max("emit_pos")}
+    watched = rows.observe(seen, *[c.alias(k) for k, c in counts.items()])
+    sinks.write_lines(watched.select(F.to_json(F.struct("emit_pos", "k")).alias("line")), _folder(spark, "observed"), "all")
+    got = seen.get
+    return spark.createDataFrame([(k, "gauge" if k == "position" else "counter", int(got[k])) for k in counts], "name string, kind string, value long")
+
+
+QUERIES = {f.__name__: f for f in (change_log_source, log_stream_to_sink, ndjson_sink, reconcile_state_stream, tx_event_numbers, dump_windows, source_preflight, tap_row_events, observed_counters)}
 
 ORACLES = {
+    "tap_row_events": base.oracle(
+        f"""SELECT row_number() OVER (ORDER BY pos, rank, k) AS tap_seq, kind, pos, k FROM (
+            SELECT pos, 0 AS rank, 'cdc' AS kind, k FROM log
+            UNION ALL SELECT 2 * pos, 1, 'error', -1 FROM ({streams.ORACLES["full_dump_guards"]}) AS g
+            UNION ALL SELECT emit_pos, 2, 'sink.event', k FROM emitted
+            UNION ALL SELECT pos, 3, 'checkpoint.advanced', -1 FROM (SELECT pos, row_number() OVER (ORDER BY pos) AS n FROM log) AS b WHERE n % {base.BATCH_EVENTS} = 0) AS x""", "emitted"),
+    "observed_counters": base.oracle(
+        """SELECT unnest(['emitted', 'log_events', 'select_events', 'deletes', 'position']) AS name, unnest(['counter', 'counter', 'counter', 'counter', 'gauge']) AS kind,
+            unnest([count(*), count(*) FILTER (WHERE origin = 'LOG'), count(*) FILTER (WHERE origin = 'SELECT'), count(*) FILTER (WHERE op = 'DELETE'), max(emit_pos)]) AS value FROM emitted""", "emitted"),
     "source_preflight": """
         WITH n AS (SELECT n_name AS source, n_nationkey AS k, n_regionkey FROM nation),
         t AS (SELECT source, k, s_suppkey AS s, s_acctbal, CASE WHEN s_suppkey % 11 = 0 THEN 'a.' || s_name ELSE s_name END AS object FROM supplier JOIN n ON s_nationkey = k),
