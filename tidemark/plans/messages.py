@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import literals
+from tidemark.functions import key_columns
 from tidemark.operators import control_plane
 from tidemark.sources import message_log
 from tidemark.sources.tables import read
@@ -50,17 +50,11 @@ def mutation_detail(spark, sf_dir):
 
 
 def pk_stored_form(spark, sf_dir):
-    """Stored forms of the composite keys of conversations, loaded back in a task."""
-    from tidemark.runtime import ship
-
-    ship(spark)
-
-    def load(batches):
-        for pdf in batches:
-            kept = [literals.load(literals.store([("conv_id", "INTEGER", str(c)), ("turn", "INTEGER", str(t))])) for c, t in zip(pdf["conv_id"], pdf["turn"], strict=True)]
-            yield pdf.assign(literal=["{" + ",".join(f"{n}={v}" for n, _, v in k) + "}" for k in kept])[["conv_id", "turn", "literal"]]
-
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn").mapInPandas(load, "conv_id long, turn long, literal string")
+    """Stored forms of the composite keys of conversations, loaded back."""
+    stored = key_columns.store([(F.lit(n), F.lit("INTEGER"), F.col(n).cast("string")) for n in ("conv_id", "turn")])
+    back = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), key_columns.load(stored).alias("back"))
+    fields = F.array_join(F.transform("back", lambda p: F.concat(p["name"], F.lit("="), p["literal"])), ",")
+    return back.select("conv_id", "turn", F.concat(F.lit("{"), fields, F.lit("}")).alias("literal"))
 
 
 QUERIES = {f.__name__: f for f in (message_log_events, queue_rates, mutation_detail, pk_stored_form)}

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import classify, literals, normalize, positions
+from tidemark.functions import classify, key_columns, literals, normalize, positions
 from tidemark.operators.ordering import numbered
-from tidemark.runtime import ship
 from tidemark.sources.tables import read
 
 from . import snapshot
@@ -209,15 +208,10 @@ def pk_literal_composite(spark, sf_dir):
 
 def pk_literal_roundtrip(spark, sf_dir):
     """Literals parsed back, and their stored form loaded back."""
-    ship(spark)
-
-    def parse(batches):
-        for pdf in batches:
-            found = [literals.parse(x, ["url", "page_id"]) for x in pdf["literal"]]
-            stored = [literals.load(literals.store([("url", "STRING", f["url"]), ("page_id", "INTEGER", f["page_id"])])) for f in found]
-            yield pdf.assign(url=[f["url"] for f in found], key=[int(s[1][2]) for s in stored])[["page_id", "url", "key"]]
-
-    return pk_literal_composite(spark, sf_dir).mapInPandas(parse, "page_id long, url string, key long")
+    found = pk_literal_composite(spark, sf_dir).select("page_id", key_columns.parse(F.col("literal"), ["url", "page_id"])["values"].alias("v"))
+    stored = key_columns.store([(F.lit("url"), F.lit("STRING"), F.col("v")[0]), (F.lit("page_id"), F.lit("INTEGER"), F.col("v")[1])])
+    back = found.withColumn("back", key_columns.load(stored))
+    return back.select("page_id", F.col("back")[0]["literal"].alias("url"), F.col("back")[1]["literal"].cast("long").alias("key"))
 
 
 def schema_fingerprint(spark, sf_dir):
