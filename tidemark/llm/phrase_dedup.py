@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from . import textnp, windows
 
 PHRASE = 5
-BREAK = (1 << 31) - 1  # a symbol that no phrase has
+BITS = 6
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -66,11 +66,21 @@ def recurring(grams: np.ndarray, at: np.ndarray, reach: int, step: int) -> np.nd
         _, names = np.unique(np.stack([grams[at + k * step] for k in range(reach)], axis=1), axis=0, return_inverse=True)  # two windows share a hash
 
 
+def spelled(numbers: np.ndarray, digits: int) -> str:
+    """Numbers as signs, ``digits`` each; those of one digit have signs of their own, and -1 has one that no key has.
+
+    The automaton looks through a node's children one after another, so its signs are to be few: with a sign for each
+    number its root had a child for every confirmed window.
+    """
+    signs = (numbers[:, None] >> (BITS * np.arange(digits)) & (1 << BITS) - 1) + (np.arange(digits) << BITS) + 1
+    signs[numbers < 0] = (digits << BITS) + 1
+    return signs.astype("<u4").tobytes().decode("utf-32-le")
+
+
 def judge(raw: bytes, begin: np.ndarray, end: np.ndarray, counts: np.ndarray, docs: np.ndarray, window: int) -> np.ndarray:
     """For each window of each piece whether it stands earlier. Pieces come by document and place.
 
-    The automaton's symbols are phrases of ``step`` words, which divides the window, so that it has a fifth of the
-    states that words would give. A text is streamed once for each place in a phrase at which a window may begin.
+    The automaton's symbols are those of phrases of ``step`` words, which divides the window. A text is streamed once for each place in a phrase at which a window may begin.
     """
     found = np.zeros(int(counts.sum()), bool)
     if not len(found):
@@ -88,9 +98,12 @@ def judge(raw: bytes, begin: np.ndarray, end: np.ndarray, counts: np.ndarray, do
     confirmed = recurring(grams, starts, reach, step)
     if not len(confirmed):
         return found
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for k, phrases in enumerate(grams[confirmed[:, None] + step * np.arange(reach)].tolist()):
-        automaton.add_word(tuple(phrases), k)
+    digits = max(1, -(-int(grams.max()).bit_length() // BITS))
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    size = reach * digits
+    keys = spelled(grams[confirmed[:, None] + step * np.arange(reach)].ravel(), digits)
+    for k in range(len(confirmed)):
+        automaton.add_word(keys[k * size : (k + 1) * size], k)
     automaton.make_automaton()
     which, where = [], []
     for shift in range(step):
@@ -98,11 +111,11 @@ def judge(raw: bytes, begin: np.ndarray, end: np.ndarray, counts: np.ndarray, do
         piece = np.repeat(np.arange(len(lo)), length)
         place = lo[piece] + shift + step * windows.spread(np.zeros(len(lo), np.int64), length)
         ends = np.cumsum(length)
-        stream = np.insert(grams[place], ends, BREAK)  # no match goes over the end of a piece
+        stream = np.insert(grams[place], ends, -1)  # no match goes over the end of a piece
         place = np.insert(place, ends, 0)
-        hits = np.array(list(automaton.iter(tuple(stream.tolist()))), np.int64).reshape(-1, 2)
+        hits = np.array(list(automaton.iter(spelled(stream, digits))), np.int64).reshape(-1, 2)
         which.append(hits[:, 1])
-        where.append(window_at[place[hits[:, 0] - reach + 1]])
+        where.append(window_at[place[hits[:, 0] // digits - reach + 1]])
     which, where = np.concatenate(which), np.concatenate(where)
     first = np.full(len(confirmed), len(found))
     np.minimum.at(first, which, where)
