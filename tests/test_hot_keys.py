@@ -113,3 +113,13 @@ def test_parts_of_a_fold_are_as_the_whole():
                 assert fold.through(state, fold.summary(part)) == after
                 state, places = after, places + [lo + p for p in own]
             assert places == [i for i, hit in enumerate(plain) if hit]
+
+
+def test_rows_without_a_stream_are_one_stream(spark):
+    rows = [(None if i % 3 else i % 2, i, i) for i in range(90)]
+    df = spark.createDataFrame(rows, "s long, seq long, t long").withColumn("ts", F.timestamp_micros(F.col("t") * 1_000_000))
+    got = {r.seq: r.due for r in folds.due_beats(df, "s", "seq", "ts", pd.Timedelta("10s")).collect()}
+    for stream in (None, 0, 1):
+        own = [i for s, i, _ in rows if s == stream]
+        assert [got[i] for i in own] == plain_beats(own, 10)
+    assert folds.flush_points(df.limit(0), "s", "seq", "ts", 3, pd.Timedelta("1s")).count() == 0

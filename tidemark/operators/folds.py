@@ -56,6 +56,11 @@ def _ends(links: Callable[[int], int], starts: range, n: int) -> list[int]:
     return [known[s] for s in starts]
 
 
+def _same(a, b) -> bool:
+    """Whether two streams are one; no id is a stream of its own, which pandas gives as None or as not a number."""
+    return a is b or a == b or (a != a and b != b)
+
+
 def _rising(times: np.ndarray) -> bool:
     return len(times) < 2 or bool((times[1:] >= times[:-1]).all())
 
@@ -163,7 +168,7 @@ def _fold(df: DataFrame, stream: str, seq: str, ts: str, fold: Flush | Beat, nam
             cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
             for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(pdf)], strict=True):
                 if lo < hi:
-                    if not held or held[-1][0] != keys[lo]:
+                    if not held or not _same(held[-1][0], keys[lo]):
                         held = [*held[:1], (keys[lo], [])]
                     held[-1][1].append(times[lo:hi])
         if held:
@@ -186,7 +191,7 @@ def _fold(df: DataFrame, stream: str, seq: str, ts: str, fold: Flush | Beat, nam
             cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
             for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(pdf)], strict=True):
                 if lo < hi:
-                    if now is None or keys[lo] != now[0]:
+                    if now is None or not _same(keys[lo], now[0]):
                         now, at = (keys[lo],), begun.iloc[lo]
                         state = (int(counts[lo]), None if at == NOTHING else int(at))
                     state, places = fold.walk(state, times[lo:hi])
