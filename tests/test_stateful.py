@@ -88,3 +88,18 @@ def test_a_window_longer_than_the_span_is_an_error(spark, tmp_path):
     files(spark, spark.createDataFrame([(2, "t", 1, "UPDATE", 1.0)], LOG), chunk, tmp_path / "in", 1, n=2)
     with pytest.raises(Exception, match="span"):
         run(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+
+
+def test_state_is_by_bucket_and_keeps_values_as_they_are(spark, tmp_path):
+    """Thousands of keys are a few states, so Python and the store are called once for a bucket; NaN isn't null, large
+    ordinals stay whole, rows that repeat a key all come, and keys that are null touch no others."""
+    big = (1 << 53) + 1
+    log = spark.createDataFrame([(2 * i + 2, "t", i % 3000, "UPDATE", float("nan") if i % 5 else None) for i in range(6000)] + [(20_001, "t", None, "DELETE", None)], LOG)
+    rows = [(k, float("nan") if k % 2 else None, big + k, k // 1000, lo, lo + 1001) for k in range(3000) for lo in [2000 * (k // 1000) + 1]]
+    chunk = spark.createDataFrame([*rows, (7, 1.5, big + 5000, 0, 1, 3), (7, 1.5, big + 5001, 0, 1, 3), (None, 2.5, big + 5002, 9, 20_000, 20_003)], CHUNK)
+    (stateful.log_records(log).unionByName(stateful.dump_records(chunk, "t"))).repartitionByRange("pos").write.parquet(str(tmp_path / "in"))
+    read = spark.readStream.schema(stateful.RECORD).parquet(str(tmp_path / "in"))
+    query = stateful.reconcile(read, span=1001, buckets=8).writeStream.format("parquet").option("path", f"{tmp_path}/out/rows").option("checkpointLocation", f"{tmp_path}/out/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(s.numRowsTotal for p in query.recentProgress for s in p.stateOperators) <= 8
+    same(spark, tmp_path / "out", log, chunk)
