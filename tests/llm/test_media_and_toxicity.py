@@ -148,6 +148,26 @@ def test_training_against_ftrl_by_hand(spark):
     assert 0 <= got[60] <= 1
 
 
+def test_training_memory_goes_with_the_sample():
+    """2^22 places, of which the sample has few: arrays over all places took hundreds of MB; rows come in pieces."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    whole = [np.unique(rng.integers(0, 1 << 22, 300)).astype(np.int32) if i % 7 else np.zeros(0, np.int32) for i in range(400)]
+    whole = [np.union1d(p, [5, 9, (1 << 22) - 1]).astype(np.int32) if i % 3 else p for i, p in enumerate(whole)]
+    cut = [(i, k, p[lo : lo + 128]) for i, p in enumerate(whole) for k, lo in enumerate(range(0, max(1, len(p)), 128))]
+    options = {"bits": 22, "epochs": 2, "alpha": 1.0, "beta": 1.0, "l1": 0.1, "l2": 0.0, "positive": 6.0, "least": 3}
+    mixed = [cut[i] for i in rng.permutation(len(cut))]
+    tracemalloc.start()
+    places, weights = toxicity.learned(np.array([i for i, _, _ in mixed]), np.array([i % 2 for i, _, _ in mixed]), np.array([k for _, k, _ in mixed]), [p for _, _, p in mixed], **options)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    again = toxicity.learned(np.arange(400), np.arange(400) % 2, np.zeros(400, int), whole, **options)
+    assert (places == again[0]).all() and (weights == again[1]).all()
+    assert places[-1] == 1 << 22 and {5, 9, (1 << 22) - 1} <= set(places.tolist())
+
+
 def test_sample_bounds_rows_not_only_labels(spark):
     docs = spark.createDataFrame([(i % 4, f"t{i}") for i in range(100)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1) for i in range(4)], "doc_id long, toxic int")

@@ -26,6 +26,7 @@ BREAK[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80,
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 STEMS = (4, 6)
+PIECE = 128  # places in a row on the way to training, so that a batch of rows is a few MB
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -53,8 +54,8 @@ def features(raw: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarra
 class FTRL:
     """FTRL-proximal with a rate for each coordinate; features are 0 or 1."""
 
-    def __init__(self, bits: int, alpha: float, beta: float, l1: float, l2: float):
-        self.z, self.n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
+    def __init__(self, size: int, alpha: float, beta: float, l1: float, l2: float):
+        self.z, self.n = np.zeros(size + 1), np.zeros(size + 1)
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
     def weights(self, at) -> np.ndarray:
@@ -80,6 +81,38 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, usable, sample
     return rows.groupBy("_id", "_label").agg(F.min("text").alias("text"))
 
 
+def learned(ids: np.ndarray, labels: np.ndarray, parts: np.ndarray, pieces: list[np.ndarray], bits: int, epochs: int, alpha: float, beta: float, l1: float, l2: float, positive: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places that got a weight, and the weights; 2^bits is the bias. A row's ascending places come in pieces.
+
+    Only places that ``least`` rows have are numbered and trained, so memory goes with the sample, not with 2^bits.
+    """
+    rows_of = np.zeros(1 << bits, np.int32)
+    for p in pieces:
+        rows_of[p] += 1
+    used = np.flatnonzero(rows_of >= least)
+    del rows_of
+    by_row = np.lexsort((parts, labels, ids))
+    first = np.flatnonzero(parts[by_row] == 0)
+    labels = labels[by_row][first]
+    places = []
+    for row in np.split(by_row, first[1:]) if len(first) else []:
+        at = np.concatenate([pieces[i] for i in row])
+        number = np.searchsorted(used, at)
+        number = number[used[np.minimum(number, len(used) - 1)] == at] if len(used) else number[:0]
+        places.append(number.astype(np.int32))
+        for i in row:
+            pieces[i] = None
+    model = FTRL(len(used), alpha, beta, l1, l2)
+    order = np.random.default_rng(7).permutation(len(places)) if places else []
+    bias = np.array([len(used)])
+    for _ in range(epochs):
+        for i in order:
+            model.learn(np.concatenate([places[i], bias]), labels[i], positive if labels[i] else 1.0)
+    w = model.weights(np.arange(len(used) + 1))
+    found = np.flatnonzero(w)
+    return np.r_[used, 1 << bits][found], w[found]
+
+
 def fit(rows: DataFrame, bits: int = 22, epochs: int = 10, alpha: float = 1.0, beta: float = 1.0, l1: float = 16.0, l2: float = 0.0, positive: float = 6.0, least: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
     """(places, weights, bias) of the rows of ``training_rows``; places ascend.
 
@@ -93,31 +126,25 @@ def fit(rows: DataFrame, bits: int = 22, epochs: int = 10, alpha: float = 1.0, b
                 row, place = features(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], bits)
                 once = np.unique(row << bits | place)
                 cuts = np.searchsorted(once, np.arange(hi - lo + 1) << bits)
-                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array((once & ((1 << bits) - 1)).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(lo, hi - lo).cast(pa.int64()), batch.column("_label").slice(lo, hi - lo), lists], names=["_id", "_label", "places"])
+                count = np.maximum(1, -(-np.diff(cuts) // PIECE))  # a row without places is one piece
+                of = np.repeat(np.arange(hi - lo), count)
+                part = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+                starts = np.r_[cuts[of] + part * PIECE, len(once)]
+                lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array((once & ((1 << bits) - 1)).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(lo + of)).cast(pa.int64()), batch.column("_label").take(pa.array(lo + of)), pa.array(part, pa.int32()), lists], names=["_id", "_label", "part", "places"])
 
     def train(batches):
-        ids, labels, places = [], [], []
+        ids, labels, parts, pieces = [], [], [], []
         for batch in batches:
-            ids += batch.column("_id").to_pylist()
-            labels += batch.column("_label").to_pylist()
-            places += [x.values.to_numpy() for x in batch.column("places")]
-        model = FTRL(bits, alpha, beta, l1, l2)
-        rows_of = np.zeros(1 << bits, np.int32)
-        for p in places:
-            rows_of[p] += 1
-        places = [p[rows_of[p] >= least] for p in places]
-        order = np.random.default_rng(7).permutation(np.lexsort((labels, ids))) if ids else []
-        bias = np.array([1 << bits])
-        for _ in range(epochs):
-            for i in order:
-                model.learn(np.concatenate([places[i], bias]), labels[i], positive if labels[i] else 1.0)
-        found = np.flatnonzero(model.weights(np.arange((1 << bits) + 1)))
-        w = model.weights(found)
+            ids.append(batch.column("_id").to_numpy())
+            labels.append(batch.column("_label").to_numpy())
+            parts.append(batch.column("part").to_numpy())
+            pieces += [x.values.to_numpy() for x in batch.column("places")]
+        found, w = learned(*[np.concatenate([np.zeros(0, np.int64), *x]) for x in (ids, labels, parts)], pieces, bits, epochs, alpha, beta, l1, l2, positive, least)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(w, pa.float64())], names=["place", "weight"])
 
     # the sample is bounded by its parameter, so its places may meet in one task
-    model = rows.mapInArrow(extract, "_id long, _label int, places array<int>").repartition(1).mapInArrow(train, "place long, weight double")
+    model = rows.mapInArrow(extract, "_id long, _label int, part int, places array<int>").repartition(1).mapInArrow(train, "place long, weight double")
     found = sorted((r.place, r.weight) for r in model.collect())  # at most 2^bits + 1
     bias = found.pop()[1] if found and found[-1][0] == 1 << bits else 0.0
     return np.array([p for p, _ in found], np.int64), np.array([w for _, w in found], np.float64), bias
