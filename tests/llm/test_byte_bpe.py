@@ -89,3 +89,11 @@ def test_round_trip_and_empty_table(spark):
     decoded = {r.doc_id: r.decoded for r in byte_bpe.decode(encoded, PATH, queries.BYTE_LEVEL_PATTERN).collect()}
     assert decoded == {1: "Hello, wörld! <|endoftext|>", None: ""}
     assert byte_bpe.digests(rows.limit(0), PATH, queries.BYTE_LEVEL_PATTERN).count() == 0
+
+
+def test_states_are_shared_by_texts_that_differ_in_what_is_held_back():
+    """A state is its hypotheses, not the tokens before them: invented words lead to states that others have made."""
+    made, rng = transducer.Transducer(transducer.load_ranks(PATH)), random.Random(3)
+    for _ in range(3000):
+        made.encode("".join(rng.choice(["ka", "lor", "mi", "ten", "su", "vra", "el", "on"]) for _ in range(6)).encode())
+    assert len(made.states) < 0.6 * len(made.moves)

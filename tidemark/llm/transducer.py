@@ -6,9 +6,11 @@ nondeterministic transducer: a hypothesis is a place where a token ends, and the
 some token. Reading a byte moves each hypothesis in the trie of tokens; where a token ends, the pair rule says whether
 it may follow the hypothesis' last one, and exactly one hypothesis may end there, as a prefix has one encoding.
 
-Determinising makes a state of all hypotheses that live at once. What their tokens have in common is emitted; the rest
-is held back until later bytes decide, which is bounded: a hypothesis lives no longer than the longest token. States
-are made when a text first needs them, and forgotten all together when there are too many.
+Determinising makes a state of all hypotheses that live at once: of each the place in the trie and the last token, as
+nothing else decides what may come. A move gives the one token that ends at its byte; the tokens of a piece are read
+backwards from its end, each from where the next one begins. What is held back while a piece is read is bounded: all
+that lies before where the paths of the live hypotheses part is sure, and a hypothesis lives no longer than the longest
+token. States are made when a text first needs them, and forgotten all together when there are too many.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from contextlib import suppress
 STATES = 200_000
 SLICE = 1 << 16
 NEVER = 1 << 40
-NONE: tuple[int, ...] = ()
+LAST = (1 << 20) - 1  # of a hypothesis: node << 20 | last token + 1
 TWO = "the ranks aren't those of merges: a prefix has no or several encodings"
 
 
@@ -51,7 +53,7 @@ class Transducer:
             raise ValueError("ranks must differ and hold all bytes")
         # trie: node << 8 | byte -> its child; the token of a node, -1 where none ends; whether tokens go on behind it
         self.child: dict[int, int] = {}
-        self.token_at, self.inner = [-1], [False]
+        self.token_at, self.inner, self.depth = [-1], [False], [0]
         for token, rank in ranks.items():
             node = 0
             for b in token:
@@ -61,21 +63,22 @@ class Transducer:
                     below = self.child[node << 8 | b] = len(self.token_at)
                     self.token_at.append(-1)
                     self.inner.append(False)
+                    self.depth.append(self.depth[node] + 1)
                 node = below
             self.token_at[node] = rank
+        self.size_of = {r: len(t) for t, r in ranks.items()}
         self.edges: dict[int, tuple[tuple, tuple] | None] = {}
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[tuple, int] = {}
-        self.states: list[tuple] = []
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.number: dict[tuple[int, ...], int] = {}
+        self.states: list[tuple[int, ...]] = []
+        self.moves: dict[int, tuple[int, int]] = {}
         self.fits: dict[int, bool] = {}
-        self._state((-1, ((0, ()),)))  # state 0: nothing is read
+        self._state((0,))  # state 0: nothing is read
 
-    def _state(self, key: tuple) -> int:
-        """key: the last token emitted, and each hypothesis: node since its last token's end, tokens held back. The one
-        at the root, where a token has just ended, is the last."""
+    def _state(self, key: tuple[int, ...]) -> int:
+        """key: the hypotheses; the one at the root, where a token has just ended, is the last."""
         at = self.number.get(key)
         if at is None:
             at = self.number[key] = len(self.states)
@@ -130,75 +133,91 @@ class Transducer:
             else:
                 j += 1
 
-    def _make(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The state after a byte and what is emitted on the way."""
-        last, hypotheses = self.states[state]
+    def _make(self, state: int, byte: int) -> tuple[int, int]:
+        """The state after a byte and the token that ends there."""
         child, inner, token_at, fits = self.child, self.inner, self.token_at, self.fits
-        new, ended = [], None
-        for node, held in hypotheses:
-            below = child.get(node << 8 | byte)
+        new, ended = [], -1
+        for hypothesis in self.states[state]:
+            below = child.get(hypothesis >> 20 << 8 | byte)
             if below is None:
                 continue
+            before = hypothesis & LAST
             if inner[below]:
-                new.append((below, held))
+                new.append(below << 20 | before)
             token = token_at[below]
             if token >= 0:
-                before = held[-1] if held else last
                 fit = fits.get(before << 20 | token)
                 if fit is None:
-                    fit = fits[before << 20 | token] = self._may_follow(before, token)
+                    fit = fits[before << 20 | token] = self._may_follow(before - 1, token)
                 if fit:
-                    if ended is not None:
+                    if ended >= 0:
                         raise ValueError(TWO)
-                    ended = (*held, token)
-        if ended is None:
+                    ended = token
+        if ended < 0:
             raise ValueError(TWO)
-        new.append((0, ended))
-        same = min([len(held) for _, held in new])  # mostly 0: the oldest hypothesis holds nothing back
-        if same:
-            while any([held[:same] != ended[:same] for _, held in new]):
-                same -= 1
-            if same:
-                new = [(node, held[same:]) for node, held in new]
-                last = ended[same - 1]
-        key = last, tuple(new)
-        after = self.number.get(key)
-        move = self.moves[state << 8 | byte] = (self._state(key) if after is None else after), ended[:same] if same else NONE
+        new.append(ended + 1)
+        move = self.moves[state << 8 | byte] = self._state(tuple(new)), ended
         return move
 
-    def push(self, state: int, raw: bytes, out: list[int]) -> int:
-        """Reads bytes from a state on, adds to ``out`` what is sure, and gives the state after them."""
+    def _read(self, state: int, raw: bytes, ends: list[int]) -> int:
+        """Reads bytes from a state on, adds to ``ends`` the token that ends at each, and gives the state after them."""
         get = self.moves.get
         for byte in raw:
             move = get(state << 8 | byte)
             if move is None:
                 move = self._make(state, byte)
-            state, sure = move
-            if sure:
-                out.extend(sure)
+            state, token = move
+            ends.append(token)
         return state
 
+    def _back(self, ends: list[int], at: int) -> list[int]:
+        """The tokens up to a place where one ends."""
+        out, size_of = [], self.size_of
+        while at:
+            token = ends[at - 1]
+            out.append(token)
+            at -= size_of[token]
+        out.reverse()
+        return out
+
+    def push(self, state: int | tuple[int, list[int]], raw: bytes, out: list[int]) -> int | tuple[int, list[int]]:
+        """Reads bytes from a place on, adds to ``out`` what is sure, and gives the place after them: a state, and the
+        tokens that end since what was sure. 0 is the start."""
+        number, ends = state if state else (0, [])
+        ends = list(ends)
+        number = self._read(number, raw, ends)
+        paths = {len(ends) - self.depth[h >> 20] for h in self.states[number]}  # where the hypotheses begin; back to where all meet
+        while len(paths) > 1:
+            last = max(paths)
+            paths.remove(last)
+            paths.add(last - self.size_of[ends[last - 1]])
+        sure = paths.pop()
+        out.extend(self._back(ends, sure))
+        return number, ends[sure:]
+
     def stream(self, piece: bytes) -> Iterator[list[int]]:
         """Tokens of a piece of any length, as they become sure."""
-        state = 0
+        state: tuple[int, list[int]] = (0, [])
         for lo in range(0, len(piece), SLICE):
             if len(self.states) > self.most:  # all are forgotten but the one that goes on
-                key = self.states[state]
+                key = self.states[state[0]]
                 self.forget()
-                state = self._state(key)
+                state = self._state(key), state[1]
             out: list[int] = []
             state = self.push(state, piece[lo : lo + SLICE], out)
             yield out
-        yield list(self.states[state][1][-1][1])
+        yield self._back(state[1], len(state[1]))
 
     def encode(self, piece: bytes) -> list[int]:
         """Tokens of a piece. A token that merges don't reach is itself as a whole piece, as in the library."""
-        out: list[int] = []
-        if len(piece) > SLICE or len(self.states) > self.most:
-            for part in self.stream(piece):
-                out += part
+        if len(piece) > SLICE:
+            out = [token for part in self.stream(piece) for token in part]
         else:
-            out += self.states[self.push(0, piece, out)][1][-1][1]
+            if len(self.states) > self.most:
+                self.forget()
+            ends: list[int] = []
+            self._read(0, piece, ends)
+            out = self._back(ends, len(ends))
         return [self.ranks[piece]] if len(out) > 1 and piece in self.ranks else out
 
 
