@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import merges, textnp
-from .base import text_or_empty
+from .base import lean, text_or_empty
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 UNSETTLED = regex.compile(r"[^\x00-\u052F\u2010-\u2027\u20AC]").search
@@ -185,8 +185,8 @@ def _long_texts(texts: DataFrame, path: str) -> DataFrame:
         return pa.table({"text_sha": group.column("text_sha")[:1], "n_tokens": pa.array([n], pa.int64()), "ids_sha256": [ids_sha], "decoded_sha256": [text_sha]})
 
     one = texts.dropDuplicates(["text_sha"])
-    leaves = one.mapInArrow(cut, "text_sha string, leaf long, kind string, payload binary")
-    ids = leaves.repartition("text_sha", "leaf").mapInArrow(encode, "text_sha string, leaf long, kind string, payload binary, ids array<int>")
+    leaves = one.mapInArrow(_alone(cut), "text_sha string, leaf long, kind string, payload binary")
+    ids = leaves.repartition("text_sha", "leaf").mapInArrow(_alone(encode), "text_sha string, leaf long, kind string, payload binary, ids array<int>")
     return ids.groupBy("text_sha").applyInArrow(join, "text_sha string, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
@@ -199,6 +199,18 @@ def _codec(path: str) -> Codec:
     return _codecs[path]
 
 
+def _alone(run):
+    """run, for ``mapInArrow``; no codec stays in the worker, where it would stand beside what other stages need."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _codecs.clear()
+
+    return lean(whole)
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ids (array<int>) of each row."""
 
@@ -210,7 +222,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 ids = codec.encode([t or "" for t in batch.column("text").slice(lo, hi - lo).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(_alone(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -221,7 +233,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([codec.decode(x or []) for x in batch.column("ids").to_pylist()], pa.large_string())], names=["doc_id", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded string")
+    return encoded.select("doc_id", "ids").mapInArrow(_alone(run), "doc_id long, decoded string")
 
 
 def digests(docs: DataFrame, path: str, long_chars: int = LONG) -> DataFrame:
@@ -229,18 +241,16 @@ def digests(docs: DataFrame, path: str, long_chars: int = LONG) -> DataFrame:
 
     def run(batches):
         codec = _codec(path)
-        codec.forget()  # what another task has left in this worker
         for batch in batches:
             _, at = textnp.utf8(batch.column("text"))
             for lo, hi in textnp.slices(at, 1 << 20):
                 ids = codec.encode([t or "" for t in batch.column("text").slice(lo, hi - lo).to_pylist()])
                 n, a, b = zip(*map(codec.digests, ids), strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        codec.forget()
 
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     is_long = F.char_length("text") > long_chars
-    short = rows.filter(~is_long).mapInArrow(run, SCHEMA)
+    short = rows.filter(~is_long).mapInArrow(_alone(run), SCHEMA)
     long = rows.filter(is_long).withColumn("text_sha", F.sha2("text", 256))
     done = _long_texts(long, path)
     return short.unionByName(long.select("doc_id", "text_sha").join(done, "text_sha").drop("text_sha"))

@@ -38,7 +38,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from tidemark.runtime import saved
 
 from . import textnp
-from .base import broadcast_if_small, join_counted, text_or_empty
+from .base import broadcast_if_small, give_back, join_counted, lean, text_or_empty
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -50,6 +50,8 @@ TOGETHER = 1024
 SHINGLES = 1_000_000
 PAIRED = 16
 EDGES = 1_000_000
+AT_ONCE = 4 << 20  # bytes of bit sets that a document is compared with in one step
+LARGE = 1 << 20  # bytes of a group after whose check the worker gives its memory back
 LAST = (1 << 63) - 1
 SET_SCHEMA = "doc_id long, doc_key long, node binary, n long, signature binary"
 STEP_SCHEMA = "a binary, b binary, tree int, path binary, part int, last boolean"
@@ -120,7 +122,7 @@ def _sets(docs: DataFrame, n: int, trees: int, depth: int) -> DataFrame:
                 found = [next(made).tobytes() if name else None for name in names]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("doc_key").slice(lo, hi - lo), pa.array(names, pa.binary()), pa.array(np.diff(cuts), pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "doc_key", "node", "n", "signature"])
 
-    return docs.mapInArrow(run, SET_SCHEMA)
+    return docs.mapInArrow(lean(run), SET_SCHEMA)
 
 
 def paths(nodes: DataFrame, trees: int, depth: int) -> DataFrame:
@@ -163,7 +165,7 @@ def neighbours(placed: DataFrame, length: int, depth: int) -> DataFrame:
 
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("tree", pa.int32()), ("path", pa.binary()), ("part", pa.int32()), ("last", pa.bool_())])
     ordered = placed.select("tree", "path", "node").repartitionByRange("tree", "path", "node").sortWithinPartitions("tree", "path", "node")
-    steps = saved(ordered.mapInArrow(walk, STEP_SCHEMA))
+    steps = saved(ordered.mapInArrow(lean(walk), STEP_SCHEMA))
     order = W.orderBy("part", "last")
     ends = steps.filter("b IS NULL").select("a", "tree", F.substring("path", 1, 2 * length).alias("path"), *[F.lag(c).over(order).alias(f"{c}0") for c in ("a", "tree")], F.lag(F.substring("path", 1, 2 * length)).over(order).alias("path0"))
     ends = ends.filter("tree = tree0 AND path = path0 AND a <> a0").select(F.least("a", "a0").alias("a"), F.greatest("a", "a0").alias("b"))
@@ -200,7 +202,7 @@ def _contract(edges: DataFrame) -> DataFrame:
         leaves = np.flatnonzero(root != np.arange(len(root)))
         yield pa.RecordBatch.from_arrays([names.take(pa.array(root[leaves])), names.take(pa.array(leaves))], names=["a", "b"])
 
-    return edges.mapInArrow(run, "a binary, b binary")
+    return edges.mapInArrow(lean(run), "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -293,8 +295,10 @@ class Join:
         column, live = np.cumsum(shared) - 1, shared[place]
         bits = np.zeros((len(names), -(-int(shared.sum()) // 64) or 1), np.uint64)
         np.bitwise_or.at(bits, (owner[live], column[place[live]] >> 6), np.uint64(1) << (column[place[live]] & 63).astype(np.uint64))
+        del owner, grams, place, times, shared, column, live
         links, missed = np.zeros(len(names), np.int64), np.zeros((len(names), len(self.lengths)))
         edges: list[tuple[np.ndarray, np.ndarray]] = []
+        step = max(1, min(512, AT_ONCE // (8 * bits.shape[1])))
         order = np.argsort(size, kind="stable")  # only sizes within the threshold of each other can be similar
         ranked = size[order]
         for k, i in enumerate(order.tolist()):
@@ -307,8 +311,8 @@ class Join:
                 others = others[~(longer[others] == longer[i]).any(axis=1)]
             same = keys[others] == keys[i]
             others = others[same.any(axis=1) if tree is None else same[:, tree] & ~same[:, :tree].any(axis=1)]
-            for lo in range(0, len(others), 512):
-                part = others[lo : lo + 512]
+            for lo in range(0, len(others), step):
+                part = others[lo : lo + step]
                 both = np.bitwise_count(bits[part] & bits[i]).sum(axis=1, dtype=np.int64)
                 alike = both / (size[part] + size[i] - both)
                 good = alike >= self.threshold - 1e-12
@@ -373,7 +377,7 @@ class Join:
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(words, pa.binary()), pa.array([found[k] for k in kept], pa.binary())], names=["node", "component", "parts", "copies", "asked", "words", "signature"])
 
         texts = rows.join(broadcast_if_small(chosen, 200_000), F.col("doc_key") == F.col("first"))
-        return texts.select("text", "wanted", "component", "parts", "copies", "asked").mapInArrow(gather, MEMBER_SCHEMA)
+        return texts.select("text", "wanted", "component", "parts", "copies", "asked").mapInArrow(lean(gather), MEMBER_SCHEMA)
 
     def checked(self, members: DataFrame, key: str, length: int) -> DataFrame:
         """Links inside groups of the key, cut into pairs of blocks."""
@@ -382,7 +386,10 @@ class Join:
 
         def verify(found: tuple, table: pa.Table) -> pa.Table:
             tree = found[0].as_py()[0] if key == "bucket" else None
-            return self.verify(table, length, tree, (found[1].as_py(), found[2].as_py()))
+            links = self.verify(table, length, tree, (found[1].as_py(), found[2].as_py()))
+            if table.nbytes > LARGE:
+                give_back()
+            return links
 
         return paired.select(key, "p1", "p2", "part", "node", "copies", "asked", "words", "signature").groupBy(key, "p1", "p2").applyInArrow(verify, LINK_SCHEMA)
 
@@ -464,7 +471,7 @@ def _named(docs: DataFrame) -> DataFrame:
 
     keyed = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_key"))
     schema = StructType([*[StructField(f.name, f.dataType) for f in keyed.schema], StructField("_node", BinaryType())])
-    return keyed.withColumn("_text", text_or_empty("_row.text")).mapInArrow(run, schema)
+    return keyed.withColumn("_text", text_or_empty("_row.text")).mapInArrow(lean(run), schema)
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, target: float = TARGET, together: int = TOGETHER) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp
-from .base import text_or_empty
+from .base import lean, text_or_empty
 
 BREAK = np.ones(256, bool)
 BREAK[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -144,7 +144,7 @@ def fit(rows: DataFrame, bits: int = 22, epochs: int = 10, alpha: float = 1.0, b
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(w, pa.float64())], names=["place", "weight"])
 
     # the sample is bounded by its parameter, so its places may meet in one task
-    model = rows.mapInArrow(extract, "_id long, _label int, part int, places array<int>").repartition(1).mapInArrow(train, "place long, weight double")
+    model = rows.mapInArrow(lean(extract), "_id long, _label int, part int, places array<int>").repartition(1).mapInArrow(lean(train), "place long, weight double")
     found = sorted((r.place, r.weight) for r in model.collect())  # at most 2^bits + 1
     bias = found.pop()[1] if found and found[-1][0] == 1 << bits else 0.0
     return np.array([p for p, _ in found], np.int64), np.array([w for _, w in found], np.float64), bias
@@ -168,7 +168,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: in
                 scores = 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, score double")
 
 
 def held_out(column: str = "doc_id"):
@@ -202,4 +202,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
                 sums = np.bincount(once >> bits, dense[once & ((1 << bits) - 1)], minlength=hi - lo) + bias
                 yield batch.slice(lo, hi - lo).filter(pa.array(sums < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
