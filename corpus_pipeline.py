@@ -6,6 +6,8 @@ what ``run`` returns.
 
 Cases, in all stages: a null text counts as empty; null ids, languages and sources are values like others; an empty
 table gives an empty result; all columns stay up to the last stage, whatever their names.
+
+One setting of the session changes: rows meet Python in batches of 1,000, unless the session names a number itself.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bpe, exact_dedup, jaccard, mixing, toxicity
-from tidemark.llm.base import read
+from tidemark.llm.base import read, small_batches
 from tidemark.llm.queries import tokenizer_path
 from tidemark.runtime import remove, scratch, shared_dir
 
@@ -23,6 +25,7 @@ from tidemark.runtime import remove, scratch, shared_dir
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without rows that are predicted as toxic. Empty texts have the score of the bias and stay; repeated rows
     are scored each; without usable labels nothing goes."""
+    small_batches(spark)
     return toxicity.without_toxic(docs, read(spark, sf_dir, "labels"))
 
 
@@ -35,6 +38,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each class of similar texts: that of the least doc_id. Texts without words all stay; of rows that
     repeat doc_id and words one stays; a null doc_id is greater than others."""
+    small_batches(spark)
     return jaccard.one_of_each(docs)
 
 
@@ -47,6 +51,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, number of tokens and digests of the tokens and of the text decoded from them, for each row."""
+    small_batches(spark)
     return bpe.digests(docs, tokenizer_path("word_bpe_49k.json"))
 
 

@@ -67,3 +67,17 @@ def test_wide_bit_sets_are_compared_in_small_steps():
     assert found.column("links").to_pylist() == [1] * 200
     assert max(b for b, _ in seen) <= jaccard.AT_ONCE
     assert max(m for _, m in seen) < 30_000_000
+
+
+def test_rows_meet_python_in_small_batches(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id) AS text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    try:
+        assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == 3000
+        sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())}) for b in batches), "n long")
+        assert max(r.n for r in sizes.collect()) <= 1000
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

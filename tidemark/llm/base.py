@@ -47,6 +47,16 @@ def lean(run: Callable) -> Callable:
     return whole
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python workers a thousand at a time, where the session keeps Spark's ten thousand: those are 20 MB of
+    texts, several times over in the executor's direct memory and in the worker. Operators cut batches smaller anyway."""
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, "1000")
+
+
 def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """A broadcast hint where a count shows at most ``rows`` rows; else the frame as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import merges, textnp
-from .base import lean, text_or_empty
+from .base import give_back, lean, text_or_empty
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 UNSETTLED = regex.compile(r"[^\x00-\u052F\u2010-\u2027\u20AC]").search
@@ -52,6 +52,8 @@ class Codec:
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.marks)) + ")").split
         self.forget()
         self.names = list(map(str, range(len(self.table.tokens))))
+        self.numbers = list(range(len(self.table.tokens)))  # one object a token, however many words hold it
+        give_back()
 
     def forget(self) -> None:
         self.known: dict[str, tuple[int, ...]] = {m: (i,) for m, i in self.table.special.items()}
@@ -83,7 +85,7 @@ class Codec:
             ends = np.r_[0, np.cumsum(sizes[rows])]
             part = raw if len(rows) == len(new) else np.concatenate([raw[at[r] : at[r + 1]] for r in rows])
             tokens, cuts = self.table.encode(self.table.symbols(part, ends), ends)
-            tokens, cuts = tokens.tolist(), cuts.tolist()
+            tokens, cuts = list(map(self.numbers.__getitem__, tokens.tolist())), cuts.tolist()
             for k, r in enumerate(rows.tolist()):
                 self.known[new[r]] = tuple(tokens[cuts[k] : cuts[k + 1]])
         for r in np.flatnonzero(sizes > merges.LEAF):
