@@ -6,8 +6,10 @@ batch gets a suffix array, by prefix doubling up to the window; it is merge-scan
 strings already there, and the suffixes that no level has become a level. Levels are positions in their text; those of
 about equal size merge, so sizes grow geometrically and there are logarithmically many.
 
-Equal runs are combined before they are sent and again in the shard: the index judges each distinct run once, with its
-smallest document, and the other documents that have the run inherit that it stands earlier.
+Equal runs are combined before they are sent and again in the shard: each distinct run is judged once, with its smallest
+document, and the other documents that have the run inherit that it stands earlier. Of the distinct runs' strings those
+whose hash no other has stand nowhere else (equal strings have equal hashes), so they get no place in suffix arrays: the
+index compares the others on their bytes.
 
 Cases: null text is empty; a null doc_id counts as larger than all others; rows that repeat a doc_id are one document
 to each other; texts shorter than the window lose nothing; an empty table gives an empty result; other columns are
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame
 from . import textnp, windows
 
 BATCH = 1 << 17
+MARKS = 1 << 22
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -113,42 +116,69 @@ class LevelIndex:
         return hit
 
 
+def shared(text: np.ndarray, begin: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
+    """For each string of each piece whether another may be equal: false only where no other has its hash."""
+    order = np.argsort(begin)
+    at = windows.spread(begin[order], counts[order])
+    hashes, room = np.empty(len(at), np.uint64), windows.room_for(window)
+    for lo in range(0, len(text) - window + 1, windows.STEP):
+        a, b = np.searchsorted(at, [lo, lo + windows.STEP])
+        hashes[a:b] = windows.gram_keys(text[lo : lo + windows.STEP + window - 1], window, room)[at[a:b] - lo]
+    ranked = np.sort(hashes)
+    twice = ranked[1:][ranked[1:] == ranked[:-1]]
+    marks = np.zeros(MARKS, bool)  # most are told apart here, the others by search
+    marks[twice & np.uint64(MARKS - 1)] = True
+    found = np.flatnonzero(marks[hashes & np.uint64(MARKS - 1)])
+    found = found[twice[np.minimum(np.searchsorted(twice, hashes[found]), len(twice) - 1)] == hashes[found]]
+    out = np.zeros(len(at), bool)
+    out[windows.spread((np.cumsum(counts) - counts)[order], counts[order])[found]] = True
+    return out
+
+
 def judge(raw: bytes, begin: np.ndarray, end: np.ndarray, counts: np.ndarray, docs: np.ndarray, window: int, batch: int = BATCH) -> np.ndarray:
     """For each string of each piece whether a piece of a smaller document has it. Pieces come by document."""
     bounds, owner = zip(begin.tolist(), end.tolist(), strict=True), {}
     first = np.array([owner.setdefault(raw[a:b], k) for k, (a, b) in enumerate(bounds)], np.int64)
     del owner, bounds
     start = np.cumsum(counts) - counts
-    found = np.ones(int(counts.sum()), bool)
-    mine, text = np.flatnonzero(first == np.arange(len(first))), np.frombuffer(raw, np.uint8)
-    index, total, lo = LevelIndex(window), np.cumsum(counts[mine]), 0
-    while lo < len(mine):
-        hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + batch, "right"))
-        hi = int(np.searchsorted(docs[mine], docs[mine[max(hi - 1, lo)]], "right"))  # a document stays in one batch
-        part = mine[lo:hi]
+    text, alike = np.frombuffer(raw, np.uint8), first == np.arange(len(first))
+    mine, copies = np.flatnonzero(alike), np.flatnonzero(~alike)
+    found = np.zeros(int(counts.sum()), bool)
+    found[windows.spread(start[copies], counts[copies])] = True
+    chosen = np.flatnonzero(shared(text, begin[mine], counts[mine], window))
+    piece = np.repeat(mine, counts[mine])[chosen]
+    place = windows.spread(start[mine], counts[mine])[chosen]  # in found
+    doc, index, lo = docs[piece], LevelIndex(window), 0
+    while lo < len(chosen):
+        hi = int(np.searchsorted(doc, doc[min(lo + batch, len(doc)) - 1], "right"))  # a document stays in one batch
+        fresh = np.r_[True, piece[lo + 1 : hi] != piece[lo : hi - 1]]
+        part = piece[lo:hi][fresh]
         size = end[part] - begin[part]
         own = text[windows.spread(begin[part], size)]
-        at, doc = windows.spread(np.cumsum(size) - size, counts[part]), np.repeat(docs[part], counts[part])
+        at = (np.cumsum(size) - size - start[part])[np.cumsum(fresh) - 1] + place[lo:hi]
         rank = suffix_ranks(own, window)[at]
         suffixes = np.argsort(rank, kind="stable")  # ties stay in order of doc_id
         ranked = rank[suffixes]
         fresh = np.r_[True, ranked[1:] != ranked[:-1]]
         group = np.cumsum(fresh) - 1
-        smallest = doc[suffixes][fresh]
+        smallest = doc[lo:hi][suffixes][fresh]
         hit = np.empty(len(at), bool)
-        hit[suffixes] = index.add(own, at[suffixes][fresh])[group] | (smallest[group] < doc[suffixes])
-        found[windows.spread(start[part], counts[part])] = hit
+        hit[suffixes] = index.add(own, at[suffixes][fresh])[group] | (smallest[group] < doc[lo:hi][suffixes])
+        found[place[lo:hi]] = hit
         lo = hi
-    same = np.flatnonzero((first != np.arange(len(first))) & (docs == docs[first]))  # rows that repeat a doc_id
+    same = copies[docs[copies] == docs[first[copies]]]  # rows that repeat a doc_id
     found[windows.spread(start[same], counts[same])] = found[windows.spread(start[first[same]], counts[same])]
     return found
 
 
 def _finish(ids, text, raw, offsets, covered) -> pa.Table:
-    rises = covered & ~np.r_[False, covered[:-1]]
-    rises[offsets[:-1][offsets[:-1] < len(covered)]] |= covered[offsets[:-1][offsets[:-1] < len(covered)]]
-    removed, spans = np.r_[0, np.cumsum(covered)], np.r_[0, np.cumsum(rises)]
-    n_removed, n_spans = np.diff(removed[offsets]), np.diff(spans[offsets])
+    rises, falls, begins = covered.copy(), covered.copy(), offsets[:-1][offsets[:-1] < len(covered)]
+    rises[1:] &= ~covered[:-1]
+    rises[begins] |= covered[begins]
+    falls[:-1] &= ~covered[1:] | rises[1:]
+    first, last = np.flatnonzero(rises), np.flatnonzero(falls)
+    spans = np.searchsorted(first, offsets)
+    n_spans, n_removed = np.diff(spans), np.diff(np.r_[0, np.cumsum(last - first + 1)][spans])
     kept = ~covered
     sha = []
     for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
@@ -156,9 +186,8 @@ def _finish(ids, text, raw, offsets, covered) -> pa.Table:
     return pa.table({"doc_id": ids.cast(pa.int64()), "n_bytes": pa.array(np.diff(offsets), pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
 
 
-def byte_content(column) -> tuple[bytes, np.ndarray]:
-    raw, _ = textnp.utf8(column)
-    return raw.tobytes(), np.arange(len(raw) + 1)
+def byte_content(column) -> tuple[bytes, None]:
+    return textnp.utf8(column)[0].tobytes(), None
 
 
 def dedup(docs: DataFrame, window: int = 50, gram: int = 20, hot: int = windows.HOT, batch: int = BATCH) -> DataFrame:

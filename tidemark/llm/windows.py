@@ -38,12 +38,13 @@ LONGEST = 256
 MOST = (1 << 16) - 1  # a block's count of a key goes up to this, which is hot by itself
 BLOCK_BYTES = 128 << 20
 LAST = (1 << 63) - 1
+STEP = 1 << 16  # symbols that are hashed at a time: their arrays stay in a processor's own cache
 
 
 @dataclass(frozen=True)
 class Plan:
     """symbols: Arrow text column -> (symbols, row offsets). content: the same -> (bytes, the n + 1 places in them where
-    symbols begin). within: whether an earlier place in the same document counts too. judge: (bytes of the pieces,
+    symbols begin, None if symbols are bytes). within: whether an earlier place in the same document counts too. judge: (bytes of the pieces,
     where each begins and ends, their windows and documents, window) -> a bit for each window; pieces come by document
     and place. finish: (ids, text column, symbols, offsets, covered) -> table."""
 
@@ -69,25 +70,41 @@ class Runs:
     doubled: np.ndarray
 
 
+def room_for(w: int) -> np.ndarray:
+    """Arrays that ``gram_keys`` and ``find_runs`` work in: fresh ones for each step cost as much as the work itself."""
+    return np.empty((2, STEP + w), np.uint64)
+
+
+def gram_keys(symbols: np.ndarray, m: int, room: np.ndarray) -> np.ndarray:
+    """A hash of the m symbols from each place, alike wherever they stand, in room[0]; equal grams have equal ones."""
+    n = len(symbols)
+    up, down = textnp.powers(n + 1)
+    values, sums = room[0, :n], room[1, : n + 1]
+    values[:] = symbols
+    values += np.uint64(1)
+    values *= up[:n]
+    sums[0] = 0
+    np.cumsum(values, out=sums[1:])
+    grams = np.subtract(sums[m:], sums[:-m], out=room[0, : n + 1 - m])
+    grams *= down[: len(grams)]
+    return textnp.mix(grams)
+
+
 def find_runs(symbols: np.ndarray, offsets: np.ndarray, plan: Plan) -> Runs:
     w, m, n = plan.window, plan.gram, len(symbols)
     wide = w - m + 1
     starts, counts, keys, doubled = [], [], [], []
-    for lo in range(0, max(0, n - w + 1), textnp.SPAN):
-        hi = min(n, lo + textnp.SPAN + w - 1)
+    room, other = room_for(w), room_for(w)
+    for lo in range(0, max(0, n - w + 1), STEP):
+        hi = min(n, lo + STEP + w - 1)
         size = hi - lo
-        up, down = textnp.powers(size + 1)
-        sums = np.zeros(size + 1, np.uint64)
-        np.cumsum((symbols[lo:hi].astype(np.uint64) + np.uint64(1)) * up[:size], dtype=np.uint64, out=sums[1:])
-        grams = sums[m:] - sums[:-m]
-        grams *= down[: len(grams)]
-        textnp.mix(grams)
-        least, span = grams, 1
+        grams = gram_keys(symbols[lo:hi], m, room)
+        least, span, turn = grams, 1, 0
         while span * 2 <= wide:
-            least = np.minimum(least[:-span], least[span:])
-            span *= 2
+            least = np.minimum(least[:-span], least[span:], out=other[turn, : len(least) - span])
+            span, turn = span * 2, 1 - turn
         total = size - w + 1
-        least = np.minimum(least[:total], least[wide - span : wide - span + total]) if span < wide else least[:total]
+        least = np.minimum(least[:total], least[wide - span : wide - span + total], out=other[turn, :total]) if span < wide else least[:total]
         valid = np.ones(total, bool)
         a, b = int(np.searchsorted(offsets, lo, "right")) - 1, int(np.searchsorted(offsets, lo + total, "left"))
         for s, e in zip(offsets[a:b].tolist(), offsets[a + 1 : b + 1].tolist(), strict=False):
@@ -163,9 +180,8 @@ class Block:
         if self.plan.within:
             n = n + np.bincount(self.place, self.runs.doubled, minlength=len(self.slot)).astype(np.int64)
         else:  # one for each document
-            keys = self.doc_key[self.doc]
-            order = np.lexsort((keys, self.place))
-            p, k = self.place[order], keys[order]
+            order = np.argsort(self.place, kind="stable")  # runs of a place stay in order of document
+            p, k = self.place[order], self.doc_key[self.doc[order]]
             fresh = np.r_[True, (p[1:] != p[:-1]) | (k[1:] != k[:-1])] if len(p) else np.zeros(0, bool)
             n = np.bincount(p[fresh], minlength=len(self.slot))
         return np.minimum(n, MOST).astype(np.uint16)
@@ -189,12 +205,13 @@ class Block:
         self.hot = is_hot[owner]
         self.key = key[owner]
         raw, cut = self.plan.content(self.text)
-        begin, end = cut[self.start].tolist(), cut[self.start + self.count + self.plan.window - 1].tolist()
+        begin, end = self.start, self.start + self.count + self.plan.window - 1
+        begin, end = (begin.tolist(), end.tolist()) if cut is None else (cut[begin].tolist(), cut[end].tolist())
         self.contents = [raw[a:b] for a, b in zip(begin, end, strict=True)]
         self.first = np.arange(len(self.start))
         seen: dict[bytes, int] = {}
-        for i in (self.first if self.plan.combine else np.flatnonzero(self.hot)).tolist():
-            self.first[i] = seen.setdefault(self.contents[i], i)
+        same = self.first if self.plan.combine else np.flatnonzero(self.hot)
+        self.first[same] = [seen.setdefault(self.contents[i], i) for i in same.tolist()]
         self.sent = np.flatnonzero(self.first == np.arange(len(self.first)))
         target = textnp.mix(self.key[self.sent].copy())
         for k in np.flatnonzero(self.hot[self.sent]).tolist():
