@@ -193,3 +193,18 @@ def test_keys_of_grams_do_not_depend_on_their_place():
     assert runs.count.sum() == len(text) - 500 - 49 + 500 - 49
     windows_of = lambda lo, hi: {(s + k - lo, key) for s, n, key in zip(runs.start.tolist(), runs.count.tolist(), runs.key.tolist(), strict=True) for k in range(n) if lo <= s + k < hi}
     assert windows_of(0, 451) == windows_of(len(text) - 500, len(text))
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_equal_spans(monkeypatch, collide):
+    if collide:
+        monkeypatch.setattr(windows.textnp, "word_hashes", lambda raw, starts, stops: np.zeros(len(starts), np.uint64))
+    rng = np.random.default_rng(10)
+    raw = rng.integers(97, 99, 400).astype(np.uint8).tobytes() + b"ab" * 300
+    begin = rng.integers(0, len(raw), 3000)
+    end = np.minimum(len(raw), begin + rng.choice([1, 2, 7, 8, 9, 16, 305], 3000))
+    hashes, first = windows.equal_spans(raw, begin, end)
+    spans, seen = [raw[a:b] for a, b in zip(begin, end, strict=True)], {}
+    assert first.tolist() == [seen.setdefault(x, k) for k, x in enumerate(spans)]
+    assert (hashes == hashes[first]).all()
+    assert windows.equal_spans(b"", begin[:0], end[:0])[1].tolist() == []

@@ -137,9 +137,7 @@ def shared(text: np.ndarray, begin: np.ndarray, counts: np.ndarray, window: int)
 
 def judge(raw: bytes, begin: np.ndarray, end: np.ndarray, counts: np.ndarray, docs: np.ndarray, window: int, batch: int = BATCH) -> np.ndarray:
     """For each string of each piece whether a piece of a smaller document has it. Pieces come by document."""
-    bounds, owner = zip(begin.tolist(), end.tolist(), strict=True), {}
-    first = np.array([owner.setdefault(raw[a:b], k) for k, (a, b) in enumerate(bounds)], np.int64)
-    del owner, bounds
+    _, first = windows.equal_spans(raw, begin, end)
     start = np.cumsum(counts) - counts
     text, alike = np.frombuffer(raw, np.uint8), first == np.arange(len(first))
     mine, copies = np.flatnonzero(alike), np.flatnonzero(~alike)

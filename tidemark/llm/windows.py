@@ -26,7 +26,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -162,6 +161,29 @@ def unpack(raw: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def equal_spans(raw: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each span of the bytes a hash, alike in all blocks, and the first span that has the same bytes."""
+    if not len(begin):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    text, size = np.frombuffer(raw + bytes(8), np.uint8), end - begin
+    hashes = textnp.word_hashes(text, begin, end)
+    order = np.argsort(hashes, kind="stable")
+    at = np.flatnonzero(np.r_[True, hashes[order[1:]] != hashes[order[:-1]]])
+    first = np.empty(len(order), np.int64)
+    first[order] = np.repeat(order[at], np.diff(np.r_[at, len(order)]))
+    eight = np.ndarray(len(text) - 7, "<u8", text, strides=(1,))
+    copies = np.flatnonzero(first != np.arange(len(first)))
+    ok = bool((size[copies] == size[first[copies]]).all())
+    for k in range(0, int(size[copies].max(initial=0)), 8):
+        copies = copies[size[copies] > k]
+        differ = eight[begin[copies] + k] ^ eight[begin[first[copies]] + k] if ok else np.zeros(0, np.uint64)
+        ok = ok and not (differ & textnp.LOW_BYTES[np.minimum(size[copies] - k, 8)]).any()
+    if not ok:  # two spans that differ share a hash
+        seen: dict[bytes, int] = {}
+        first = np.array([seen.setdefault(raw[a:b], k) for k, (a, b) in enumerate(zip(begin.tolist(), end.tolist(), strict=True))], np.int64)
+    return hashes, first
+
+
 class Block:
     """One block's documents in order of doc_id, with its runs."""
 
@@ -204,18 +226,17 @@ class Block:
         self.count = np.where(is_hot[owner], 1, count[owner])
         self.hot = is_hot[owner]
         self.key = key[owner]
-        raw, cut = self.plan.content(self.text)
-        begin, end = self.start, self.start + self.count + self.plan.window - 1
-        begin, end = (begin.tolist(), end.tolist()) if cut is None else (cut[begin].tolist(), cut[end].tolist())
-        self.contents = [raw[a:b] for a, b in zip(begin, end, strict=True)]
+        self.raw, cut = self.plan.content(self.text)
+        self.begin, self.end = self.start, self.start + self.count + self.plan.window - 1
+        if cut is not None:
+            self.begin, self.end = cut[self.begin], cut[self.end]
         self.first = np.arange(len(self.start))
-        seen: dict[bytes, int] = {}
-        same = self.first if self.plan.combine else np.flatnonzero(self.hot)
-        self.first[same] = [seen.setdefault(self.contents[i], i) for i in same.tolist()]
+        same = self.first.copy() if self.plan.combine else np.flatnonzero(self.hot)
+        hashes = np.zeros(len(self.start), np.uint64)
+        hashes[same], equal = equal_spans(self.raw, self.begin[same], self.end[same])
+        self.first[same] = same[equal]
         self.sent = np.flatnonzero(self.first == np.arange(len(self.first)))
-        target = textnp.mix(self.key[self.sent].copy())
-        for k in np.flatnonzero(self.hot[self.sent]).tolist():
-            target[k] = xxhash.xxh3_64_intdigest(self.contents[self.sent[k]])
+        target = np.where(self.hot[self.sent], hashes[self.sent], textnp.mix(self.key[self.sent].copy()))
         self.shard = (target % np.uint64(shards)).astype(np.int64)
 
     def piece_doc(self) -> np.ndarray:
@@ -276,8 +297,9 @@ def _send(plan: Plan, buckets: int, shards: int):
         for part in np.split(order, np.flatnonzero(np.diff(block.shard[order])) + 1) if len(order) else []:
             rows["block"].append(key[0].as_py())
             rows["shard"].append(int(block.shard[part[0]]))
-            rows["contents"].append(b"".join([block.contents[i] for i in block.sent[part].tolist()]))
-            rows["sizes"].append(np.array([len(block.contents[i]) for i in block.sent[part].tolist()], np.uint32).tobytes())
+            begin, end = block.begin[block.sent[part]], block.end[block.sent[part]]
+            rows["contents"].append(b"".join([block.raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]))
+            rows["sizes"].append((end - begin).astype(np.uint32).tobytes())
             rows["windows"].append(block.count[block.sent[part]].astype(np.uint16).tobytes())
             rows["docs"].append(docs[part].tobytes())
         kinds = {"block": pa.int32(), "shard": pa.int32()}
